@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .line_dedup import dedup_lines
+from .packing import pack
 from .sharding import external_shuffle
+from .token_files import read_token_files, write_token_files
 from .url_filter import filter_urls
 
 
@@ -32,7 +35,21 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_url_filter, op6_sharding)}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_url_filter, op6_sharding, op8_token_files, op10_nearest)}
 
 SQL = {
     "op1_line_dedup": r"""
