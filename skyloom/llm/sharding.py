@@ -19,6 +19,7 @@ from .shared import free_name, written
 
 BUCKET_BYTES = 8 << 20
 MIN_BUCKETS = 64
+BROADCAST_BUCKETS = 1_000_000
 
 
 def bucket_count(df: DataFrame, text_col: str, bucket_bytes: int, min_buckets: int) -> int:
@@ -58,6 +59,8 @@ def external_shuffle(
     )
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = shuffled.groupBy(b).count().select(b, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(w))
+    if n <= BROADCAST_BUCKETS:  # one row of two numbers a bucket: 16 MB at most, and the texts are not shuffled for it
+        starts = F.broadcast(starts)
     at = F.col(w) + F.col(p)
     return shuffled.join(starts, b).select(
         *df.columns, (at % shards).cast("int").alias("shard"), F.floor(at / F.lit(shards)).cast("long").alias("slot")

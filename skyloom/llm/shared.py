@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The lineage is cut, so a lost executor costs no earlier work.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
