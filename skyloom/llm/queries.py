@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .decontam import contaminated
+from .line_crf import score_quality
 from .line_dedup import dedup_lines
 from .packing import pack
 from .sharding import external_shuffle
 from .token_files import read_token_files, write_token_files
+from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
 
@@ -26,6 +29,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -44,12 +57,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_url_filter, op6_sharding, op8_token_files, op10_nearest)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_packing, op3_url_filter, op4_quality, op5_toxicity, op6_sharding, op8_token_files, op9_decontamination, op10_nearest,
+    )
+}
 
 SQL = {
     "op1_line_dedup": r"""
