@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontam import contaminated
+from .jaccard_join import component_ids
 from .line_crf import score_quality
 from .line_dedup import dedup_lines
 from .packing import pack
@@ -52,6 +53,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -69,7 +74,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_packing, op3_url_filter, op4_quality, op5_toxicity, op6_sharding, op8_token_files, op9_decontamination, op10_nearest,
+        op1_line_dedup, op2_packing, op3_url_filter, op4_quality, op5_toxicity, op6_sharding, op7_jaccard_join, op8_token_files, op9_decontamination, op10_nearest,
     )
 }
 
