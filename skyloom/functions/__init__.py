@@ -1 +1 @@
-"""Part of the survey analytics engine."""
+"""Column expressions: geodesy, rotations, camera model, angles."""

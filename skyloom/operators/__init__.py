@@ -1 +1 @@
-"""Part of the survey analytics engine."""
+"""DataFrame operators: joins, windows, aggregates, culling, chains, groups, estimators."""

@@ -1 +1 @@
-"""Part of the survey analytics engine."""
+"""Registered queries over the test tables, each with its SQL."""

@@ -1 +1 @@
-"""Part of the survey analytics engine."""
+"""Readers and writers of survey files."""

@@ -1 +1 @@
-"""Part of the survey analytics engine."""
+"""Stateful per-frame operators on Structured Streaming."""
