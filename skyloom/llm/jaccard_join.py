@@ -11,9 +11,10 @@ of A that B lacks, so bit counts bound the overlap from above. Pairs that pass a
 intersection of the sorted arrays, computed from the texts of just the documents concerned.
 
 Groups. First each member of a tile meets the tile's smallest member only, so a group of
-near-copies costs its size and not its square. Pairs of a tile are then formed only between
-members that are not yet in one component: by a join for tiles of up to HOT rows, and for larger
-ones block by block, all members outside the tile's main component against all members.
+near-copies costs its size and not its square. Then only members that are not yet in one component meet: by a join in tiles
+of up to HOT rows, and in larger ones, which are taken together where they share members, block
+by block, all members outside the main component against all members. A block yields links only
+as long as they join components.
 """
 
 from __future__ import annotations
@@ -28,17 +29,17 @@ from pyspark.sql import functions as F
 from .shared import free_name, written
 
 #: Rows from which a shingle or tile counts as hot; shingles stored beyond the first ones; rows of a block.
-HOT, SLACK, BLOCK = 128, 16, 512
+HOT, SLACK, BLOCK = 128, 16, 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hashes(dict):
-    """word -> 64-bit hash, for up to a million words at a time."""
+    """word -> 64-bit hash, for up to 300,000 words at a time."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -215,56 +216,109 @@ def components(pairs: DataFrame) -> DataFrame:
             return now.withColumnRenamed("c", "component")
 
 
-def rest_pairs(tiles: DataFrame, reps: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of tile members that are in different components and of similar size; in large tiles also within the bit bound."""
-    kind = reps.schema["id"].dataType.simpleString()
-    t = tiles.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # a tile meets itself and the next band: rows also go, as upper ones, to the band below
-    t = t.select("s", F.explode(F.array(F.struct(F.col("band"), F.lit(False).alias("up")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("up")))).alias("x"), "id", "n", "component")
-    t = t.select("s", "x.band", "x.up", "id", "n", "component")
-    open_ = (
-        t.groupBy("s", "band", "component").agg(F.count("*").alias("k"))
-        .groupBy("s", "band").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max(F.struct("k", "component")).alias("main"))
-        .filter("parts > 1").select("s", "band", "rows", F.col("main.component").alias("main"))
+def with_bands(t: DataFrame, key: str) -> DataFrame:
+    """Rows as members of their own band's tile and, as upper ones, of the tile of the band below: a tile meets itself and the next band."""
+    own = F.struct(F.col("band"), F.lit(False).alias("up"))
+    below = F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("up"))
+    return t.withColumn("x", F.explode(F.array(own, below))).select(key, "x.band", "x.up", "id", "n", "component")
+
+
+def open_tiles(t: DataFrame, key: str) -> DataFrame:
+    """The rows of tiles that hold more than one component, with the tile's rows and its main component."""
+    known = (
+        t.groupBy(key, "band", "component").agg(F.count("*").alias("k"))
+        .groupBy(key, "band").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max(F.struct("k", "component")).alias("main"))
+        .filter("parts > 1").select(key, "band", "rows", F.col("main.component").alias("main"))
     )
-    t = written(t.join(open_, ["s", "band"]), "open-tiles")
-    small = t.filter(F.col("rows") <= HOT)
-    a = small.filter(~F.col("up")).select("s", "band", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "component")))
-    b = small.select("s", "band", "up", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "component")))
+    return t.join(known, [key, "band"])
+
+
+def small_tile_pairs(t: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of similar size and different components in tiles of up to HOT rows."""
+    a = t.filter(~F.col("up")).select("s", "band", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "component")))
+    b = t.select("s", "band", "up", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "component")))
     size = (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (F.col("a_component") != F.col("b_component"))
-    few = a.join(b, ["s", "band"]).filter(size & (F.col("up") | (F.col("a_id") < F.col("b_id")))).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    large = t.filter(F.col("rows") > HOT).join(reps.select("id", "bits"), "id")
-    minor = F.col("component") != F.col("main")
-    large = large.withColumn("nl", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nl")).cast("int"))
-    left = large.filter(minor).select("s", "band", F.lit(True).alias("left"), "own", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("other"), "id", "n", "component", "bits")
-    used = large.filter(minor).select("s", "band", "own").distinct().groupBy("s", "band").agg(F.collect_set("own").alias("lefts"))
-    right = large.join(used, ["s", "band"]).select("s", "band", F.lit(False).alias("left"), F.explode("lefts").alias("l"), "own", "id", "n", "component", "bits")
-    grid = left.select("s", "band", "left", F.col("own").alias("l"), F.col("other").alias("r"), "id", "n", "component", "bits").unionAll(
-        right.select("s", "band", "left", "l", F.col("own").alias("r"), "id", "n", "component", "bits")
-    )
+    pairs = a.join(b, ["s", "band"]).filter(size & (F.col("up") | (F.col("a_id") < F.col("b_id"))))
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
+def wide_bitmap(g: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, dtype=bool)
+    out[g & (bits - 1)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def block_links(left: list, right: list, num: int, den: int) -> list[tuple]:
+    """Links (i, j) that join the components of two blocks of rows (id, component, sorted shingles).
+
+    Pairs whose components are already joined here are passed over, so a block yields fewer links
+    than it has components, however dense it is. Bit counts over bitmaps of about 16 bits a
+    shingle come before the intersections.
+    """
+    if not left or not right:
+        return []
+    bits = 1 << min(17, max(10, (16 * max(len(r[2]) for r in right) - 1).bit_length()))
+    maps = np.array([wide_bitmap(r[2], bits) for r in right])
+    n = np.array([len(r[2]) for r in right], dtype=np.int64)
+    names = {c: k for k, c in enumerate(dict.fromkeys([r[1] for r in left] + [r[1] for r in right]))}
+    parent = np.arange(len(names))
+    of = np.array([names[r[1]] for r in right])
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, c, g in left:
+        c, w = root(names[c]), wide_bitmap(g, bits)
+        at = np.flatnonzero((np.minimum(n, len(g)) * den >= np.maximum(n, len(g)) * num) & (of != c))
+        if not len(at):
+            continue
+        both = np.minimum(len(g) - np.bitwise_count(w & ~maps[at]).sum(axis=1, dtype=np.int64), n[at] - np.bitwise_count(maps[at] & ~w).sum(axis=1, dtype=np.int64))
+        sure = np.argsort(-both, kind="stable")
+        at, both = at[sure], both[sure]
+        for k in at[both * (num + den) >= num * (n[at] + len(g))]:
+            other = root(of[k])
+            if other != c and links(g, right[k][2], num, den):
+                out.append((min(i, right[k][0]), max(i, right[k][0])))
+                parent[other] = c
+                of[of == other] = c
+    return out
+
+
+def large_tile_links(docs: DataFrame, large: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links that join the components in tiles above HOT rows.
+
+    Large tiles with common members are taken together, so each class is in one of them only. Its
+    rows go to blocks of BLOCK rows: those outside the tile's main component meet all rows.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    head = large.groupBy("s", "band").agg(F.min("id").alias("a"))
+    edges = large.join(head, ["s", "band"]).select("a", F.col("id").alias("b")).distinct()
+    family = components(edges).withColumnRenamed("component", "family")
+    t = large.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max(F.col("band") + F.col("up").cast("int")).alias("band"))
+    t = written(open_tiles(with_bands(t.join(family, "id"), "family"), "family"), "families")
+    sets = written(sets_of(docs, t.select("id").distinct(), size), "family-sets")
+    t = t.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    minor = t.filter(F.col("component") != F.col("main"))
+    tile = ["family", "band"]
+    used = minor.groupBy(*tile).agg(F.collect_set("own").alias("lefts"))
+    left = minor.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*tile, F.lit(True).alias("left"), F.col("own").alias("l"), "r", "id", "component")
+    right = t.join(used, tile).withColumn("l", F.explode("lefts")).select(*tile, F.lit(False).alias("left"), "l", F.col("own").alias("r"), "id", "component")
+    grid = left.unionAll(right).join(sets, "id")
 
     def block(table):
         import pyarrow as pa
 
-        left = table.column("left").to_pylist()
-        rows = list(zip(table.column("id").to_pylist(), table.column("n").to_pylist(), table.column("component").to_pylist(), (np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist())))
-        ls, rs = [r for r, x in zip(rows, left) if x], [r for r, x in zip(rows, left) if not x]
-        width = min((len(r[3]) for r in rows), default=32)
-        rb = np.array([fold(r[3], width) for r in rs], dtype=np.uint8).reshape(len(rs), width)
-        rn, parts = np.array([r[1] for r in rs], dtype=np.int64), {c: k for k, c in enumerate({r[2] for r in rows})}
-        rc = np.array([parts[r[2]] for r in rs])
-        out = []
-        for i, n, c, w in ls:
-            w = fold(w, width)
-            ok = (np.minimum(rn, n) * den >= np.maximum(rn, n) * num) & (rc != parts[c])
-            at = np.flatnonzero(ok)
-            both = np.minimum(n - np.bitwise_count(w & ~rb[at]).sum(axis=1, dtype=np.int64), rn[at] - np.bitwise_count(rb[at] & ~w).sum(axis=1, dtype=np.int64))
-            out += [(min(i, rs[k][0]), max(i, rs[k][0])) for k in at[both * (num + den) >= num * (rn[at] + n)]]
-        kind = table.column("id").type
-        return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([x for _, x in out], kind)})
-
-    many = grid.groupBy("s", "band", "l", "r").applyInArrow(block, f"a {kind}, b {kind}")
-    return few.unionAll(many).distinct()
+        rows = list(zip(table.column("id").to_pylist(), table.column("component").to_pylist(), (np.frombuffer(x, np.int64) for x in table.column("g").to_pylist())))
+        side = table.column("left").to_pylist()
+        found = block_links([r for r, x in zip(rows, side) if x], [r for r, x in zip(rows, side) if not x], num, den)
+        id_type = table.column("id").type
+        return pa.table({"a": pa.array([x for x, _ in found], id_type), "b": pa.array([x for _, x in found], id_type)})
+
+    return written(grid.groupBy(*tile, "l", "r").applyInArrow(block, f"a {kind}, b {kind}"), "family-links")
 
 
 def join_classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -283,8 +337,11 @@ def join_classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: in
     stars = tiles.join(pivots, ["s", "band"]).filter((F.col("id") != F.col("a")) & (F.col("na") * den >= F.col("n") * num)).select("a", F.col("id").alias("b")).distinct()
     found = verify(rows, reps, stars, size, num, den)
     labels = components(found)
-    more = verify(rows, reps, rest_pairs(tiles, reps, labels, num, den), size, num, den)
-    labels = components(found.unionAll(more))
+    placed = tiles.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = written(open_tiles(with_bands(placed, "s"), "s"), "open-tiles")
+    more = verify(rows, reps, small_tile_pairs(rest.filter(F.col("rows") <= HOT), num, den), size, num, den)
+    dense = large_tile_links(rows, rest.filter(F.col("rows") > HOT), size, num, den)
+    labels = components(found.unionAll(more).unionAll(dense))
     classes = reps.select("k1", "k2", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return signed, classes.select("k1", "k2", F.coalesce("component", "rep").alias("c"))
 
