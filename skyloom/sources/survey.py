@@ -127,7 +127,8 @@ def crowd_labels(sets: DataFrame, subjects: DataFrame, classifications: DataFram
     """
     s = subjects.select("subject_id", "subject_set_id", F.get_json_object("metadata", "$.filename").alias("filename"))
     shape = "array<struct<value:array<struct<x:double,y:double,r:double,tool:int,details:array<struct<value:string>>>>>>"
-    c = classifications.filter(F.get_json_object("metadata", "$.subject_dimensions[0]").isNotNull())
+    known = F.get_json_object("metadata", "$.subject_dimensions[0]")
+    c = classifications.filter(known.isNotNull() & (known != "null"))
     c = c.select(F.col("subject_ids").alias("subject_id"), F.explode(F.from_json("annotations", shape)).alias("a"))
     c = c.select("subject_id", F.explode("a.value").alias("m")).filter((F.coalesce("m.tool", F.lit(0)) == 0) | F.col("m.r").isNotNull())
     return c.join(s, "subject_id").join(sets, "subject_set_id").select("project_path", "filename", "m.x", "m.y", "m.r", F.get("m.details.value", F.lit(0)).alias("value"))
