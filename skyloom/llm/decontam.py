@@ -28,10 +28,10 @@ WORD = re.compile(r"\w+")
 
 
 class Hashes(dict):
-    """word -> hash, for up to 300,000 words at a time."""
+    """word -> hash, for up to 100,000 words at a time."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = zlib.crc32(word.encode())
         return h

@@ -30,16 +30,18 @@ from .shared import free_name, written
 
 #: Rows from which a shingle or tile counts as hot; shingles stored beyond the first ones; rows of a block.
 HOT, SLACK, BLOCK = 128, 16, 1024
+#: Hot shingles that are sent to the executors at most (4 MB); beyond that they are joined.
+HOT_SENT = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hashes(dict):
-    """word -> 64-bit hash, for up to 300,000 words at a time."""
+    """word -> 64-bit hash, for up to 100,000 words at a time."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -150,20 +152,48 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     known = r.filter(~F.col("short")).select(F.explode("first").alias("s"), "id", "n")
     # classes with more hot shingles among the stored ones than there is slack: all of their shingles are put in order
     deep = r.filter("short").select("id", "n", "p")
+    if hot.count() <= HOT_SENT:
+        ordered = ordered_first(docs, deep.select("id"), hot, size, num, den).withColumn("s", F.explode("first"))
+        return known.unionAll(ordered.join(deep.select("id", "n"), "id").select("s", "id", "n"))
+    marked = every_shingle(docs, deep.select("id"), size).join(hot.withColumn("h", F.lit(True)), "s", "left").select("id", "s", F.col("h").isNotNull().alias("h"))
+    ordered = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
+    return known.unionAll(ordered.select(F.explode(F.slice("o.s", 1, F.col("p"))).alias("s"), "id", "n"))
+
 
-    def spread(batches):
+def ordered_first(docs: DataFrame, ids: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(id, first): the first shingles in the order with hot ones last, where the hot ones (HOT_SENT at most) can be sent to the executors."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in hot.collect()], dtype=np.int64)))
+
+    def run(batches):
         import pyarrow as pa
 
+        last = sent.value
         for batch in batches:
-            for i, g in zip(batch.column(0), batch.column(1)):
-                g = np.frombuffer(g.as_py(), dtype=np.int64)
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for t in part.column(1):
+                    g = shingles(t.as_py(), size)
+                    h = np.isin(g, last, assume_unique=True)
+                    out.append(np.concatenate([g[~h], g[h]])[: prefix(len(g), num, den)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "first"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, first array<bigint>").dropDuplicates()
+
+
+def every_shingle(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, s): all shingles of the documents in ``ids``, a row each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, t in zip(batch.column(0), batch.column(1)):
+                g = shingles(t.as_py(), size)
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(g), type=batch.column(0).type), pa.array(g)], ["id", "s"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    every = sets_of(docs, deep, size).mapInArrow(spread, f"id {kind}, s long")
-    marked = every.join(hot.withColumn("h", F.lit(True)), "s", "left").select("id", "s", F.col("h").isNotNull().alias("h"))
-    ordered = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
-    return known.unionAll(ordered.select(F.explode(F.slice("o.s", 1, F.col("p"))).alias("s"), "id", "n"))
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, s long")
 
 
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:

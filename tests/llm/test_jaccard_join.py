@@ -45,9 +45,9 @@ def corpus():
     return rows + [(300, None), (301, ""), (302, " \t\n"), (303, "one two"), (304, "One  TWO"), (305, "x"), (306, rows[5][1].upper())]
 
 
-@pytest.mark.parametrize("hot, slack, block", [(128, 16, 1024), (4, 3, 8)])
-def test_exact_components(spark, monkeypatch, hot, slack, block):
-    for name, v in (("HOT", hot), ("SLACK", slack), ("BLOCK", block)):
+@pytest.mark.parametrize("hot, slack, block, sent", [(128, 16, 1024, 500_000), (4, 3, 8, 500_000), (4, 3, 8, 0)])
+def test_exact_components(spark, monkeypatch, hot, slack, block, sent):
+    for name, v in (("HOT", hot), ("SLACK", slack), ("BLOCK", block), ("HOT_SENT", sent)):
         monkeypatch.setattr(j, name, v)
     rows = corpus()
     df = spark.createDataFrame([(i, t, 9, "c") for i, t in rows], "doc_id long, text string, n int, component_id string")
