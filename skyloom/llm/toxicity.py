@@ -56,10 +56,13 @@ class Model:
 
 def choose_words(docs: list[np.ndarray], positive: np.ndarray, words: int) -> np.ndarray:
     """The words whose rates in toxic and in unlabelled texts differ most surely: at least SURE standard errors apart."""
-    keys, at = np.unique(np.concatenate([*docs, np.zeros(0, np.uint32)]), return_inverse=True)
-    owner = np.repeat(positive, [len(d) for d in docs])
-    in_p = np.bincount(at, weights=owner, minlength=len(keys))
-    in_u = np.bincount(at, weights=~owner, minlength=len(keys))
+    none = [np.zeros(0, np.uint32)]
+    p_keys, p_count = np.unique(np.concatenate([d for d, p in zip(docs, positive) if p] or none), return_counts=True)
+    u_keys, u_count = np.unique(np.concatenate([d for d, p in zip(docs, positive) if not p] or none), return_counts=True)
+    keys = np.union1d(p_keys, u_keys)
+    in_p, in_u = np.zeros(len(keys)), np.zeros(len(keys))
+    in_p[np.searchsorted(keys, p_keys)] = p_count
+    in_u[np.searchsorted(keys, u_keys)] = u_count
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     rate = (in_p + in_u) / (n_p + n_u)
     sure = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n_p + 1 / n_u))
