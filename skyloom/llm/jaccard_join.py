@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, written
+from .shared import arrow_rows, free_name, written
 
 #: Rows from which a shingle or tile counts as hot; shingles stored beyond the first ones; rows of a block.
 HOT, SLACK, BLOCK = 128, 16, 1024
@@ -224,7 +224,8 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, num: i
                 ok = [links(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), num, den) for x, y in zip(part.column(2), part.column(3))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(full.mapInArrow(exact, f"a {kind}, b {kind}").distinct(), "links")
+    with arrow_rows(docs.sparkSession, 500):  # a row holds two sets
+        return written(full.mapInArrow(exact, f"a {kind}, b {kind}").distinct(), "links")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -354,7 +355,8 @@ def large_tile_links(docs: DataFrame, large: DataFrame, size: int, num: int, den
 def join_classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows (id, n, k1, k2, ...) and the component c of each class (k1, k2) with shingles."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    signed = written(sign(rows, size, num, den), "signed")
+    with arrow_rows(docs.sparkSession, 2000):
+        signed = written(sign(rows, size, num, den), "signed")
     reps = written(
         signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "pre", "more", "bits")).alias("r")).select("k1", "k2", "r.*"), "classes"
     )
