@@ -35,31 +35,28 @@ def within(left: DataFrame, right: DataFrame, x: str, y: str, reach: float) -> D
     return j.withColumn("dist", d).filter(F.col("dist") <= reach).drop("_kx", "_ky", "_cx_2", "_cy_2")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, y: str, reach: float, k: int = 1) -> DataFrame:
-    """The k nearest right rows of each left row, ties to the smaller right id, with ``rank``.
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, y: str, reach: float, k: int = 1, metric: Column | None = None) -> DataFrame:
+    """The k best right rows of each left row by ``metric`` (default: the distance), ties to the smaller right id, with ``rank``.
 
-    Cells of ``reach`` are tried first; left rows with fewer than k rows within the reach go on
-    with the reach doubled, so each is answered exactly and dense places stay cheap. At the end,
-    when the reach spans the whole right side, every row has met all.
+    The metric may read all columns of the pair and must not be below the distance ``dist``. Cells
+    of ``reach`` are tried first; a left row is answered when its k-th metric is within the reach,
+    as no farther row can beat it. The others go on with the reach doubled, so dense places stay
+    cheap. At the end, when the reach spans both sides, every row has met all.
     """
-    span = right.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
-    size = left.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0]
-    if span[0] is None or size is None:
-        widest = reach
-    else:
-        far = right.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0]
-        widest = float(size + far)
+    ends = [d.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0] for d in (left, right)]
+    widest = reach if None in ends else float(sum(ends))
     out, rest = None, left
-    w = Window.partitionBy(left_id).orderBy("dist", f"{right_id}_2")
+    w = Window.partitionBy(left_id).orderBy("metric", f"{right_id}_2")
     while True:
-        got = within(rest, right, x, y, reach).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out_of = got.groupBy(left_id).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(left_id)
+        got = within(rest, right, x, y, reach).withColumn("metric", F.col("dist") if metric is None else metric)
+        got = got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         last = reach >= widest
-        full = got if last else got.join(out_of, left_id, "left_semi")
+        answered = got.filter((F.col("rank") == k) & (F.col("metric") <= reach)).select(left_id)
+        full = got if last else got.join(answered, left_id, "left_semi")
         out = full if out is None else out.unionByName(full)
         if last:
             return out
-        rest = rest.join(out_of, left_id, "left_anti")
+        rest = rest.join(answered, left_id, "left_anti")
         reach *= 2
         if rest.limit(1).count() == 0:
             return out

@@ -394,13 +394,13 @@ def _(t):
 
 @query("o07_best_view", "with m as (select f.chain_id, p.image_idx, sqrt((f.n-p.n)*(f.n-p.n)+(f.e-p.e)*(f.e-p.e)) + 0.1e0 * (p.image_idx % 9) + case when abs(f.n-p.n) > 100 then 1000 else 0 end as metric from feat f, pose p where f.chain_id % 20 = 0), k as (select *, row_number() over (partition by chain_id order by round(metric, 6), image_idx) as rn from m) select chain_id, image_idx, round(metric, 6) as metric from k where rn = 3")
 def _(t):
-    """The third best view of each twentieth point; views within reach stand before all others, so far ones are not formed."""
+    """The third best view of each twentieth point: the metric is never below the distance, so far views are not formed."""
     f = t.feat.filter("chain_id % 20 = 0").select("chain_id", "n", "e")
-    views = F.broadcast(t.pose.select("image_idx", F.col("n").alias("pn"), F.col("e").alias("pe"))) if t.pose.count() <= 100_000 else t.pose.select("image_idx", F.col("n").alias("pn"), F.col("e").alias("pe"))
-    m = f.join(views)
-    metric = F.hypot(F.col("n") - F.col("pn"), F.col("e") - F.col("pe")) + 0.1 * (F.col("image_idx") % 9) + F.when(F.abs(F.col("n") - F.col("pn")) > 100, 1000).otherwise(0)
-    w = Window.partitionBy("chain_id").orderBy(F.round("metric", 6), "image_idx")
-    return m.withColumn("metric", metric).withColumn("rn", F.row_number().over(w)).filter("rn = 3").select("chain_id", "image_idx", r("metric").alias("metric"))
+    views = t.pose.select("image_idx", "n", "e")
+    aside = F.when(F.abs(F.col("n") - F.col("n_2")) > 100, 1000).otherwise(0)
+    metric = F.round(F.col("dist") + 0.1 * (F.col("image_idx_2") % 9) + aside, 6)
+    best = op.nearest(f, views, "chain_id", "image_idx", "n", "e", 30.0, k=3, metric=metric)
+    return best.filter("rank = 3").select("chain_id", F.col("image_idx_2").alias("image_idx"), r("metric").alias("metric"))
 
 
 FILL = "r0 as (select cx, cy, avg(z) as mean from b where not (cx in (2, 3) and cy in (2, 3, 4)) group by cx, cy)" + "".join(

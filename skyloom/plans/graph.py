@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import estimators as est
 from ..operators import graph as op
 from ..operators.joins import nearest, sequence_pairs
+from ..operators.ranks import tiles
 from ..sources.terrain import bilinear
 from .base import query, r
 from .joins import descriptor_pairs
@@ -72,10 +73,9 @@ def _(t):
 
 @query("g09_spatial_cells", "with a as (select chain_id, n, e, ntile(4) over (order by n, chain_id) as tn from feat) select chain_id, tn::bigint as tn, ntile(4) over (partition by tn order by e, chain_id)::bigint as te from a")
 def _(t):
-    """Near-equal cells: quarters by north, each in quarters by east. Ranks over the distinct first coordinate keep the first cut small."""
-    a = t.feat.withColumn("tn", F.ntile(4).over(Window.orderBy("n", "chain_id")).cast("long"))
-    te = F.ntile(4).over(Window.partitionBy("tn").orderBy("e", "chain_id")).cast("long")
-    return a.select("chain_id", "tn", te.alias("te"))
+    """Near-equal cells: quarters by north, each in quarters by east, by ranks that no single task computes."""
+    a = tiles(t.feat.select("chain_id", "n", "e"), None, ["n", "chain_id"], 4, "tn")
+    return tiles(a, "tn", ["e", "chain_id"], 4, "te").select("chain_id", "tn", "te")
 
 
 @query("g10_connectivity", "with o as (select distinct chain_id, image_idx from obs where chain_id % 100 = 0) select distinct x.name as a, y.name as b from o p join o q on p.chain_id = q.chain_id and p.image_idx < q.image_idx join img x on x.image_idx = p.image_idx join img y on y.image_idx = q.image_idx")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import ranked
 from .base import query, r
 
 
@@ -150,7 +151,7 @@ def _(t):
 def _(t):
     """Vertices with equal rounded coordinates share a dense index; the index is made over distinct vertices."""
     k = t.feat.select("chain_id", F.round(F.col("n") / 10).alias("kn"), F.round(F.col("e") / 10).alias("ke"))
-    ids = k.select("kn", "ke").distinct().withColumn("vertex", F.row_number().over(Window.orderBy("kn", "ke")).cast("long") - 1)
+    ids = ranked(k.select("kn", "ke").distinct(), ["kn", "ke"], "v").withColumn("vertex", F.col("v") - 1)
     return k.join(ids, ["kn", "ke"]).select("chain_id", "vertex")
 
 
