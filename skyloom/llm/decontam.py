@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Pass 1 counts, over all documents, in how many each n-gram of the test items occurs. Each item
-keeps the n-grams that are rare for it. Pass 2 finds the kept n-grams in each whole document,
-takes the stretch around each group of hits and aligns it with the item; the alignment's score,
-over that of the item with itself, measures how much of the item the stretch holds, edits and
-gaps included.
+One pass finds the n-grams of the test items in each whole document, however common they are,
+takes the stretch around each group of hits and, where it holds enough of the item's words for
+the score, aligns it with the item; the alignment's score, over that of the item with itself,
+measures how much of the item the stretch holds, edits and gaps included.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 
 NGRAM = 3
 SCORE = 0.5
-#: A seed may occur in this many times as many documents as the rarer quarter of its item's seeds.
-RARE = 8
 #: Items that one pass over the documents serves; a bound on what is sent to the executors.
 ITEM_BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -98,17 +95,6 @@ class Seeds:
                 ok = self.keys[m][k] == g[at]
                 yield from ((m, a, b) for a, b in zip(k[ok].tolist(), at[ok].tolist()))
 
-    def keep(self, counts: dict[tuple[int, int], int], rare: int) -> None:
-        """Of each item the n-grams whose count is at most ``rare`` times that of its rarer quarter."""
-        of = defaultdict(list)
-        for m in self.sizes:
-            for k, places in enumerate(self.places[m]):
-                for item, _ in places:
-                    of[item].append(counts.get((m, k), 0))
-        limit = {i: rare * max(1, float(np.quantile(c, 0.25))) for i, c in of.items()}
-        for m in self.sizes:
-            self.places[m] = [[(i, q) for i, q in places if counts.get((m, k), 0) <= limit[i]] for k, places in enumerate(self.places[m])]
-
 
 def find(seeds: Seeds, w: np.ndarray, least: float):
     """(item, score, doc start, doc end, item start, item end, seeds) for each item the words hold; word positions."""
@@ -142,14 +128,15 @@ def find(seeds: Seeds, w: np.ndarray, least: float):
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *,
-    ngram: int = NGRAM, score: float = SCORE, rare: int = RARE, item_block: int = ITEM_BLOCK,
+    ngram: int = NGRAM, score: float = SCORE, item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """One row for each document and test item that it holds: ids, score (to 1), spans in words and seeds.
 
     doc_start, doc_end, item_start and item_end are word positions, ends exclusive. A document is
     listed where the best alignment of the item within it scores ``score`` of the item's own or
-    more. Words are runs of letters, digits and underscores, lower-cased. Items shorter than
-    ``ngram`` words are sought whole; items and texts without words (null, empty) match nothing.
+    more and it holds ``ngram`` words of the item in a row. Words are runs of letters, digits and
+    underscores, lower-cased. Items shorter than ``ngram`` words are sought whole; items and texts
+    without words (null, empty) match nothing.
     Items go in blocks of ``item_block``, each sent to all tasks and met by all documents. Rows
     with null ids are left out; repeated rows are listed each. Empty tables give an empty result.
     """
@@ -165,31 +152,16 @@ def contaminated(
         items = [(r["id"], w) for r in got if len(w := words(r["text"]))]
         if not items:
             continue
-        seeds = Seeds(items, ngram)
-        sent = spark.sparkContext.broadcast(seeds)
-
-        def count(batches, sent=sent):
-            import pyarrow as pa
-
-            n = defaultdict(int)
-            for batch in batches:
-                for t in batch.column(0):
-                    for key in {(m, k) for m, k, _ in sent.value.hits(words(t.as_py()))}:
-                        n[key] += 1
-            yield pa.RecordBatch.from_pydict({"m": pa.array([m for m, _ in n], pa.int32()), "k": pa.array([k for _, k in n], pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
-
-        counted = rows.select("text").mapInArrow(count, "m int, k long, n long").groupBy("m", "k").agg(F.sum("n").alias("n"))
-        seeds.keep({(r["m"], r["k"]): r["n"] for r in counted.collect()}, rare)  # at most one row for each n-gram of the block
-        kept = spark.sparkContext.broadcast(seeds)
+        sent = spark.sparkContext.broadcast(Seeds(items, ngram))
 
-        def match(batches, kept=kept):
+        def match(batches, sent=sent):
             import pyarrow as pa
 
             types = None
             for batch in batches:
                 found = []
                 for i, t in zip(batch.column(0), batch.column(1)):
-                    found += [(i.as_py(), *x) for x in find(kept.value, words(t.as_py()), score)]
+                    found += [(i.as_py(), *x) for x in find(sent.value, words(t.as_py()), score)]
                 types = [batch.column(0).type, None, pa.float64()] + [pa.int64()] * 5
                 cols = list(zip(*found))
                 if cols:

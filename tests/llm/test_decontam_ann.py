@@ -56,6 +56,19 @@ def test_copies_are_caught_and_clean_texts_left_alone(spark):
     assert contaminated(df.limit(0), b).count() == 0 and contaminated(df, b.limit(0)).count() == 0
 
 
+def test_edited_copies_in_many_documents_are_caught(spark):
+    rng = random.Random(5)
+    item = [f"x{k}" for k in range(30)]
+    edited = [w if k not in (7, 15, 23) else f"other{k}" for k, w in enumerate(item)]
+    say = lambda: [f"w{rng.randrange(300)}" for _ in range(40)]
+    copies = {"edited": edited, "cut": item[:21]}
+    for y in copies.values():
+        docs = [(d, " ".join(say() + y + say())) for d in range(20)] + [(d, " ".join(say())) for d in range(20, 40)]
+        got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+        assert sorted(r.doc_id for r in got) == list(range(20))
+        assert all(abs(r.score - brute_align(item, y) / (MATCH * len(item))) < 1e-9 for r in got)
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(8, 24))
