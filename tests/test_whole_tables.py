@@ -58,3 +58,12 @@ def test_alignment_of_all_users(spark, users):
         a, b = (sorted(g.loc[g["event_type"] == e, "t"]) for e in ("purchase", "view"))
         want |= {(k, i, j) for i, j in geo.align_sequences(a, b, 3600.0)}
     assert set(got.itertuples(index=False, name=None)) == want and max(k for k, _, _ in want) >= 30
+
+
+def test_bundle_of_all_observations(spark):
+    folder = "/root/testdata/sf0.001"
+    got = registry.QUERIES["e12_bundle_adjustment"](spark, folder).toPandas().set_index("grp")
+    o = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_partkey as chain", "l_suppkey as image", "l_suppkey % 4 as grp").toPandas()
+    for grp, g in o.groupby("grp"):
+        assert tuple(got.loc[grp, ["images", "features"]]) == (g["image"].nunique(), g["chain"].nunique())
+        assert got.loc[grp, "residual"] < 0.5
