@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from skyloom.operators import geometry as geo
+from skyloom.operators import graph
 from skyloom.operators import series as ts
 from skyloom.plans import registry
 from skyloom.streaming import filters
@@ -67,3 +68,14 @@ def test_bundle_of_all_observations(spark):
     for grp, g in o.groupby("grp"):
         assert tuple(got.loc[grp, ["images", "features"]]) == (g["image"].nunique(), g["chain"].nunique())
         assert got.loc[grp, "residual"] < 0.5
+
+
+def test_groups_of_all_images(spark, tmp_path):
+    o = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey + 5000 as l_partkey", "l_suppkey * 100 + 70 as l_suppkey")
+    o.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.group_id, r.image) for r in registry.QUERIES["g03_image_groups"](spark, str(tmp_path)).collect()}
+    o = o.distinct().toPandas()
+    ids = sorted(set(o["l_suppkey"]))
+    chains = sorted(([ids.index(i) for i in sorted(g)] for _, g in sorted(o.groupby("l_partkey")["l_suppkey"])), key=lambda c: -len(c))
+    groups, _ = graph.grow_groups(chains, len(ids))
+    assert got == {(k, ids[i]) for k, g in enumerate(groups) for i in g} and got
