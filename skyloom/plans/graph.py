@@ -57,11 +57,17 @@ def _(t):
 with d as (select a.chain_id, b.d - a.d as dz, sqrt((a.n-b.n)*(a.n-b.n)+(a.e-b.e)*(a.e-b.e)) as dist, b.chain_id as other from feat a join feat b on a.chain_id <> b.chain_id where a.chain_id % 10 = 0),
 k as (select *, row_number() over (partition by chain_id order by dist, other) as rn from d where dist > 0) select chain_id, round(avg(abs(dz / dist)), 5) as slope from k where rn <= 4 group by chain_id""")
 def _(t):
-    """Mean slope to the four nearest features."""
-    f = t.feat
-    n = nearest(f.filter("chain_id % 10 = 0"), f, "chain_id", "chain_id", "n", "e", 20.0, k=12).filter("dist > 0")
-    w = Window.partitionBy("chain_id").orderBy("dist", "chain_id_2")
-    k = n.withColumn("rn", F.row_number().over(w)).filter("rn <= 4")
+    """Mean slope to the four nearest features apart from the own place.
+
+    Neighbours are sought once for each place; of the features of a place no more than the four first can be among them.
+    """
+    first = Window.partitionBy("n", "e").orderBy("chain_id")
+    f = t.feat.withColumn("rn", F.row_number().over(first)).filter("rn <= 4").drop("rn")
+    some = t.feat.filter("chain_id % 10 = 0")
+    places = some.groupBy("n", "e").agg(F.min("chain_id").alias("place"))
+    apart = F.when(F.col("dist") > 0, F.col("dist")).otherwise(float("inf"))
+    near = nearest(places, f, "place", "chain_id", "n", "e", 20.0, k=4, metric=apart).filter("dist > 0")
+    k = some.join(near.select("n", "e", "d_2", "dist"), ["n", "e"])
     return k.groupBy("chain_id").agg(r(F.avg(F.abs((F.col("d_2") - F.col("d")) / F.col("dist"))), 5).alias("slope"))
 
 

@@ -1,5 +1,6 @@
 """Queries take whole tables; those without SQL against plain restatements."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -79,3 +80,28 @@ def test_groups_of_all_images(spark, tmp_path):
     chains = sorted(([ids.index(i) for i in sorted(g)] for _, g in sorted(o.groupby("l_partkey")["l_suppkey"])), key=lambda c: -len(c))
     groups, _ = graph.grow_groups(chains, len(ids))
     assert got == {(k, ids[i]) for k, g in enumerate(groups) for i in g} and got
+
+
+def test_slopes_where_many_features_coincide(spark, tmp_path):
+    keys = [k for j in range(14) for k in range(10 + 97 * 89 * j, 10 + 97 * 89 * j + 3)] + list(range(40, 60))
+    spark.createDataFrame([(k, k % 50) for k in keys], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = dict(con.execute(registry.SQL["g07_neighbour_slopes"]).fetchall())
+    got = {r.chain_id: r.slope for r in registry.QUERIES["g07_neighbour_slopes"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=2e-5) and 10 in want
+
+
+def test_planes_of_all_features(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r.image_idx: r.z for r in registry.QUERIES["e14_plane_interpolation"](spark, folder).collect()}
+    part = spark.read.parquet(f"{folder}/part.parquet").orderBy("p_partkey").collect()
+    for s in spark.read.parquet(f"{folder}/supplier.parquet").collect():
+        i = s.s_suppkey
+        f = {}
+        for p in part:
+            if p.p_partkey % 40 // 10 == i % 4:
+                f.setdefault((p.p_partkey % 97 * 3.0, p.p_partkey % 89 * 3.0), float(p.p_size))
+        z = geo.plane_interpolate(np.array(list(f)), np.array(list(f.values())), np.array([[i % 10 * 30.0, i // 10 * 30.0]]))[0]
+        assert (got[i] is None) == bool(np.isnan(z))
+    assert any(z is not None for z in got.values())
