@@ -95,17 +95,18 @@ def filter_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict, score, threshold), one row for each row of ``pages``.
 
-    verdict: the rule's, else ``allow`` where score >= threshold and ``block`` below. The model
-    reads host and path. The threshold lies between the mean scores of the two classes in the
-    calibration fold, at equal distance in standard deviations (0 where a class has fewer than
-    two URLs there). With no labelled URL of a class its model is the uniform law. Null urls and
-    urls without ``://`` have empty host and path and are scored as the empty text. Null ids and
-    repeated rows keep their rows. An empty table gives an empty result.
+    verdict: the rule's, else ``allow`` where score >= threshold and ``block`` below. The models
+    read the whole URL, the rules host and path; URLs of one host and path share a fold. The
+    threshold lies between the mean scores of the two classes in the calibration fold, at equal
+    distance in standard deviations (0 where a class has fewer than two URLs there). With no
+    labelled URL of a class its model is the uniform law. Null urls and urls without ``://`` have
+    empty host and path; null urls are scored as the empty text. Null ids and repeated rows keep
+    their rows. An empty table gives an empty result.
     """
     host, path = host_path(F.col("url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path"))
-    urls = urls.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)))
+    urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", F.coalesce("url", F.lit("")))
+    urls = urls.withColumn("fold", F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(folds)))
     each = urls.select("id", "url", "text", F.explode(grams(F.col("text"), order)).alias("g"))
     kind = F.when(F.col("fold") != 0, F.col("fit.verdict"))
     counts = (

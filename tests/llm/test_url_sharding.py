@@ -41,6 +41,15 @@ def test_model_tells_the_classes_apart(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def test_model_reads_whole_urls(spark):
+    rows = [(k, f"http://site-{k}.example.com/en/7{k}?story=daily-news-{k}") for k in range(120)]
+    rows += [(1000 + k, f"http://site-{k}.site.org/es/{k}?zzq=xxzzq{k}xx") for k in range(120)]
+    rows += [(2000, "http://site-5.example.org/fr/7?story=daily-news-5"), (2001, "http://site-5.example.org/fr/7?zzq=xxzzq5xx"), (2002, "daily-news"), (2003, "xxzzqxx")]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[2000].verdict == "allow" and got[2001].verdict == "block"
+    assert got[2002].score > got[2003].score
+
+
 def test_shards_are_even_and_whole(spark, tmp_path):
     rows = [(k, f"text {k}" if k % 5 else None) for k in range(997)] + [(3, "twice")] * 40 + [(None, "n")]
     df = spark.createDataFrame([(i, t, 1, "b") for i, t in rows], "doc_id long, text string, shard int, bucket string")
