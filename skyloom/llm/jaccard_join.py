@@ -1,20 +1,24 @@
 """Exact Jaccard join of documents' word shingles, and the components of its links.
 
-Tiles. Documents with equal sets are one class. In a fixed order of all shingles (those that more
-than HOT classes have among their first ones last, else by hash) two sets with similarity t share
-one of their first ``n - ceil(t n) + 1`` shingles. A tile holds the classes of one size band that
-have one such shingle; bands are as wide as the sizes of similar sets can differ, so a tile meets
-itself and the next band's tile.
+Tiles. Documents with equal sets are one class. All shingles have one fixed order: those that
+many classes hold (hot ones) last, else by hash. If a smaller set and a larger one link, their
+first common shingle is among the first ``n - ceil(2 t n / (1 + t)) + 1`` shingles of the smaller
+(its left prefix) and among the first ``n - ceil(t n) + 1`` of the larger. A tile holds the
+classes of one size band that have one such shingle; bands are as wide as the sizes of similar
+sets can differ, so a tile's left rows meet the tile and the next band's. Documents that share a
+template and are not similar have enough shingles of their own to fill the left prefix, so the
+template's shingles are in no left prefix and make no tile.
 
 Bounds. A class carries a bitmap of its hashed shingles. Each bit of A that B lacks is a shingle
-of A that B lacks, so bit counts bound the overlap from above. Pairs that pass are decided by the
-intersection of the sorted arrays, computed from the texts of just the documents concerned.
-
-Groups. First each member of a tile meets the tile's smallest member only, so a group of
-near-copies costs its size and not its square. Then only members that are not yet in one component meet: by a join in tiles
-of up to HOT rows, and in larger ones, which are taken together where they share members, block
-by block, all members outside the main component against all members. A block yields links only
-as long as they join components.
+of A that B lacks, so bit counts bound the overlap from above; so do the places of a common
+shingle. Pairs that pass are decided by the intersection of the sorted arrays, computed from the
+texts of just the documents concerned.
+
+Groups. First each member of a tile meets the tile's smallest left row only, so a group of
+near-copies costs its size and not its square. Then only members that are not yet in one component
+meet: by a join in tiles of up to HOT rows, and block by block in larger ones, where bitmaps choose
+the rows whose sets are sent. A block yields links only as long as they join components. Joins on
+a hot shingle are salted, as its rows may be a large part of all.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_rows, free_name, written
 
-#: Rows from which a shingle or tile counts as hot; shingles stored beyond the first ones; rows of a block.
-HOT, SLACK, BLOCK = 128, 16, 1024
+#: Rows from which a shingle or tile counts as hot; shingles stored beyond the first ones; rows of a block; parts of a hot shingle.
+HOT, SLACK, BLOCK, SALTS = 128, 16, 1024, 16
 #: Hot shingles that are sent to the executors at most (4 MB); beyond that they are joined.
 HOT_SENT = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -139,29 +143,44 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(s, id, n): the first shingles of each class in the order with hot ones last."""
+    """(s, pos, h, id, n): the first shingles of each class in the order with hot ones last, their places, and whether they are hot.
+
+    Hot are shingles among the first by hash of more than HOT classes. Where these leave a class
+    too few, the next ones of its template would take their place, so all shingles of such classes
+    are counted, and those that more than HOT of them hold are hot as well.
+    """
     p = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - F.lit(1e-9)).cast("long") + 1
-    reps = reps.withColumn("p", p.cast("int"))
-    plain = reps.select("id", F.explode(F.slice("pre", 1, F.col("p"))).alias("s"))
+    reps = reps.select("id", "n", "pre", "more", p.cast("int").alias("p"))
+    plain = reps.select(F.explode(F.slice("pre", 1, F.col("p"))).alias("s"))
     hot = written(plain.groupBy("s").count().filter(F.col("count") > HOT).select("s"), "hot-shingles")
-    theirs = reps.select("id", F.explode("pre").alias("s")).join(hot, "s").groupBy("id").agg(F.collect_set("s").alias("hot"))
-    r = reps.select("id", "n", "p", "pre", "more").join(theirs, "id", "left")
-    cold = F.array_except("pre", F.coalesce("hot", F.array().cast("array<bigint>")))
-    r = r.withColumn("cold", cold).withColumn("short", F.col("more") & (F.size("cold") < F.col("p")))
-    r = written(r.select("id", "n", "p", "short", F.when(~F.col("short"), F.slice(F.concat("cold", F.array_intersect("pre", F.coalesce("hot", F.array().cast("array<bigint>")))), 1, F.col("p"))).alias("first")), "first-shingles")
-    known = r.filter(~F.col("short")).select(F.explode("first").alias("s"), "id", "n")
+
+    def ordered(hot: DataFrame) -> DataFrame:
+        theirs = reps.select("id", F.explode("pre").alias("s")).join(hot, "s").groupBy("id").agg(F.collect_set("s").alias("hot"))
+        r = reps.join(theirs, "id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
+        r = r.withColumn("cold", F.array_except("pre", "hot"))
+        return r.withColumn("short", F.col("more") & (F.size("cold") < F.col("p")))
+
+    short = written(ordered(hot).filter("short").select("id"), "short-classes")
+    if short.limit(1).count():
+        most = every_shingle(docs, short, size).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("s")
+        hot = written(hot.unionAll(most).distinct(), "hot-shingles")
+    r = ordered(hot)
+    first = F.when(~F.col("short"), F.slice(F.concat("cold", F.array_intersect("pre", "hot")), 1, F.col("p")))
+    r = written(r.select("id", "n", "p", "short", F.size("cold").alias("c"), first.alias("first")), "first-shingles")
+    rows = ["s", "pos", "h", "id", "n"]
+    known = r.filter(~F.col("short")).select("id", "n", "c", F.posexplode("first").alias("pos", "s")).withColumn("h", F.col("pos") >= F.col("c")).select(rows)
     # classes with more hot shingles among the stored ones than there is slack: all of their shingles are put in order
     deep = r.filter("short").select("id", "n", "p")
     if hot.count() <= HOT_SENT:
-        ordered = ordered_first(docs, deep.select("id"), hot, size, num, den).withColumn("s", F.explode("first"))
-        return known.unionAll(ordered.join(deep.select("id", "n"), "id").select("s", "id", "n"))
+        own = ordered_first(docs, deep.select("id"), hot, size, num, den).select("id", "c", F.posexplode("first").alias("pos", "s"))
+        return known.unionAll(own.join(deep.select("id", "n"), "id").withColumn("h", F.col("pos") >= F.col("c")).select(rows))
     marked = every_shingle(docs, deep.select("id"), size).join(hot.withColumn("h", F.lit(True)), "s", "left").select("id", "s", F.col("h").isNotNull().alias("h"))
-    ordered = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
-    return known.unionAll(ordered.select(F.explode(F.slice("o.s", 1, F.col("p"))).alias("s"), "id", "n"))
+    own = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
+    return known.unionAll(own.select("id", "n", F.posexplode(F.slice("o", 1, F.col("p"))).alias("pos", "o")).select("o.s", "pos", "o.h", "id", "n"))
 
 
 def ordered_first(docs: DataFrame, ids: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(id, first): the first shingles in the order with hot ones last, where the hot ones (HOT_SENT at most) can be sent to the executors."""
+    """(id, c, first): the first shingles in the order with hot ones last, c of all are not hot; the hot ones (HOT_SENT at most) are sent to the executors."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in hot.collect()], dtype=np.int64)))
 
     def run(batches):
@@ -170,15 +189,16 @@ def ordered_first(docs: DataFrame, ids: DataFrame, hot: DataFrame, size: int, nu
         last = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
+                part, out, cold = batch.slice(at, 256), [], []
                 for t in part.column(1):
                     g = shingles(t.as_py(), size)
                     h = np.isin(g, last, assume_unique=True)
                     out.append(np.concatenate([g[~h], g[h]])[: prefix(len(g), num, den)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "first"])
+                    cold.append(int(len(g) - h.sum()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cold, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["id", "c", "first"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, first array<bigint>").dropDuplicates()
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, c int, first array<bigint>").dropDuplicates(["id"])
 
 
 def every_shingle(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -247,29 +267,46 @@ def components(pairs: DataFrame) -> DataFrame:
             return now.withColumnRenamed("c", "component")
 
 
-def with_bands(t: DataFrame, key: str) -> DataFrame:
+def salted(rows: DataFrame) -> DataFrame:
+    """Rows of hot shingles in SALTS parts, by their ids."""
+    return rows.withColumn("salt", F.when(F.col("h"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+
+
+def for_salts(known: DataFrame) -> DataFrame:
+    """What is known of a shingle, once for each part of its rows."""
+    return known.withColumn("salt", F.explode(F.when(F.col("h"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("h")
+
+
+def with_bands(t: DataFrame) -> DataFrame:
     """Rows as members of their own band's tile and, as upper ones, of the tile of the band below: a tile meets itself and the next band."""
-    own = F.struct(F.col("band"), F.lit(False).alias("up"))
-    below = F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("up"))
-    return t.withColumn("x", F.explode(F.array(own, below))).select(key, "x.band", "x.up", "id", "n", "component")
+    own = F.struct(F.col("band"), F.col("left"))
+    below = F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("left"))
+    return t.withColumn("x", F.explode(F.array(own, below))).select("s", "x.band", "x.left", "h", "pos", "id", "n", "component")
 
 
-def open_tiles(t: DataFrame, key: str) -> DataFrame:
-    """The rows of tiles that hold more than one component, with the tile's rows and its main component."""
+def open_tiles(t: DataFrame) -> DataFrame:
+    """The rows of tiles with a left row and more than one component, and the tile's counts.
+
+    rows, minors: all rows and those outside the main (largest) component; major_left,
+    minor_left: left rows within and outside it.
+    """
     known = (
-        t.groupBy(key, "band", "component").agg(F.count("*").alias("k"))
-        .groupBy(key, "band").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max(F.struct("k", "component")).alias("main"))
-        .filter("parts > 1").select(key, "band", "rows", F.col("main.component").alias("main"))
+        t.groupBy("s", "band", "component").agg(F.count("*").alias("k"), F.count_if("left").alias("l"), F.max("h").alias("h"))
+        .groupBy("s", "band").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.sum("l").alias("lefts"), F.max(F.struct("k", "component", "l")).alias("main"), F.max("h").alias("h"))
+        .filter("parts > 1 and lefts > 0")
+        .select("s", "band", "h", "rows", (F.col("rows") - F.col("main.k")).alias("minors"), F.col("main.l").alias("major_left"), (F.col("lefts") - F.col("main.l")).alias("minor_left"), F.col("main.component").alias("main"))
     )
-    return t.join(known, [key, "band"])
+    return salted(t).join(for_salts(known), ["s", "band", "salt"]).drop("salt")
 
 
 def small_tile_pairs(t: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of similar size and different components in tiles of up to HOT rows."""
-    a = t.filter(~F.col("up")).select("s", "band", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "component")))
-    b = t.select("s", "band", "up", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "component")))
-    size = (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (F.col("a_component") != F.col("b_component"))
-    pairs = a.join(b, ["s", "band"]).filter(size & (F.col("up") | (F.col("a_id") < F.col("b_id"))))
+    """Pairs (a, b) of similar size and different components in tiles of up to HOT rows, whose common shingle leaves room for a link."""
+    a = t.filter("left").select("s", "band", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "component")))
+    b = t.select("s", "band", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "component")))
+    order = F.struct("a_n", "a_id") < F.struct(F.col("b_n").alias("a_n"), F.col("b_id").alias("a_id"))
+    size = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("a_component") != F.col("b_component"))
+    room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
+    pairs = a.join(b, ["s", "band"]).filter(order & size & room)
     return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
@@ -319,37 +356,75 @@ def block_links(left: list, right: list, num: int, den: int) -> list[tuple]:
     return out
 
 
-def large_tile_links(docs: DataFrame, large: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def block_survivors(left: list, right: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows (id, component, n, pos, bitmap) of two blocks have a partner that bit counts and places do not rule out."""
+    keep, found = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+    if not left or not right:
+        return keep, found
+    size = min(len(r[4]) for r in left + right)
+    maps = np.array([fold(r[4], size).view(np.uint64) for r in right])
+    n, pos = (np.array([r[c] for r in right], dtype=np.int64) for c in (2, 3))
+    names = {c: k for k, c in enumerate(dict.fromkeys(r[1] for r in left + right))}
+    of = np.array([names[r[1]] for r in right])
+    for k, (_, c, m, q, bits) in enumerate(left):
+        w = fold(bits, size).view(np.uint64)
+        room = np.minimum(m - q, n - pos) * (num + den) >= num * (m + n)
+        at = np.flatnonzero((m <= n) & (m * den >= n * num) & (of != names[c]) & room)
+        if len(at):
+            both = np.minimum(m - np.bitwise_count(w & ~maps[at]).sum(axis=1, dtype=np.int64), n[at] - np.bitwise_count(maps[at] & ~w).sum(axis=1, dtype=np.int64))
+            at = at[both * (num + den) >= num * (n[at] + m)]
+            keep[k] = len(at) > 0
+            found[at] = True
+    return keep, found
+
+
+def large_tile_links(docs: DataFrame, reps: DataFrame, large: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links that join the components in tiles above HOT rows.
 
-    Large tiles with common members are taken together, so each class is in one of them only. Its
-    rows go to blocks of BLOCK rows: those outside the tile's main component meet all rows.
+    Two grids of blocks of about BLOCK rows a tile: left rows outside the main component against
+    all rows, and those within it against the rows outside. Blocks first meet as bitmaps; sets are
+    sent only for the rows that have a partner left.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    head = large.groupBy("s", "band").agg(F.min("id").alias("a"))
-    edges = large.join(head, ["s", "band"]).select("a", F.col("id").alias("b")).distinct()
-    family = components(edges).withColumnRenamed("component", "family")
-    t = large.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max(F.col("band") + F.col("up").cast("int")).alias("band"))
-    t = written(open_tiles(with_bands(t.join(family, "id"), "family"), "family"), "families")
-    sets = written(sets_of(docs, t.select("id").distinct(), size), "family-sets")
-    t = t.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    minor = t.filter(F.col("component") != F.col("main"))
-    tile = ["family", "band"]
-    used = minor.groupBy(*tile).agg(F.collect_set("own").alias("lefts"))
-    left = minor.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*tile, F.lit(True).alias("left"), F.col("own").alias("l"), "r", "id", "component")
-    right = t.join(used, tile).withColumn("l", F.explode("lefts")).select(*tile, F.lit(False).alias("left"), "l", F.col("own").alias("r"), "id", "component")
-    grid = left.unionAll(right).join(sets, "id")
+    minor = F.col("component") != F.col("main")
+    t = large.withColumn("a1", F.ceil(F.col("minor_left") / BLOCK).cast("int")).withColumn("b1", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    t = t.withColumn("a2", F.ceil(F.col("major_left") / BLOCK).cast("int")).withColumn("b2", F.ceil(F.col("minors") / BLOCK).cast("int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    sides = []
+    for grid, left, right in ((1, F.col("left") & minor, F.col("a1") > 0), (2, F.col("left") & ~minor, minor & (F.col("a2") > 0))):
+        a, b = f"a{grid}", f"b{grid}"
+        own = [F.lit(grid).alias("grid"), "id", "n", "pos", "component"]
+        sides.append(t.filter(left).select("s", "band", F.lit(True).alias("side"), *own, mine(a).alias("l"), upto(b).alias("r")))
+        sides.append(t.filter(right).select("s", "band", F.lit(False).alias("side"), *own, mine(b).alias("r"), upto(a).alias("l")).select(*sides[-1].columns))
+    cells = sides[0].unionAll(sides[1]).unionAll(sides[2]).unionAll(sides[3])
+    key = ["s", "band", "grid", "l", "r"]
+
+    def bound(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        cols = [table.column(c).to_pylist() for c in ("id", "component", "n", "pos")]
+        rows = list(zip(*cols, (np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist())))
+        keep = np.zeros(len(rows), dtype=bool)
+        keep[side], keep[~side] = block_survivors([x for x, y in zip(rows, side) if y], [x for x, y in zip(rows, side) if not y], num, den)
+        return pc.filter(table.select([*key, "side", "id", "component"]).combine_chunks(), pa.array(keep))
+
+    met = cells.join(reps.select("id", "bits"), "id").groupBy(*key).applyInArrow(bound, f"s long, band int, grid int, l int, r int, side boolean, id {kind}, component {kind}")
+    met = written(met, "block-rows")
+    sets = written(sets_of(docs, met.select("id").distinct(), size), "block-sets")
 
     def block(table):
         import pyarrow as pa
 
         rows = list(zip(table.column("id").to_pylist(), table.column("component").to_pylist(), (np.frombuffer(x, np.int64) for x in table.column("g").to_pylist())))
-        side = table.column("left").to_pylist()
+        side = table.column("side").to_pylist()
         found = block_links([r for r, x in zip(rows, side) if x], [r for r, x in zip(rows, side) if not x], num, den)
         id_type = table.column("id").type
         return pa.table({"a": pa.array([x for x, _ in found], id_type), "b": pa.array([x for _, x in found], id_type)})
 
-    return written(grid.groupBy(*tile, "l", "r").applyInArrow(block, f"a {kind}, b {kind}"), "family-links")
+    return written(met.join(sets, "id").groupBy(*key).applyInArrow(block, f"a {kind}, b {kind}"), "block-links")
 
 
 def join_classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -360,19 +435,20 @@ def join_classes(docs: DataFrame, id_col: str, text_col: str, size: int, num: in
     reps = written(
         signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "pre", "more", "bits")).alias("r")).select("k1", "k2", "r.*"), "classes"
     )
-    first = first_shingles(rows, reps, size, num, den)
     band = F.floor(F.log("n") / (math.log(den / num) * 1.0001)).cast("int")
-    first = first.withColumn("band", band)
-    shared = first.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
-    tiles = written(first.join(shared, "s"), "tiles")
-    pivots = tiles.groupBy("s", "band").agg(F.min(F.struct("n", "id")).alias("p")).select("s", "band", F.col("p.id").alias("a"), F.col("p.n").alias("na"))
-    stars = tiles.join(pivots, ["s", "band"]).filter((F.col("id") != F.col("a")) & (F.col("na") * den >= F.col("n") * num)).select("a", F.col("id").alias("b")).distinct()
+    left = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * num / F.lit(float(num + den)) - F.lit(1e-9)).cast("long")
+    first = first_shingles(rows, reps, size, num, den).withColumn("band", band).withColumn("left", left)
+    shared = first.groupBy("s").agg(F.count("*").alias("c"), F.max("left").alias("any"), F.max("h").alias("h")).filter("c > 1 and any").select("s", "h")
+    tiles = written(salted(first).join(for_salts(shared), ["s", "salt"]).drop("salt"), "tiles")
+    pivots = tiles.filter("left").groupBy("s", "band").agg(F.min(F.struct("n", "id")).alias("p"), F.max("h").alias("h")).select("s", "band", "h", F.col("p.id").alias("a"), F.col("p.n").alias("na"))
+    close = (F.col("id") != F.col("a")) & (F.col("na") <= F.col("n")) & (F.col("na") * den >= F.col("n") * num)
+    stars = salted(tiles).join(for_salts(pivots), ["s", "band", "salt"]).filter(close).select("a", F.col("id").alias("b")).distinct()
     found = verify(rows, reps, stars, size, num, den)
     labels = components(found)
     placed = tiles.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = written(open_tiles(with_bands(placed, "s"), "s"), "open-tiles")
+    rest = written(open_tiles(with_bands(placed)), "open-tiles")
     more = verify(rows, reps, small_tile_pairs(rest.filter(F.col("rows") <= HOT), num, den), size, num, den)
-    dense = large_tile_links(rows, rest.filter(F.col("rows") > HOT), size, num, den)
+    dense = large_tile_links(rows, reps, rest.filter(F.col("rows") > HOT), size, num, den)
     labels = components(found.unionAll(more).unionAll(dense))
     classes = reps.select("k1", "k2", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return signed, classes.select("k1", "k2", F.coalesce("component", "rep").alias("c"))

@@ -75,3 +75,24 @@ def test_bounds_never_rule_out_a_link():
         if len(b) and j.links(a, b, 85, 100):
             assert j.may_link(len(a), j.bitmap(a), len(b), j.bitmap(b), 85, 100)
             assert j.block_links([(1, 1, a)], [(2, 2, b)], 85, 100) == [(1, 2)]
+
+
+def test_documents_of_one_template_make_no_tiles(spark, monkeypatch):
+    monkeypatch.setattr(j, "HOT", 8)
+    seen = []
+    large = j.large_tile_links
+    monkeypatch.setattr(j, "large_tile_links", lambda docs, reps, rows, *a: (seen.append(rows.count()), large(docs, reps, rows, *a))[1])
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(90)]
+    rows = [(k, " ".join(template + [f"o{rng.randrange(10**6)}" for _ in range(10)])) for k in range(60)]
+    rows += [(100 + k, " ".join([*rows[k][1].split()[:-1], "end"])) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.component_ids(df, size=4, num=85, den=100).collect()}
+    assert got == brute(rows, 4, 85, 100) and got[100][1] == 0 and seen == [0]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k * k % 9973}" for k in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "other " * 100_000), (4, "x" * 2_000_000)]
+    got = {r.doc_id: r.component_id for r in j.component_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
