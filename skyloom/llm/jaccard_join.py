@@ -145,14 +145,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(s, pos, h, id, n): the first shingles of each class in the order with hot ones last, their places, and whether they are hot.
 
-    Hot are shingles among the first by hash of more than HOT classes. Where these leave a class
-    too few, the next ones of its template would take their place, so all shingles of such classes
-    are counted, and those that more than HOT of them hold are hot as well.
+    Hot are shingles among the stored ones of more than HOT classes. Where these leave a class too
+    few, the next ones of its template would take their place, so all shingles of such classes are
+    counted, and those that more than HOT of them hold are hot as well.
     """
     p = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - F.lit(1e-9)).cast("long") + 1
     reps = reps.select("id", "n", "pre", "more", p.cast("int").alias("p"))
-    plain = reps.select(F.explode(F.slice("pre", 1, F.col("p"))).alias("s"))
-    hot = written(plain.groupBy("s").count().filter(F.col("count") > HOT).select("s"), "hot-shingles")
+    hot = written(reps.select(F.explode("pre").alias("s")).groupBy("s").count().filter(F.col("count") > HOT).select("s"), "hot-shingles")
 
     def ordered(hot: DataFrame) -> DataFrame:
         theirs = reps.select("id", F.explode("pre").alias("s")).join(hot, "s").groupBy("id").agg(F.collect_set("s").alias("hot"))
