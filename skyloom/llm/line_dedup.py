@@ -1,26 +1,65 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a table of (h1, h2, owner), bucketed and sorted by the 128-bit hash of the line's
-key. A new batch is reduced to one row a key, merge-anti-joined with the runs so that only
-keys seen for the first time are left, and those are added as a run of level 0. When a level
-holds ``fanout`` runs they are merged into one run of the next level, so a batch is joined
-with at most ``(fanout - 1) * levels`` runs. Runs and batches share the bucketing: a run is
-never shuffled again, a batch once.
+The hashes of all lines are shuffled once, into a table bucketed by the 128-bit hash of the line's
+key. A run is a table of (h1, h2, owner) with the same buckets, one sorted file a bucket. A new
+batch of lines is reduced to one row a key inside its buckets, merge-anti-joined with each run so
+that only keys seen for the first time are left, and those are added as a run of level 0. When a
+level holds ``fanout`` runs they are merged, bucket by bucket, into one run of the next level, so a
+batch is joined with at most ``(fanout - 1) * levels`` runs. Neither the lines nor a run are
+shuffled again, and sorted files are not sorted again for a join.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from functools import reduce
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .shared import ASCII_SPACE, fold_ascii, free_name, scratch
+from .shared import ASCII_SPACE, discard, fold_ascii, free_name, scratch, written
 
 MIN_POINTS = 10
-BATCHES = 3
+#: Bytes of text behind one batch of lines, and the batches that are made at least.
+BATCH_BYTES, MIN_BATCHES = 1 << 40, 4
 FANOUT = 2
+KEY = ["h1", "h2"]
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Plans made inside take the order of bucket files as given, where a bucket is one file."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+class Tables:
+    """Bucketed tables in the shared folder, dropped with their files."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.paths = spark, buckets, {}
+
+    def write(self, rows: DataFrame, kind: str) -> str:
+        """``rows``, which are dealt by the key, as a table of one sorted file a bucket."""
+        name = f"line_{kind}_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, f"line-{kind}")
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.paths[name]).saveAsTable(name)
+        return name
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, *KEY)
+
+    def drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, self.paths.pop(name))
 
 
 class LineRuns:
@@ -31,49 +70,71 @@ class LineRuns:
             raise ValueError("fanout must be 2 or more")
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables = Tables(spark, self.buckets)
         self.levels: list[list[str]] = []
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-            .option("path", scratch(self.spark, "line-run")).saveAsTable(name)
-        )
-        return name
-
     def runs(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
     def seen(self) -> DataFrame | None:
         """All (h1, h2, owner) so far, each key once; None before the first batch."""
-        tables = [self.spark.table(t) for t in self.runs()]
-        return reduce(DataFrame.unionAll, tables) if tables else None
+        out = None
+        for t in self.runs():
+            out = self.spark.table(t) if out is None else out.unionAll(self.spark.table(t))
+        return out
 
-    def add(self, firsts: DataFrame) -> str:
-        """Adds the keys of ``firsts`` (h1, h2, owner; one row a key) that no run holds."""
+    def unseen(self, firsts: DataFrame) -> DataFrame:
+        """The keys of ``firsts`` that no run holds: a merge anti-join with each run."""
         for t in self.runs():
-            firsts = firsts.join(self.spark.table(t).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        name = self._write(firsts)
+            firsts = firsts.join(self.spark.table(t).select(*KEY).hint("merge"), KEY, "left_anti")
+        return firsts
+
+    def lost(self, lines: DataFrame) -> DataFrame:
+        """The rows of ``lines`` (id, h1, h2, ...) whose key another id owns: one merge join a run, the owner compared after it."""
+        own = lines.columns
+        owner = F.lit(None)
+        for k, t in enumerate(self.runs()):
+            lines = lines.join(self.spark.table(t).withColumnRenamed("owner", f"owner_{k}").hint("merge"), KEY, "left")
+            owner = F.coalesce(owner, F.col(f"owner_{k}"))
+        return lines.filter(owner != F.col("id")).select(*own)
+
+    def add(self, firsts: DataFrame) -> str:
+        """Adds the keys of ``firsts`` (h1, h2, owner; one row a key, dealt by the key) that no run holds."""
+        with sorted_buckets(self.spark):
+            name = self.tables.write(self.unseen(firsts), "run")
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(name)
         self._compact()
         return name
 
+    def merged(self, names: list[str]) -> DataFrame:
+        """Runs as one: merge joins of disjoint keys, bucket by bucket."""
+        out = self.spark.table(names[0])
+        for t in names[1:]:
+            more = self.spark.table(t).withColumnRenamed("owner", "more").hint("merge")
+            out = out.join(more, KEY, "full").select(*KEY, F.coalesce("owner", "more").alias("owner"))
+        return out
+
     def _compact(self) -> None:
         k = 0
         while k < len(self.levels):
             if len(self.levels[k]) >= self.fanout:
                 old = self.levels[k]
-                merged = self._write(reduce(DataFrame.unionAll, [self.spark.table(t) for t in old]))
+                with sorted_buckets(self.spark):
+                    merged = self.tables.write(self.merged(old), "run")
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
-                for t in old:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+                self.tables.drop(old)
             k += 1
 
+    def drop(self) -> None:
+        """Drops all runs and their files."""
+        self.tables.drop(self.runs())
+        self.levels = []
+
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_points: int = MIN_POINTS) -> DataFrame:
     """(id, t, pos, h1, h2) of every line whose key has ``min_points`` code points or more.
@@ -91,8 +152,13 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def batch_edges(docs: DataFrame, id_col: str, batches: int) -> list:
-    """Ids that cut the table into about equal batches of ascending ids, from the id column alone."""
+def batch_edges(docs: DataFrame, id_col: str, text_col: str, batches: int | None) -> list:
+    """Ids that cut the table into about equal batches of ascending ids; one batch where ids are not numeric."""
+    if not isinstance(docs.schema[id_col].dataType, NumericType):
+        return []
+    if batches is None:
+        total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        batches = max(MIN_BATCHES, math.ceil(total / BATCH_BYTES))
     if batches < 2:
         return []
     at = [k / batches for k in range(1, batches)]
@@ -102,38 +168,41 @@ def batch_edges(docs: DataFrame, id_col: str, batches: int) -> list:
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_points: int = MIN_POINTS,
-    batches: int = BATCHES, fanout: int = FANOUT, runs: LineRuns | None = None,
+    batches: int | None = None, fanout: int = FANOUT, runs: LineRuns | None = None,
 ) -> DataFrame:
     """``docs`` with the columns ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Lines end at \\n; a null or empty text is one empty line. A line's key is the line without
     ASCII white space at both ends and with A-Z lower-cased. A key of ``min_points`` code points
     or more keeps its lines (also repeats) in the smallest id that holds it and loses them in all
-    other ids. Shorter lines stay. Batches are ascending ranges of ids, so the first run that
-    holds a key has its smallest owner. With ``runs`` (from earlier calls on smaller ids) the
-    keys of earlier batches count as well, and the new ones are added.
+    other ids. Shorter lines stay. Batches are ascending ranges of numeric ids (default: one for
+    each BATCH_BYTES of text, MIN_BATCHES at least; ids of other types make one batch), so the
+    first run that holds a key has its smallest owner. With ``runs`` (from earlier calls on
+    smaller ids) the keys of earlier batches count as well, and the new ones are added; without,
+    the runs are dropped at the end. Only the positions of lost lines are written.
 
     Rows with a null id are kept whole and own no key. Repeated rows share their id's fate, so
     each of them keeps the lines that the id owns. Columns called kept_text, n_lines or n_dropped
     are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    runs = runs or LineRuns(spark, fanout=fanout)
-    edges = batch_edges(docs, id_col, batches)
+    own_runs = runs is None
+    runs = LineRuns(spark, fanout=fanout) if own_runs else runs
+    edges = batch_edges(docs, id_col, text_col, batches)
+    tables = Tables(spark, runs.buckets)
+    name = tables.write(tables.dealt(line_hashes(docs, id_col, text_col, min_points)), "lines")
     for lo, hi in zip([None, *edges], [*edges, None]):
-        batch = docs
+        batch = spark.table(name)
         if lo is not None:
-            batch = batch.filter(F.col(id_col) > F.lit(lo))
+            batch = batch.filter(F.col("id") > F.lit(lo))
         if hi is not None:
-            batch = batch.filter(F.col(id_col) <= F.lit(hi))
-        firsts = line_hashes(batch, id_col, text_col, min_points).groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-        runs.add(firsts)
-    owners = runs.seen().withColumnRenamed("owner", "id")
-    lost = (
-        line_hashes(docs, id_col, text_col, min_points)
-        .join(owners, ["h1", "h2", "id"], "left_anti")
-        .groupBy("id", "t").agg(F.collect_list("pos").alias("lost"))
-    )
+            batch = batch.filter(F.col("id") <= F.lit(hi))
+        runs.add(batch.groupBy(*KEY).agg(F.min("id").alias("owner")))
+    with sorted_buckets(spark):
+        lost = written(runs.lost(spark.table(name)).groupBy("id", "t").agg(F.collect_list("pos").alias("lost")), "lost-lines")
+    tables.drop([name])
+    if own_runs:
+        runs.drop()
     own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     whole, lines, gone = (free_name(docs, x) for x in ("whole", "lines", "gone"))
     d = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias(whole)).alias("d")

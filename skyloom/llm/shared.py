@@ -13,25 +13,48 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+_TOPS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is made.
+    Only where that is unset and the session is local (as in tests) a temporary folder is made;
+    on a cluster that would be another disk on each machine, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which goes when the driver ends."""
+    top = f"{shared_dir(spark)}/skyloom/{spark.sparkContext.applicationId}"
+    if top not in _TOPS:
+        _TOPS.add(top)
+        at, fs = _hadoop(spark, top)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Path and file system in the driver's JVM."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder."""
+    at, fs = _hadoop(spark, path)
+    fs.delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
-from skyloom.llm.line_dedup import LineRuns, dedup_lines, line_hashes
+from skyloom.llm.line_dedup import KEY, LineRuns, Tables, dedup_lines, line_hashes, sorted_buckets
+from skyloom.llm.shared import scratch
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -51,3 +52,46 @@ def test_runs_compact_and_later_batches_lose_to_earlier(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.seen().count() == 6
     assert line_hashes(spark.createDataFrame([(1, "ab")], "doc_id long, text string")).count() == 0
+
+
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f"line shared by all\nline of number {k % 40}") for k in range(200)], "doc_id long, text string")
+    runs, tables = LineRuns(spark, buckets=3, fanout=3), Tables(spark, 3)
+    lines = tables.write(tables.dealt(line_hashes(docs)), "lines")
+
+    def plan(df):
+        with sorted_buckets(spark):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+    for lo in (0, 100):
+        batch = spark.table(lines).filter((F.col("id") >= lo) & (F.col("id") < lo + 100)).groupBy(*KEY).agg(F.min("id").alias("owner"))
+        text = plan(runs.unseen(batch))
+        assert "Exchange" not in text and "Sort " not in text
+        runs.add(batch)
+    for df in (runs.lost(spark.table(lines)), runs.merged(runs.runs())):
+        text = plan(df)
+        assert "SortMergeJoin" in text and "Exchange" not in text and "Sort " not in text
+    assert runs.lost(spark.table(lines)).count() == 200 - 1 + 160
+    runs.drop()
+    tables.drop([lines])
+
+
+def test_nothing_is_left_behind(spark):
+    import os
+
+    top = os.path.dirname(scratch(spark, "x")).removeprefix("file:")
+    runs = lambda: {x for x in os.listdir(top) if x.startswith(("line-run", "line-lines"))}
+    before, files = {t.name for t in spark.catalog.listTables()}, runs()
+    docs = spark.createDataFrame([(k, "one shared line\nand another") for k in range(9)], "doc_id long, text string")
+    assert dedup_lines(docs).filter("n_dropped = 2").count() == 8
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert runs() == files
+
+
+def test_long_lines_and_ids_of_text(spark):
+    long = "a" * 3_000_000
+    docs = spark.createDataFrame([("b", long + "\nshort"), ("a", "x\n" + long.upper()), ("c", "only one line of its own")], "doc_id string, text string")
+    got = {r.doc_id: (r.kept_text, r.n_dropped) for r in dedup_lines(docs).collect()}
+    assert got == {"a": ("x\n" + long.upper(), 0), "b": ("short", 1), "c": ("only one line of its own", 0)}
