@@ -5,7 +5,8 @@ are packed into bits, with two scalars a row: the length of the difference, and
 of the code with the direction it stands for. Search: the code's inner product with the rotated
 query, divided by that scalar, estimates the true one within a known error at high probability.
 Rows whose upper bound reaches the k-th best score so far are scored exactly on the original
-vectors; the others are passed over.
+vectors; the others are passed over. Tiles of the index and blocks of queries meet on the
+executors, one plan for any number of queries: a cell holds one of each, and leaves the best k.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .shared import written
 
 #: Width of the error bound in standard deviations.
 WIDTH = 3.0
-#: Rows that the centre is fitted on at most, and queries that one pass over the index serves.
-CENTRE_ROWS, QUERY_BLOCK = 20_000, 2048
+#: Rows that the centre is fitted on at most, bytes of vectors in a tile or a block, and queries that are searched at once.
+CENTRE_ROWS, CELL_BYTES, QUERY_STEP = 20_000, 32 << 20, 2048
 SEED = 20
 
 
@@ -140,48 +141,54 @@ class Search:
 
 def nearest(
     df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 5, dim: int | None = None,
-    width: float = WIDTH, seed: int = SEED, query_block: int = QUERY_BLOCK,
+    width: float = WIDTH, seed: int = SEED, query_block: int | None = None, tile_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, <id_col>, score): the k nearest rows of ``df`` for each row of ``queries``, by cosine.
 
     A row is never its own query's neighbour. Ties go to the smaller id. Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do rows with a null id or with
     another number of components than ``dim`` (default: the most frequent one). Repeated rows
-    are candidates of their own. Queries go over the index in blocks of about ``query_block``,
-    each sent to the executors (at most a few MB); an index row is compared with a whole block
-    at once. Empty tables give an empty result.
+    are candidates of their own. Tiles of ``tile_rows`` rows and blocks of ``query_block`` queries
+    (default: CELL_BYTES of vectors each) meet as cells, so a row is sent once for each block and a
+    query once for each tile. Empty tables give an empty result.
     """
     spark = df.sparkSession
     rows, dim = usable(df, id_col, vec_col, dim)
     asked, _ = usable(queries, id_col, vec_col, dim)
     index, centre = build_index(rows, dim, seed)
-    asked = written(asked.dropDuplicates(["id"]).withColumn("h", F.xxhash64("id")), "ann-queries")
-    blocks = max(1, math.ceil(asked.count() / query_block))
+    asked = written(asked.dropDuplicates(["id"]), "ann-queries")
+    n, m, fits = index.count(), asked.count(), max(1, CELL_BYTES // (8 * dim))
+    # small tables are cut further, so that all cores have a tile
+    tiles = max(1, math.ceil(n / (tile_rows or fits)), min(spark.sparkContext.defaultParallelism, n // 1024))
+    blocks = max(1, math.ceil(m / (query_block or fits)))
     turn, kind = rotation(dim, seed), rows.schema["id"].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        block = asked.filter(F.pmod("h", F.lit(blocks)) == b).select("id", "v").toPandas().sort_values("id")
-        if not len(block):
-            continue
-        sent = spark.sparkContext.broadcast((block["id"].to_numpy(), np.array(block["v"].tolist())))
-
-        def run(batches, sent=sent):
-            import pyarrow as pa
-
-            ids, vectors = sent.value
-            s = Search(ids, vectors, centre, turn, k, width)
-            for batch in batches:
-                step = max(256, 4_000_000 // len(ids))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    bits = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                    s.batch(part.column(0).to_numpy(), matrix(part.column(1), dim), bits, *(part.column(c).to_numpy() for c in (3, 4, 5)))
-            q, c, score = s.best
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c), pa.array(score)], ["query_id", "id", "score"])
-
-        found = index.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    tiled = index.withColumn("tile", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(tiles)).cast("int")).withColumn("block", each(blocks))
+    cut = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("tile", each(tiles))
+
+    def cell(index, queries):
+        import pyarrow as pa
+
+        index, queries = index.combine_chunks(), queries.combine_chunks()
+        out = []
+        if index.num_rows and queries.num_rows:
+            asked_ids, vectors = queries.column("id").to_numpy(), matrix(queries.column("v").combine_chunks(), dim)
+            bits = np.frombuffer(b"".join(index.column("bits").to_pylist()), dtype=np.uint8).reshape(index.num_rows, -1)
+            ids, all_ = index.column("id").to_numpy(), matrix(index.column("v").combine_chunks(), dim)
+            scalars = [index.column(c).to_numpy() for c in ("length", "along", "fit")]
+            for a in range(0, len(asked_ids), QUERY_STEP):
+                s = Search(asked_ids[a : a + QUERY_STEP], vectors[a : a + QUERY_STEP], centre, turn, k, width)
+                step = max(256, 4_000_000 // len(s.ids))
+                for at in range(0, len(ids), step):
+                    part = slice(at, at + step)
+                    s.batch(ids[part], all_[part], bits[part], *(x[part] for x in scalars))
+                q, c, score = s.best
+                out.append((s.ids[q], c, score))
+        types = [index.schema.field("id").type] * 2 + [pa.float64()]
+        columns = [pa.array(np.concatenate(x), type=t) for x, t in zip(zip(*out), types)] or [pa.nulls(0, t) for t in types]
+        return pa.table(columns, ["query_id", "id", "score"])
+
+    keys = ["tile", "block"]
+    found = tiled.groupBy(*keys).cogroup(cut.groupBy(*keys)).applyInArrow(cell, f"query_id {kind}, id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

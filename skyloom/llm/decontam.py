@@ -1,9 +1,13 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
-
-One pass finds the n-grams of the test items in each whole document, however common they are,
-takes the stretch around each group of hits and, where it holds enough of the item's words for
-the score, aligns it with the item; the alignment's score, over that of the item with itself,
-measures how much of the item the stretch holds, edits and gaps included.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+Seeds are pairs of an item's words that stand one or two apart. An alignment of score S or more
+with m matches has at most 2 m - S edits, and two edits must fall between two matches to keep them
+from being such a pair on both sides; so at least ``ceil(S / 2) - 1`` seeds begin at different words
+of the item and of the document, within the stretch that the alignment can span. Up to half of
+those may be left out: the pairs that many items hold. One pass finds the rest in each whole
+document and aligns only the stretches that hold as many as are due, so no alignment that scores
+enough is missed, whatever its edits. Its score over that of the item with itself measures how
+much of the item the stretch holds.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NGRAM = 3
 SCORE = 0.5
+#: Items from which a pair counts as common.
+COMMON = 50
 #: Items that one pass over the documents serves; a bound on what is sent to the executors.
 ITEM_BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -42,12 +47,12 @@ def words(text: str | None) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, WORD.findall((text or "").lower())), dtype=np.uint64)
 
 
-def ngrams(w: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(w) - n + 1), dtype=np.uint64)
-    for k in range(n):
-        out = (out ^ w[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+def pairs(w: np.ndarray, gap: int) -> np.ndarray:
+    """A hash of each word with the one ``gap`` places on; 0: of the word alone."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    a, b = (w, np.uint64(0)) if gap == 0 else (w[:-gap], w[gap:])
+    g = ((a * mix) ^ b) * mix
+    return g ^ (g >> np.uint64(29))
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
@@ -67,60 +72,91 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
 
 
 class Seeds:
-    """The n-grams of a block of items, with a bit table that turns most others away."""
+    """The seeds of a block of items, with a bit table that turns most other pairs away.
+
+    need: the seeds that an alignment of ``least`` of the item's score must begin at different
+    words; reach: the words of a document that it can span. Items too short for a seed are sought
+    as a whole: one word, or two in a row.
+    """
 
-    def __init__(self, items: list[tuple[object, np.ndarray]], n: int):
-        self.items, self.n = items, n
-        where = defaultdict(list)
+    def __init__(self, items: list[tuple[object, np.ndarray]], least: float):
+        self.items, self.least = items, least
+        size = np.array([len(w) for _, w in items], dtype=np.int64)
+        score = np.ceil(MATCH * least * size - 1e-9).astype(np.int64)
+        self.need = np.maximum(1, -(-score // 2) - 1)
+        self.reach = 3 * size - score
+        self.gaps = [1, 2] + [0] * bool((size == 1).any())
+        key, item, start = [], [], []
         for k, (_, w) in enumerate(items):
-            for q, g in enumerate(ngrams(w, min(n, max(1, len(w)))).tolist()):
-                where[(min(n, max(1, len(w))), g)].append((k, q))
-        self.sizes = sorted({m for m, _ in where})
-        self.keys, self.places, self.bits = {}, {}, {}
-        for m in self.sizes:
-            keys = np.array(sorted(g for a, g in where if a == m), dtype=np.uint64)
-            self.keys[m] = keys
-            self.places[m] = [where[(m, g)] for g in keys.tolist()]
-            self.bits[m] = np.zeros(1 << 20, dtype=bool)
-            self.bits[m][keys >> np.uint64(44)] = True
-
-    def hits(self, w: np.ndarray):
-        """(n-gram size, index of the key, position) of each known n-gram in the words."""
-        for m in self.sizes:
-            g = ngrams(w, m)
-            at = np.flatnonzero(self.bits[m][g >> np.uint64(44)])
-            if len(at):
-                k = np.searchsorted(self.keys[m], g[at])
-                k[k == len(self.keys[m])] = 0
-                ok = self.keys[m][k] == g[at]
-                yield from ((m, a, b) for a, b in zip(k[ok].tolist(), at[ok].tolist()))
-
-
-def find(seeds: Seeds, w: np.ndarray, least: float):
+            for gap in (1, 2) if len(w) > 2 else (len(w) - 1,):
+                g = pairs(w, gap)
+                key.append(g)
+                item.append(np.full(len(g), k, dtype=np.int64))
+                start.append(np.arange(len(g)))
+        key, item, start = (np.concatenate(x) for x in (key, item, start))
+        held = np.unique(np.stack([key, item.astype(np.uint64)]), axis=1)[0]
+        known, holders = np.unique(held, return_counts=True)
+        holders = holders[np.searchsorted(known, key)]
+        keep = np.ones(len(key), dtype=bool)
+        at = np.flatnonzero(holders > COMMON)
+        begins = {}
+        for k, q, n in zip(item[at].tolist(), start[at].tolist(), holders[at].tolist()):
+            begins.setdefault(k, {})[q] = max(n, begins.get(k, {}).get(q, 0))
+        for k, common in begins.items():
+            out = sorted(common, key=lambda q: -common[q])[: int(self.need[k]) // 2]
+            keep &= ~((item == k) & np.isin(start, out))
+            self.need[k] -= len(out)
+        key, item = key[keep], item[keep]
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.item, self.first = item[order], np.append(first, len(key))
+        bits = min(26, max(20, (16 * len(self.keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.bits = np.zeros(1 << bits, dtype=bool)
+        self.bits[self.keys >> self.shift] = True
+
+    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position) of the seeds in the words, each once, in this order."""
+        keys, places = [], []
+        for gap in self.gaps:
+            g = pairs(w, gap)
+            at = np.flatnonzero(self.bits[g >> self.shift])
+            k = np.searchsorted(self.keys, g[at])
+            k[k == len(self.keys)] = 0
+            ok = self.keys[k] == g[at] if len(self.keys) else np.zeros(len(at), dtype=bool)
+            keys.append(k[ok])
+            places.append(at[ok])
+        k, at = np.concatenate(keys), np.concatenate(places)
+        n = self.first[k + 1] - self.first[k] if len(k) else np.zeros(0, dtype=np.int64)
+        each = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(k) else n
+        both = np.unique(self.item[each] * (len(w) + 1) + np.repeat(at, n))
+        return both // (len(w) + 1), both % (len(w) + 1)
+
+
+def find(seeds: Seeds, w: np.ndarray):
     """(item, score, doc start, doc end, item start, item end, seeds) for each item the words hold; word positions."""
-    starts = defaultdict(list)
-    for m, k, at in seeds.hits(w):
-        for item, q in seeds.places[m][k]:
-            starts[item].append(at - q)
-    for item, at in starts.items():
-        ids, x = seeds.items[item]
-        room, best = len(x) // 2 + 5, None
-        at.sort()
-        lo = 0
-        while lo < len(at):
-            hi = lo
-            while hi + 1 < len(at) and at[hi + 1] - at[hi] <= len(x):
-                hi += 1
-            a, b = max(0, at[lo] - room), min(len(w), at[hi] + len(x) + room)
+    item, at = seeds.hits(w)
+    last = np.arange(len(item)) + seeds.need[item] - 1
+    ok = np.flatnonzero(last < len(item))
+    ok = ok[(item[last[ok]] == item[ok]) & (at[last[ok]] - at[ok] <= seeds.reach[item[ok]])]
+    for k in np.unique(item[ok]).tolist():
+        ids, x = seeds.items[k]
+        reach, mine, best = int(seeds.reach[k]), ok[item[ok] == k], None
+        lo, hi, part_of = np.maximum(0, at[mine] - reach), np.minimum(len(w), at[last[mine]] + reach + 3), []
+        for a, b in zip(lo.tolist(), hi.tolist()):
+            if part_of and a <= part_of[-1][1]:
+                part_of[-1][1] = max(b, part_of[-1][1])
+            else:
+                part_of.append([a, b])
+        for a, b in part_of:
             part = w[a:b]
-            if np.isin(x, part).mean() >= least:
-                s, i, j = align(x, part)
-                if s >= least * MATCH * len(x) and (best is None or s > best[0]):
-                    _, i0, j0 = align(x[:i][::-1], part[:j][::-1])
-                    best = (s, a + j - j0, a + j, i - i0, i)
-            n, lo = hi - lo + 1, hi + 1
-            if best is not None and len(best) == 5:
-                best = (*best, n)
+            if np.isin(x, part).mean() < seeds.least:
+                continue
+            s, i, j = align(x, part)
+            if s >= seeds.least * MATCH * len(x) - 1e-9 and (best is None or s > best[0]):
+                _, i0, j0 = align(x[:i][::-1], part[:j][::-1])
+                n = int(((item == k) & (at >= a) & (at < b)).sum())
+                best = (s, a + j - j0, a + j, i - i0, i, n)
         if best is not None:
             s, *rest = best
             yield (ids, s / (MATCH * len(x)), *rest)
@@ -128,15 +164,15 @@ def find(seeds: Seeds, w: np.ndarray, least: float):
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *,
-    ngram: int = NGRAM, score: float = SCORE, item_block: int = ITEM_BLOCK,
+    score: float = SCORE, item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """One row for each document and test item that it holds: ids, score (to 1), spans in words and seeds.
 
     doc_start, doc_end, item_start and item_end are word positions, ends exclusive. A document is
     listed where the best alignment of the item within it scores ``score`` of the item's own or
-    more and it holds ``ngram`` words of the item in a row. Words are runs of letters, digits and
-    underscores, lower-cased. Items shorter than ``ngram`` words are sought whole; items and texts
-    without words (null, empty) match nothing.
+    more; the seeds miss none of these. Words are runs of letters, digits and underscores,
+    lower-cased. Items of one or two words are sought whole; items and texts without words (null,
+    empty) match nothing.
     Items go in blocks of ``item_block``, each sent to all tasks and met by all documents. Rows
     with null ids are left out; repeated rows are listed each. Empty tables give an empty result.
     """
@@ -152,7 +188,7 @@ def contaminated(
         items = [(r["id"], w) for r in got if len(w := words(r["text"]))]
         if not items:
             continue
-        sent = spark.sparkContext.broadcast(Seeds(items, ngram))
+        sent = spark.sparkContext.broadcast(Seeds(items, score))
 
         def match(batches, sent=sent):
             import pyarrow as pa
@@ -161,7 +197,7 @@ def contaminated(
             for batch in batches:
                 found = []
                 for i, t in zip(batch.column(0), batch.column(1)):
-                    found += [(i.as_py(), *x) for x in find(sent.value, words(t.as_py()), score)]
+                    found += [(i.as_py(), *x) for x in find(sent.value, words(t.as_py()))]
                 types = [batch.column(0).type, None, pa.float64()] + [pa.int64()] * 5
                 cols = list(zip(*found))
                 if cols:

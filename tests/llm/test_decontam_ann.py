@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 from skyloom.llm.ann import nearest
-from skyloom.llm.decontam import GAP, MATCH, MISMATCH, align, contaminated, words
+from skyloom.llm import decontam
+from skyloom.llm.decontam import GAP, MATCH, MISMATCH, Seeds, align, contaminated, find, words
 
 
 def brute_align(a, b):
@@ -69,6 +70,63 @@ def test_edited_copies_in_many_documents_are_caught(spark):
         assert all(abs(r.score - brute_align(item, y) / (MATCH * len(item))) < 1e-9 for r in got)
 
 
+def edits(rng, item, vocab):
+    kind, out = rng.randrange(4), []
+    for k, x in enumerate(item):
+        if kind == 0 and k % 3 == 2:
+            out.append(rng.choice(vocab))
+        elif kind == 1 and k % 2:
+            out += [x, rng.choice(vocab)]
+        elif kind == 2 and rng.random() < 0.3:
+            out += rng.choice([[], [rng.choice(vocab)], [x, rng.choice(vocab)]])
+        else:
+            out.append(x)
+    return out
+
+
+def test_seeds_miss_no_alignment_that_scores_enough(monkeypatch):
+    rng = random.Random(8)
+    for common in (decontam.COMMON, 1):
+        monkeypatch.setattr(decontam, "COMMON", common)
+        vocab = [f"w{k}" for k in range(60)]
+        items = [(k, words(" ".join(rng.choice(vocab) for _ in range(rng.randrange(3, 40))))) for k in range(40)]
+        raw = {k: rng.sample(vocab, 30)[: rng.randrange(3, 30)] for k in range(40, 80)}
+        items += [(k, words(" ".join(x))) for k, x in raw.items()]
+        seeds, hit = Seeds(items, 0.5), 0
+        for _ in range(150):
+            body = [rng.choice(vocab) for _ in range(rng.randrange(0, 80))]
+            at = rng.randrange(len(body) + 1)
+            w = words(" ".join(body[:at] + edits(rng, raw[rng.randrange(40, 80)], vocab) + body[at:]))
+            want = {i: s / (MATCH * len(x)) for i, x in items if len(w) and (s := align(x, w)[0]) >= MATCH * len(x) / 2}
+            got = {i: s for i, s, *_ in find(seeds, w)}
+            assert got == want
+            hit += len(want)
+        assert hit > 100
+
+
+def test_every_document_against_every_item(spark):
+    """Recall over all pairs of the smallest tables, whole texts: 1."""
+    folder = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs, bench).collect()}
+    items = [(r.item_id, words(r.text)) for r in bench.collect()]
+    want = {}
+    for r in docs.collect():
+        w = words(r.text)
+        for i, x in items:
+            if len(x) and np.isin(x, w).mean() >= 0.5:
+                s = align(x, w)[0] / (MATCH * len(x))
+                if s >= 0.5:
+                    want[r.doc_id, i] = s
+    assert got == want and want
+
+
+def test_short_items_and_very_long_texts(spark):
+    bench = spark.createDataFrame([(1, "alone"), (2, "two words"), (3, "now three words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "all alone here"), (2, "words two"), (3, "two words"), (4, "filler " * 300_000 + "Now three, words"), (5, "x" * 3_000_000)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (4, 3)}
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(8, 24))
@@ -96,3 +154,13 @@ def test_neighbours_against_brute_force(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.filter("vec_id in (0, 50, 51)")
     assert nearest(few, few.filter("vec_id = 0")).count() == 2
+
+
+def test_one_plan_for_any_number_of_queries(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(600)], "vec_id long, embedding array<double>")
+    plans = [nearest(df, df.filter(f"vec_id % {n} = 0"), query_block=10, tile_rows=100) for n in (50, 2)]
+    size = [len(p._jdf.queryExecution().optimizedPlan().toString().splitlines()) for p in plans]
+    assert size[0] == size[1]
+    whole = {(r.query_id, r.rank): r.vec_id for r in nearest(df, df.filter("vec_id % 2 = 0")).collect()}
+    assert {(r.query_id, r.rank): r.vec_id for r in plans[1].collect()} == whole and len(whole) == 1500
