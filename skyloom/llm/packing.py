@@ -113,8 +113,6 @@ def fill(pool: Pool, limits: tuple[int, int, int], cut: bool = True) -> list[Pie
             if n < len(p.ids):
                 p, rest = p.cut(n)
                 pool.put(rest)
-            elif s == 1 and n < t:
-                pass
         n, m = p.key()
         t, s, b = t - n, s - 1, b - m
         out.append(p)
@@ -151,13 +149,16 @@ SCHEMA = (
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_col: str | None = None, tokenizer: str | None = None, end_id: int = 0,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, loss_col: str | None = None, parts_col: str | None = None, tokenizer: str | None = None, end_id: int = 0,
     max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, cut: bool = True, with_ids: bool = False,
 ) -> DataFrame:
     """One row a piece: the id column, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment, loss_tokens and, if asked, ids.
 
     A text is tokenized whole and ``end_id`` appended; a null text is empty. loss_col is a
     boolean column: whether the row's ids bear loss (null: they do not); without it all do.
+    parts_col, in place of the text, is an array of structs (text, loss): the parts of one example
+    in turn, each tokenized by itself and each with its own mark, as prompts and answers have; the
+    end id has the last part's mark, a null array has no parts.
     Sequences hold at most max_tokens ids, max_segments pieces and max_loss loss-bearing ids
     (default: as many as tokens). Every id lies in exactly one piece. With cut=False an example
     above the limits is an error. sequence_id is unique, not gapless. Rows with null or repeated
@@ -169,7 +170,11 @@ def pack(
         raise ValueError("limits must be positive")
     kind = docs.schema[id_col].dataType.simpleString()
     name = id_col if id_col.lower() not in {x.split()[0] for x in SCHEMA.split(", ")} | {"ids"} else free_name(docs, "doc")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(loss_col), F.lit(False)).alias("b") if loss_col else F.lit(True).alias("b"))
+    if parts_col:
+        text = F.transform(F.coalesce(parts_col, F.array().cast(docs.schema[parts_col].dataType)), lambda x: F.struct(x["text"].alias("text"), F.coalesce(x["loss"], F.lit(False)).alias("loss")))
+    else:
+        text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), F.coalesce(F.col(loss_col), F.lit(False)).alias("b") if loss_col else F.lit(True).alias("b"))
 
     def run(batches):
         import pyarrow as pa
@@ -181,9 +186,19 @@ def pack(
         def examples():
             for batch in batches:
                 for i, t, b in zip(*(batch.column(k) for k in range(3))):
+                    if parts_col:
+                        yield of_parts(i, t.as_py())
+                        continue
                     ids = np.frombuffer(enc.encode(t.as_py()) + end, dtype=enc.dtype)
                     yield (i, len(ids)), ids, None if b.as_py() else np.zeros(len(ids), dtype=bool)
 
+        def of_parts(i, parts):
+            ids = [np.frombuffer(enc.encode(p["text"]), dtype=enc.dtype) for p in parts] + [np.frombuffer(end, dtype=enc.dtype)]
+            loss = [p["loss"] for p in parts]
+            marks = np.concatenate([np.full(len(x), y) for x, y in zip(ids, [*loss, bool(loss) and loss[-1]])])
+            ids = np.concatenate(ids)
+            return (i, len(ids)), ids, marks
+
         def table(rows):
             cols = list(zip(*rows))
             arrays = [pa.array([x.as_py() for x in cols[0]], type=rows[0][0].type)] + [pa.array(c, type=k) for c, k in zip(cols[1:9], [pa.int64()] * 6 + [pa.int32(), pa.int64()])]
@@ -209,3 +224,18 @@ def pack(
             yield table(out)
 
     return rows.mapInArrow(run, f"`{name}` {kind}, {SCHEMA}" + (", ids array<int>" if with_ids else ""))
+
+
+def pack_conversations(
+    turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", *, answer: str = "assistant", **limits,
+) -> DataFrame:
+    """``pack`` of conversations: one example each, its turns in order, with loss on the turns of the role ``answer``.
+
+    Takes the limits and options of ``pack``. Turns that share a number follow by role and text;
+    null texts are empty and null roles bear no loss. Turns of a null id are one example. An
+    example is the unit that is packed, so its turns meet in one task.
+    """
+    part = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    whole = turns.groupBy(id_col).agg(F.sort_array(F.collect_list(part)).alias("_turns"))
+    parts = F.transform("_turns", lambda x: F.struct(x["text"].alias("text"), (x["role"] == answer).alias("loss")))
+    return pack(whole.select(id_col, parts.alias("_parts")), id_col, parts_col="_parts", **limits)

@@ -1,13 +1,15 @@
 """Token ids in Arrow files of equal-length sequences.
 
 Each partition of the documents, in ascending order of ids, becomes one file in Arrow's
-random-access (IPC file) format: record batches of two fixed-size lists, ``ids`` and ``mask``
-(true where an id is, false in the padding of the file's last sequence). Any sequence is a
-slice of a memory-mapped buffer. An index file beside it holds (doc_id, start, n_tokens).
+random-access (IPC file) format: record batches of two fixed-size lists, ``ids`` and ``mask`` (bytes:
+1 where an id is, 0 in the padding of the file's last sequence). Any sequence and any mask is a
+slice of a memory-mapped buffer. An index file beside it holds (doc_id, start, n_tokens) in batches
+as they were written. Files are sized by the bytes of the texts.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 
@@ -22,6 +24,8 @@ from .tokens import default_path, encoder
 
 SEQUENCE = 1024
 BATCH = 256
+#: Bytes of text of one file, files that are made at least, and index rows of one batch.
+FILE_BYTES, MIN_FILES, INDEX_ROWS = 256 << 20, 8, 65_536
 
 
 def open_fs(uri: str):
@@ -40,29 +44,35 @@ class TokenFile:
         fs, path = open_fs(uri)
         self.source = pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
-        with fs.open_input_file(path + ".index") as f:
-            self.index = pa.ipc.open_file(f).read_all()
+        self.index_source = pa.memory_map(path + ".index") if fs.type_name == "local" else fs.open_input_file(path + ".index")
+        self.index = pa.ipc.open_file(self.index_source)
         self.length = self.reader.schema.field("ids").type.list_size
 
     def batches(self) -> int:
         return self.reader.num_record_batches
 
-    def batch(self, k: int) -> np.ndarray:
-        ids = self.reader.get_batch(k).column(0)
-        return ids.flatten().to_numpy(zero_copy_only=True)
+    def batch(self, k: int, column: int = 0) -> np.ndarray:
+        return self.reader.get_batch(k).column(column).flatten().to_numpy(zero_copy_only=True)
+
+    def _row(self, k: int, column: int) -> np.ndarray:
+        return self.batch(k // BATCH, column)[k % BATCH * self.length : (k % BATCH + 1) * self.length]
 
     def sequence(self, k: int) -> np.ndarray:
-        return self.batch(k // BATCH)[k % BATCH * self.length : (k % BATCH + 1) * self.length]
+        return self._row(k, 0)
 
     def mask(self, k: int) -> np.ndarray:
-        flat = self.reader.get_batch(k // BATCH).column(1)[k % BATCH]
-        return np.array(flat.as_py(), dtype=bool)
+        return self._row(k, 1)
+
+    def index_batches(self):
+        """The index in turn: lists of doc_id, start and n_tokens."""
+        for k in range(self.index.num_record_batches):
+            yield [c.to_pylist() for c in self.index.get_batch(k).columns]
 
     def spans(self):
         """(doc_id, start, n_tokens, views) of each document in turn; the views together are its ids."""
         k, flat, base = -1, np.empty(0), 0
         step = BATCH * self.length
-        for i, s, n in zip(*(self.index.column(c).to_pylist() for c in range(3))):
+        for i, s, n in (row for part in self.index_batches() for row in zip(*part)):
             views, at = [], s
             while at < s + n:
                 if at // step != k:
@@ -75,10 +85,11 @@ class TokenFile:
 
     def close(self) -> None:
         self.source.close()
+        self.index_source.close()
 
 
 class Writer:
-    """Streams ids into one file."""
+    """Streams ids into one file and its index; holds a batch of each at most."""
 
     def __init__(self, uri: str, dtype: str, length: int, id_type):
         import pyarrow as pa
@@ -86,10 +97,12 @@ class Writer:
         self.fs, self.path = open_fs(uri)
         self.dtype, self.length = np.dtype(dtype), length
         kind = pa.from_numpy_dtype(self.dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.index = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.index_out = self.fs.open_output_stream(self.path + ".index")
+        self.index_writer = pa.ipc.new_file(self.index_out, self.index)
         self.docs, self.parts, self.waiting, self.total = [], [], 0, 0
 
     def add(self, doc_id, ids: bytes) -> None:
@@ -100,6 +113,15 @@ class Writer:
         self.total += n
         if self.waiting >= BATCH * self.length:
             self._flush(False)
+        if len(self.docs) >= INDEX_ROWS:
+            self._flush_index()
+
+    def _flush_index(self) -> None:
+        import pyarrow as pa
+
+        cols = list(zip(*self.docs))
+        self.index_writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, self.index)], schema=self.index))
+        self.docs = []
 
     def _flush(self, last: bool) -> None:
         import pyarrow as pa
@@ -109,22 +131,19 @@ class Writer:
         upto = len(flat) if last else len(flat) // step * step
         for at in range(0, upto, step):
             ids = flat[at : min(at + step, upto)]
-            mask = np.ones(-(-len(ids) // self.length) * self.length, dtype=bool)
-            mask[len(ids) :] = False
+            mask = np.ones(-(-len(ids) // self.length) * self.length, dtype=np.uint8)
+            mask[len(ids) :] = 0
             ids = np.concatenate([ids, np.zeros(len(mask) - len(ids), dtype=self.dtype)])
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.parts, self.waiting = [flat[upto:].tobytes()], len(flat) - upto
 
     def close(self) -> None:
-        import pyarrow as pa
-
         self._flush(True)
-        self.writer.close()
-        self.out.close()
-        cols = list(zip(*self.docs)) or [(), (), ()]
-        with self.fs.open_output_stream(self.path + ".index") as f, pa.ipc.new_file(f, self.index) as w:
-            w.write_table(pa.table([pa.array(c, type=t.type) for c, t in zip(cols, self.index)], schema=self.index))
+        if self.docs:
+            self._flush_index()
+        for x in (self.writer, self.out, self.index_writer, self.index_out):
+            x.close()
 
 
 def write_token_files(
@@ -133,14 +152,17 @@ def write_token_files(
 ) -> DataFrame:
     """Writes the files and returns their manifest: part, file, n_docs, n_tokens, base (ids in the files before).
 
-    Files hold ascending ranges of ids (nulls first); rows that share an id stay together, in the
+    Files hold ascending ranges of ids (nulls first), ``files`` of them (default: one for each
+    FILE_BYTES of text, and no fewer than the session's default parallelism); rows that share an id stay together, in the
     order of their texts. A null text is empty, so it has the end id alone. A task that runs again
     writes another file, and only the file of the run that counts is in the manifest. An empty
     table gives no file. The texts cross the network once.
     """
     spark = docs.sparkSession
     path, tokenizer = path or scratch(spark, "token-files"), tokenizer or default_path()
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        files = max(MIN_FILES, math.ceil(total / FILE_BYTES), spark.sparkContext.defaultParallelism)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     rows = rows.repartitionByRange(files, "i").sortWithinPartitions("i", "t")
 
@@ -176,16 +198,23 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_type: str = "b
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = TokenFile(uri)
+                kinds = [f.index.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 rows = []
+
+                def table(rows, kinds=kinds):
+                    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
+
                 for i, s, n, views in f.spans():
                     crc = 0
                     for v in views:
                         crc = zlib.crc32(v.astype("<u4").tobytes(), crc)
                     rows.append((i, base + s, n, crc, uri))
+                    if len(rows) == 8192:
+                        yield table(rows)
+                        rows = []
+                if rows:
+                    yield table(rows)
                 f.close()
-                cols = list(zip(*rows)) or [()] * 5
-                kinds = [f.index.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
     n = max(1, manifest.count())
     return manifest.select("file", "base").repartition(n).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, file string")

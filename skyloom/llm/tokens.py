@@ -1,9 +1,8 @@
-"""Token ids of whole texts by the tokenizers library's file; words that came before are looked up.
+"""Token ids of whole texts by the tokenizers library; words that came before are looked up.
 
 The ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``. For
-byte-level BPE a new word of letters is merged by a bare BPE core built from the same file, as
-the library spends most of its time on offsets that are not asked for; all else that is new goes
-to the library.
+byte-level BPE the library encodes each word once and keeps no word for long; a worker's cache has
+the words that came before.
 """
 
 from __future__ import annotations
@@ -28,13 +27,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others follow from U+0100."""
-    same = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    out = {b: chr(b) for b in same}
-    return out | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in out)}
-
-
 class _Words(dict):
     """Word -> packed ids of ``prefix + word``."""
 
@@ -42,10 +34,9 @@ class _Words(dict):
         self.owner, self.prefix = owner, prefix
 
     def __missing__(self, word: str) -> bytes:
+        """Has the library encode a new word; a mark after letters is a piece of its own."""
         o = self.owner
-        if word.isalpha() and max(word) < "ɐ":
-            ids = o.one_word(self.prefix + word)
-        elif len(word) > 1 and word[-1] in END_MARKS and word[:-1].isalpha():
+        if len(word) > 1 and word[-1] in END_MARKS and word[:-1].isalpha():
             ids = self[word[:-1]] + o.start[word[-1]]
         else:
             ids = o.plain(self.prefix + word)
@@ -74,7 +65,6 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
-        self.core = self._core(spec) if self.by_word else None
         self.start, self.inner = _Words(self, ""), _Words(self, " ")
         self.line_end = self.plain("\n")
 
@@ -84,24 +74,6 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _core(self, spec: dict):
-        """Byte-pair merging of one word over the file's own merges, without the library's offsets.
-
-        It needs ids in merge order; where a file has others, words go to the library.
-        """
-        import tiktoken
-
-        vocab, letters = spec["model"]["vocab"], {v: k for k, v in _byte_letters().items()}
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        order = [vocab[a + b] for a, b in merges]
-        if order != sorted(order) or spec["model"].get("type", "BPE") != "BPE":
-            return None
-        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
-        return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-
-    def one_word(self, word: str) -> bytes:
-        return self.pack(self.core.encode_single_piece(word.encode())) if self.core else self.plain(word)
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""

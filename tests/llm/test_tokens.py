@@ -92,7 +92,9 @@ def test_token_files_round_trip(spark, tok, tmp_path):
         n = len(whole) // 64
         assert all((f.sequence(k) == whole[k * 64 : k * 64 + 64]).all() for k in range(n))
         assert sum(int(f.mask(k).sum()) for k in range(n)) == r.n_tokens
-        assert not f.batch(0).flags.owndata
+        lo, size = f.source.read_buffer(f.source.size()).address if f.source.seek(0) == 0 else 0, f.source.size()
+        for view in (f.batch(0), f.sequence(0), f.mask(n - 1)):
+            assert not view.flags.owndata and lo <= view.ctypes.data < lo + size
         f.close()
 
 
@@ -100,3 +102,35 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     m = write_token_files(df, str(tmp_path / "t"))
     assert m.count() == 0 and read_token_files(spark, m).count() == 0
+
+
+def test_limits_bind_one_by_one_on_conversations(spark, tok):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").coalesce(1)
+    limits = {"max_tokens": 512, "max_segments": 6, "max_loss": 200}
+    out = packing.pack_conversations(turns, **limits).toPandas()
+    want = {}
+    for r in turns.orderBy("conv_id", "turn", "role", "text").collect():
+        n = len(tok.encode(r.text or "", add_special_tokens=False).ids)
+        a, b = want.get(r.conv_id, (1, 0))
+        want[r.conv_id] = (a + n, b + n * (r.role == "assistant"))
+        last = r.role == "assistant"
+        want[r.conv_id, "end"] = last
+    got = out.groupby("conv_id").agg(n=("length", "sum"), loss=("loss_tokens", "sum"))
+    for i, r in got.iterrows():
+        a, b = want[i]
+        assert (r.n, r.loss) == (a, b + want[i, "end"])
+    seq = out.groupby("sequence_id").agg(n=("length", "sum"), k=("length", "size"), loss=("loss_tokens", "sum"))
+    assert seq.n.max() <= 512 and seq.k.max() <= 6 and seq.loss.max() <= 200
+    # each limit stops some sequence that the two others would let grow
+    assert ((seq.n == 512) & (seq.k < 6) & (seq.loss < 200)).any()
+    assert ((seq.loss == 200) & (seq.n < 512) & (seq.k < 6)).any()
+    small = packing.pack_conversations(turns.filter("length(text) < 60"), **limits).toPandas().groupby("sequence_id").agg(n=("length", "sum"), k=("length", "size"), loss=("loss_tokens", "sum"))
+    assert ((small.k == 6) & (small.n < 512) & (small.loss < 200)).any()
+
+
+def test_parts_with_odd_values(spark):
+    kind = "id long, parts array<struct<text:string,loss:boolean>>, start int"
+    df = spark.createDataFrame([(1, [("a b", False), ("c d e", True)], 1), (2, None, 1), (3, [], 1), (None, [(None, None)], 1)], kind)
+    got = {r.id: (r.doc_tokens, r.loss_tokens) for r in packing.pack(df, "id", parts_col="parts").collect()}
+    assert got == {1: (6, 4), 2: (1, 0), 3: (1, 0), None: (1, 0)}
+    assert packing.pack_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
