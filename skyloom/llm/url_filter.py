@@ -17,6 +17,9 @@ from .shared import fold_ascii, written
 ORDER = 4
 #: Characters outside printable ASCII become "?": 94 characters, the start mark and the end mark.
 ALPHABET = 96
+#: Grams with more than one of HOT_GRAMS of all occurrences are hot: HOT_GRAMS rows at most, sent to the executors.
+HOT_GRAMS = 1000
+CHUNK = 256
 START, END = "\x02", "\x03"
 #: Fixed rules of the query: (rule, verdict).
 RULES = (
@@ -53,20 +56,24 @@ def rule_of(host: Column, path: Column, rules: tuple) -> Column:
 
 
 def grams(text: Column, order: int) -> Column:
-    """Each character of ``text`` and the end mark, behind its ``order`` characters of context."""
+    """Each character of ``text`` and the end mark, behind its ``order`` characters of context.
+
+    The text is cut into chunks first, as the place of a character is counted from the start.
+    """
     safe = F.concat(F.lit(START * order), F.regexp_replace(text, "[^\\x21-\\x7e]", "?"), F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(safe, i, F.lit(order + 1)))
+    chunks = F.transform(F.sequence(F.lit(1), F.length(text) + 1, F.lit(CHUNK)), lambda at: F.substring(safe, at, F.lit(CHUNK + order)))
+    return F.flatten(F.transform(chunks, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - order), lambda i: F.substring(c, i, F.lit(order + 1)))))
 
 
 def smoothed(distinct: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """(g, s): log-likelihood difference of each distinct gram under the two models.
+    """(g, n, s): log-likelihood difference of each distinct gram (g, n) under the two models.
 
     counts: (g, a, r), how often the gram was seen in accepted and in rejected URLs. Contexts of
     up to two characters are at most ALPHABET**2 rows with ALPHABET entries each, so those
     tables are broadcast; longer contexts are joined as Spark sees fit.
     """
     p_a = p_r = F.lit(1.0 / ALPHABET)
-    out = distinct.select("g", p_a.alias("pa"), p_r.alias("pr"))
+    out = distinct.select("g", "n", p_a.alias("pa"), p_r.alias("pr"))
     for k in range(order + 1):
         by_char = (
             counts.select(F.substring("g", order + 1 - k, k).alias(f"c{k}"), F.substring("g", order + 1, 1).alias("x"), "a", "r")
@@ -86,8 +93,8 @@ def smoothed(distinct: DataFrame, counts: DataFrame, order: int) -> DataFrame:
             c = F.coalesce(seen[of], F.lit(0))
             return F.when(F.coalesce(F.col(n), F.lit(0)) == 0, F.col(p)).otherwise((c + F.col(t) * F.col(p)) / (F.col(n) + F.col(t)))
 
-        out = out.select("g", mixed("pa", "na", "ta", "a").alias("pa"), mixed("pr", "nr", "tr", "r").alias("pr"))
-    return out.select("g", (F.log("pa") - F.log("pr")).alias("s"))
+        out = out.select("g", "n", mixed("pa", "na", "ta", "a").alias("pa"), mixed("pr", "nr", "tr", "r").alias("pr"))
+    return out.select("g", "n", (F.log("pa") - F.log("pr")).alias("s"))
 
 
 def filter_urls(
@@ -107,7 +114,6 @@ def filter_urls(
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", F.coalesce("url", F.lit("")))
     urls = urls.withColumn("fold", F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(folds)))
-    each = urls.select("id", "url", "text", F.explode(grams(F.col("text"), order)).alias("g"))
     kind = F.when(F.col("fold") != 0, F.col("fit.verdict"))
     counts = (
         urls.select(kind.alias("kind"), "text").filter(F.col("kind").isNotNull())
@@ -115,13 +121,19 @@ def filter_urls(
         .groupBy("g").agg(F.count_if(F.col("kind") == "allow").alias("a"), F.count_if(F.col("kind") == "block").alias("r"))
     )
     counts = written(counts, "url-grams")
-    scores = smoothed(each.select("g").distinct(), counts, order)
-    # a row repeated m times gives each of its grams m times: the mean is the same, and the count gives m
-    scored = (
-        each.join(scores, "g").groupBy("id", "url").agg(F.avg("s").alias("score"), F.count("*").alias("n"), F.first("text").alias("text"))
-        .select("id", "url", "score", F.explode(F.array_repeat(F.lit(0), (F.col("n") / (F.length("text") + 1)).cast("int"))).alias("copy"))
-        .drop("copy")
-    )
+    rows = written(urls.groupBy("id", "url").agg(F.count("*").alias("m")), "url-rows")
+    each = rows.select("id", "url", "m", F.explode(grams(F.coalesce("url", F.lit("")), order)).alias("g"))
+    seen = written(each.groupBy("g").agg(F.count("*").alias("n")), "url-grams-seen")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    scores = written(smoothed(seen, counts, order), "url-gram-scores")
+    hot = F.broadcast(scores.filter(F.col("n") > total // HOT_GRAMS + 1).select("g", "s"))
+    rest = each.join(hot.select("g"), "g", "left_anti").join(scores.select("g", "s"), "g")
+    parts = each.join(hot, "g").unionByName(rest)
+    scored = parts.groupBy("id", "url").agg(F.avg("s").alias("score"), F.first("m").alias("m"))
+    # a row for each of the m rows that are alike, by two steps of 4096
+    step = 4096
+    scored = scored.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / step))))
+    scored = scored.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(step), F.col("m") - F.col("k") * step)))).select("id", "url", "score")
     scored = written(scored, "url-scores")
     host, path = host_path(F.col("url"))
     scored = scored.select("id", host.alias("host"), path.alias("path"), "score").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))

@@ -50,6 +50,53 @@ def test_model_reads_whole_urls(spark):
     assert got[2002].score > got[2003].score
 
 
+def brute_scores(urls, order=4):
+    """Two Witten-Bell models by dictionaries, from rows (url, verdict of the rules or None, whether they are counted)."""
+    import math
+    from collections import defaultdict
+
+    seen = {v: [defaultdict(Counter) for _ in range(order + 1)] for v in ("allow", "block")}
+    spell = lambda u: "\x02" * order + "".join(c if "!" <= c <= "~" else "?" for c in u or "") + "\x03"
+    for u, v, counted in urls:
+        if v and counted:
+            t = spell(u)
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    seen[v][k][t[i - k : i]][t[i]] += 1
+    out = []
+    for u, _, _ in urls:
+        t, total = spell(u), 0.0
+        for i in range(order, len(t)):
+            p = {}
+            for v in seen:
+                p[v] = 1 / 96
+                for k in range(order + 1):
+                    c = seen[v][k].get(t[i - k : i])
+                    if c:
+                        p[v] = (c[t[i]] + len(c) * p[v]) / (sum(c.values()) + len(c))
+            total += math.log(p["allow"]) - math.log(p["block"])
+        out.append(total / (len(t) - order))
+    return out
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    from skyloom.llm import url_filter
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").limit(60)
+    odd = [(9000, None), (9001, ""), (9002, "no scheme"), (9003, "http://é.com/en/ x"), (None, None), (9004, "http://a.org/es/" + "long/" * 4_000)]
+    df = pages.unionAll(spark.createDataFrame(odd + [(9002, "no scheme")] * 3, "page_id long, url string"))
+    h, p = host_path(F.col("url"))
+    held = F.pmod(F.xxhash64(F.concat("h", "p")), F.lit(5))
+    rows = df.select("page_id", "url", h.alias("h"), p.alias("p")).select("*", held.alias("f"), rule_of(F.col("h"), F.col("p"), url_filter.RULES).verdict.alias("v")).collect()
+    key = lambda r: -1 if r.page_id is None else r.page_id
+    want = sorted((key(r), s) for r, s in zip(rows, brute_scores([(r.url, r.v, r.f != 0) for r in rows])))
+    for hot in (1000, 20):
+        monkeypatch.setattr(url_filter, "HOT_GRAMS", hot)
+        got = sorted((key(r), r.score) for r in filter_urls(df).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want))
+
+
 def test_shards_are_even_and_whole(spark, tmp_path):
     rows = [(k, f"text {k}" if k % 5 else None) for k in range(997)] + [(3, "twice")] * 40 + [(None, "n")]
     df = spark.createDataFrame([(i, t, 1, "b") for i, t in rows], "doc_id long, text string, shard int, bucket string")
