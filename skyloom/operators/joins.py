@@ -41,22 +41,25 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: s
     The metric may read all columns of the pair and must not be below the distance ``dist``. Cells
     of ``reach`` are tried first; a left row is answered when its k-th metric is within the reach,
     as no farther row can beat it. The others go on with the reach doubled, so dense places stay
-    cheap. At the end, when the reach spans both sides, every row has met all.
+    cheap. At the end, when the reach spans both sides, every row has met all. Each round's answers
+    and the rows that go on are written, so the plan stays the same however often the reach doubles.
     """
+    from .graph import settled
+
     ends = [d.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0] for d in (left, right)]
     widest = reach if None in ends else float(sum(ends))
     out, rest = None, left
     w = Window.partitionBy(left_id).orderBy("metric", f"{right_id}_2")
     while True:
         got = within(rest, right, x, y, reach).withColumn("metric", F.col("dist") if metric is None else metric)
-        got = got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        got = settled(got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
         last = reach >= widest
         answered = got.filter((F.col("rank") == k) & (F.col("metric") <= reach)).select(left_id)
         full = got if last else got.join(answered, left_id, "left_semi")
         out = full if out is None else out.unionByName(full)
         if last:
             return out
-        rest = rest.join(answered, left_id, "left_anti")
+        rest = settled(rest.join(answered, left_id, "left_anti"))
         reach *= 2
         if rest.limit(1).count() == 0:
             return out

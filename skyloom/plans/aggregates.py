@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import joins as op
 from ..operators import series as ts
+from ..operators.grids import fill_bins
 from .base import query, r
 
 
@@ -236,9 +237,9 @@ def _(t):
     return t.uv.groupBy(F.floor(F.col("u") / 500).alias("cx"), F.floor(F.col("v") / 500).alias("cy")).agg(F.median("u").alias("mu"), F.median("v").alias("mv"))
 
 
-@query("a35_degrees", "with e as (select distinct l_suppkey as i, l_partkey as c from lineitem where l_partkey % 50 = 0), w as (select a.i, b.i as j, count(*) as w from e a join e b on a.c = b.c and a.i <> b.i group by all) select i, count(*) as degree, sum(w)::bigint as weight from w group by i")
+@query("a35_degrees", "with e as (select distinct l_suppkey as i, l_partkey as c from lineitem), w as (select a.i, b.i as j, count(*) as w from e a join e b on a.c = b.c and a.i <> b.i group by all) select i, count(*) as degree, sum(w)::bigint as weight from w group by i")
 def _(t):
-    e = t.lineitem.filter("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("c")).distinct()
+    e = t.lineitem.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("c")).distinct()
     w = e.join(e.toDF("j", "c"), "c").filter("i <> j").groupBy("i", "j").agg(F.count("*").alias("w"))
     return w.groupBy("i").agg(F.count("*").alias("degree"), F.sum("w").alias("weight"))
 
@@ -279,11 +280,11 @@ def _(t):
 
 
 @query("w03_ewma", """
-with recursive o as (select k, event_id, x, row_number() over (partition by k order by t, event_id) as rn from series where k < 10),
+with recursive o as (select k, event_id, x, row_number() over (partition by k order by t, event_id) as rn from series),
 y as (select k, event_id, rn, x as ewma from o where rn = 1 union all select o.k, o.event_id, o.rn, 0.2e0 * o.x + 0.8e0 * y.ewma from y join o on o.k = y.k and o.rn = y.rn + 1)
 select k, event_id, round(ewma, 6) as ewma from y""")
 def _(t):
-    s = t.series.filter("k < 10").select("k", "event_id", "x")
+    s = t.series.select("k", "event_id", "x")
     return ts.ewma(s, ["k"], "event_id", "x", 0.2).select("k", "event_id", r("ewma").alias("ewma"))
 
 
@@ -293,12 +294,15 @@ def _(t):
     return ts.trailing_ewma(s, ["k"], ["t", "event_id"], "x", 0.2, 12).select("k", "event_id", r("ewma").alias("ewma"))
 
 
-@query("w04_leaky_sum", "with recursive o as (select k, event_id, x, row_number() over (partition by k order by t, event_id) as rn from series where k < 10), y as (select k, event_id, rn, x as leaky from o where rn = 1 union all select o.k, o.event_id, o.rn, o.x + 0.95e0 * y.leaky from y join o on o.k = y.k and o.rn = y.rn + 1) select k, event_id, round(leaky, 5) as leaky from y")
+@query("w04_leaky_sum", "with recursive o as (select k, event_id, x, row_number() over (partition by k order by t, event_id) as rn from series), y as (select k, event_id, rn, x as leaky from o where rn = 1 union all select o.k, o.event_id, o.rn, o.x + 0.95e0 * y.leaky from y join o on o.k = y.k and o.rn = y.rn + 1) select k, event_id, round(leaky + 3e-8, 5) as leaky from y")
 def _(t):
-    """acc = 0.95 acc + x is the smoothing with k = 0.05 of the values scaled by 20, but for its start."""
+    """acc = 0.95 acc + x is the smoothing with k = 0.05 of the values scaled by 20, but for its start.
+
+    Exact halves of the last digit are moved up before rounding, in the SQL as well.
+    """
     w = Window.partitionBy("k").orderBy("event_id")
-    s = t.series.filter("k < 10").select("k", "event_id", "x", F.when(F.row_number().over(w) == 1, F.col("x")).otherwise(F.col("x") * 20).alias("y"))
-    return ts.ewma(s, ["k"], "event_id", "y", 0.05).select("k", "event_id", r("ewma", 5).alias("leaky"))
+    s = t.series.select("k", "event_id", "x", F.when(F.row_number().over(w) == 1, F.col("x")).otherwise(F.col("x") * 20).alias("y"))
+    return ts.ewma(s, ["k"], "event_id", "y", 0.05).select("k", "event_id", r(F.col("ewma") + 3e-8, 5).alias("leaky"))
 
 
 @query("w06_cumulative", "select k, event_id, round(sum(x) over (partition by k order by t, event_id rows unbounded preceding), 4) as total from series")
@@ -348,8 +352,7 @@ n as (select *, row_number() over (partition by k order by round(score, 6) desc,
 def _(t):
     """The lag at which each kind of series agrees best with the clicks."""
     g = t.series.groupBy(F.col("event_type").alias("k"), F.floor(F.col("t") / 21600).alias("i")).agg((F.sum("x") - 100).alias("x"))
-    kinds = F.broadcast(g.select("k").distinct())
-    a = g.filter("k = 'click'").select("i", "x").join(kinds)
+    a = g.filter("k = 'click'").select("i", "x").crossJoin(g.select("k").distinct())
     return ts.best_lag(a, g, ["k"], 8).select("k", F.col("lag").cast("long").alias("lag"), r("score", 3).alias("score"))
 
 
@@ -392,10 +395,10 @@ def _(t):
     return t.series.select("k", "event_id", F.count("*").over(w).alias("n"), r(F.sum("x").over(w), 4).alias("total"))
 
 
-@query("o07_best_view", "with m as (select f.chain_id, p.image_idx, sqrt((f.n-p.n)*(f.n-p.n)+(f.e-p.e)*(f.e-p.e)) + 0.1e0 * (p.image_idx % 9) + case when abs(f.n-p.n) > 100 then 1000 else 0 end as metric from feat f, pose p where f.chain_id % 20 = 0), k as (select *, row_number() over (partition by chain_id order by round(metric, 6), image_idx) as rn from m) select chain_id, image_idx, round(metric, 6) as metric from k where rn = 3")
+@query("o07_best_view", "with m as (select f.chain_id, p.image_idx, sqrt((f.n-p.n)*(f.n-p.n)+(f.e-p.e)*(f.e-p.e)) + 0.1e0 * (p.image_idx % 9) + case when abs(f.n-p.n) > 100 then 1000 else 0 end as metric from feat f, pose p), k as (select *, row_number() over (partition by chain_id order by round(metric, 6), image_idx) as rn from m) select chain_id, image_idx, round(metric, 6) as metric from k where rn = 3")
 def _(t):
-    """The third best view of each twentieth point: the metric is never below the distance, so far views are not formed."""
-    f = t.feat.filter("chain_id % 20 = 0").select("chain_id", "n", "e")
+    """The third best view of each point: the metric is never below the distance, so far views are not formed."""
+    f = t.feat.select("chain_id", "n", "e")
     views = t.pose.select("image_idx", "n", "e")
     aside = F.when(F.abs(F.col("n") - F.col("n_2")) > 100, 1000).otherwise(0)
     metric = F.round(F.col("dist") + 0.1 * (F.col("image_idx_2") % 9) + aside, 6)
@@ -403,22 +406,19 @@ def _(t):
     return best.filter("rank = 3").select("chain_id", F.col("image_idx_2").alias("image_idx"), r("metric").alias("metric"))
 
 
-FILL = "r0 as (select cx, cy, avg(z) as mean from b where not (cx in (2, 3) and cy in (2, 3, 4)) group by cx, cy)" + "".join(
-    f""", r{k + 1} as (select g.x as cx, g.y as cy, coalesce(min(o.mean), sum(q.mean * case when q.cx = g.x or q.cy = g.y then 2 else 1 end) / sum(case when q.cx = g.x or q.cy = g.y then 2 else 1 end)) as mean
-    from (select x.i as x, y.i as y from (select unnest(range(8)) as i) x, (select unnest(range(8)) as i) y) g left join r{k} o on o.cx = g.x and o.cy = g.y
-    join r{k} q on q.cx between g.x - 1 and g.x + 1 and q.cy between g.y - 1 and g.y + 1 group by g.x, g.y)"""
-    for k in range(3)
+#: Bins that are emptied first, so that several rounds are due; seven rounds reach every bin of an 8 x 8 grid.
+HOLE = "cx between 2 and 6 and cy between 2 and 6"
+FILL = f"r0 as (select cx, cy, avg(z) as mean, count(*)::bigint as n from b where not ({HOLE}) group by cx, cy)" + "".join(
+    f""", r{k + 1} as materialized (select * from r{k} union all select g.x as cx, g.y as cy, sum(q.mean * q.n) / sum(q.n) as mean, floor(sum(q.n) / count(*)::double)::bigint as n
+    from (select x.i as x, y.i as y from (select unnest(range(8)) as i) x, (select unnest(range(8)) as i) y) g
+    join r{k} q on q.cx between g.x - 1 and g.x + 1 and q.cy between g.y - 1 and g.y + 1
+    where not exists (select 1 from r{k} o where o.cx = g.x and o.cy = g.y) group by g.x, g.y having sum(q.n) > 0)"""
+    for k in range(7)
 )
 
 
-@query("binned_fill", f"with {BINS}, {FILL} select cx, cy, round(mean, 6) as mean from r3")
+@query("binned_fill", f"with {BINS}, {FILL} select cx, cy, round(mean, 6) as mean, n from r7")
 def _(t):
-    """Empty bins take the weighted mean of their 3 x 3 neighbours, three rounds."""
-    now = bins(t).filter("not (cx in (2, 3) and cy in (2, 3, 4))").select("cx", "cy", "mean")
-    steps = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
-    for _ in range(3):
-        w = F.when((F.col("dx") == 0) | (F.col("dy") == 0), 2).otherwise(1)
-        near = now.withColumn("dx", steps).withColumn("dy", steps).select((F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "mean", w.alias("w"), ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own"))
-        near = near.filter("cx between 0 and 7 and cy between 0 and 7").groupBy("cx", "cy").agg(F.min(F.when(F.col("own"), F.col("mean"))).alias("o"), (F.sum(F.col("mean") * F.col("w")) / F.sum("w")).alias("m"))
-        now = near.select("cx", "cy", F.coalesce("o", "m").alias("mean"))
-    return now.select("cx", "cy", r("mean").alias("mean"))
+    """Empty bins take the count-weighted mean of their 3 x 3 neighbours, round by round until none is left."""
+    full = fill_bins(bins(t).filter(f"not ({HOLE})"), 8, 8)
+    return full.select("cx", "cy", r("mean").alias("mean"), "n")

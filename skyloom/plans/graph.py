@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import estimators as est
 from ..operators import graph as op
+from ..operators.grids import ray_surface
 from ..operators.joins import nearest, sequence_pairs
 from ..operators.ranks import tiles
 from ..sources.terrain import bilinear
@@ -54,7 +55,7 @@ def _(t):
 
 
 @query("g07_neighbour_slopes", """
-with d as (select a.chain_id, b.d - a.d as dz, sqrt((a.n-b.n)*(a.n-b.n)+(a.e-b.e)*(a.e-b.e)) as dist, b.chain_id as other from feat a join feat b on a.chain_id <> b.chain_id where a.chain_id % 10 = 0),
+with d as (select a.chain_id, b.d - a.d as dz, sqrt((a.n-b.n)*(a.n-b.n)+(a.e-b.e)*(a.e-b.e)) as dist, b.chain_id as other from feat a join feat b on a.chain_id <> b.chain_id),
 k as (select *, row_number() over (partition by chain_id order by dist, other) as rn from d where dist > 0) select chain_id, round(avg(abs(dz / dist)), 5) as slope from k where rn <= 4 group by chain_id""")
 def _(t):
     """Mean slope to the four nearest features apart from the own place.
@@ -63,11 +64,10 @@ def _(t):
     """
     first = Window.partitionBy("n", "e").orderBy("chain_id")
     f = t.feat.withColumn("rn", F.row_number().over(first)).filter("rn <= 4").drop("rn")
-    some = t.feat.filter("chain_id % 10 = 0")
-    places = some.groupBy("n", "e").agg(F.min("chain_id").alias("place"))
+    places = t.feat.groupBy("n", "e").agg(F.min("chain_id").alias("place"))
     apart = F.when(F.col("dist") > 0, F.col("dist")).otherwise(float("inf"))
     near = nearest(places, f, "place", "chain_id", "n", "e", 20.0, k=4, metric=apart).filter("dist > 0")
-    k = some.join(near.select("n", "e", "d_2", "dist"), ["n", "e"])
+    k = t.feat.join(near.select("n", "e", "d_2", "dist"), ["n", "e"])
     return k.groupBy("chain_id").agg(r(F.avg(F.abs((F.col("d_2") - F.col("d")) / F.col("dist"))), 5).alias("slope"))
 
 
@@ -88,9 +88,9 @@ def _(t):
     return tiles(a, "tn", ["e", "chain_id"], 4, "te").select("chain_id", "tn", "te")
 
 
-@query("g10_connectivity", "with o as (select distinct chain_id, image_idx from obs where chain_id % 100 = 0) select distinct x.name as a, y.name as b from o p join o q on p.chain_id = q.chain_id and p.image_idx < q.image_idx join img x on x.image_idx = p.image_idx join img y on y.image_idx = q.image_idx")
+@query("g10_connectivity", "with o as (select distinct chain_id, image_idx from obs) select distinct x.name as a, y.name as b from o p join o q on p.chain_id = q.chain_id and p.image_idx < q.image_idx join img x on x.image_idx = p.image_idx join img y on y.image_idx = q.image_idx")
 def _(t):
-    o = t.obs.filter("chain_id % 100 = 0").select("chain_id", "image_idx").distinct()
+    o = t.obs.select("chain_id", "image_idx").distinct()
     p = o.join(o.toDF("chain_id", "j"), "chain_id").filter("image_idx < j").select("image_idx", "j").distinct()
     name = t.img.select("image_idx", "name")
     return p.join(name.withColumnRenamed("name", "a"), "image_idx").join(name.toDF("j", "b"), "j").select("a", "b")
@@ -162,20 +162,27 @@ def _(t):
     return bilinear(p, grid, "x", "y", 30.0).select("image_idx", r("z", 5).alias("z"))
 
 
-@query("e15_ray_surface")
-def _(t):
-    """Camera rays against a terrain grid: the height under the last hit sets the next level, 25 steps at most.
+CORNERS = " + ".join(
+    f"case when {wx} * {wy} = 0 then 0 else {wx} * {wy} * {c}.z end"
+    for c, wx, wy in (("a", "(1 - fx)", "(1 - fy)"), ("b", "fx", "(1 - fy)"), ("c", "(1 - fx)", "fy"), ("d", "fx", "fy"))
+)
+GROUND = """(select *, x / 30e0 - i as fx, y / 30e0 - j as fy from (select *, floor(x / 30e0)::bigint as i, floor(y / 30e0)::bigint as j from {}) w) q
+left join g a on a.i = q.i and a.j = q.j left join g b on b.i = q.i + 1 and b.j = q.j left join g c on c.i = q.i and c.j = q.j + 1 left join g d on d.i = q.i + 1 and d.j = q.j + 1"""
 
-    Each step is a projection and the grid lookup; the tests hold it against a plain loop.
-    """
+
+@query("e15_ray_surface", f"""
+with recursive g as (select i, j, sin(i / 5e0) * 10 + cos(j / 7e0) * 8 as z from (select unnest(range(40)) as i) x, (select unnest(range(40)) as j) y),
+s as (select image_idx, n, e, down, x, y, h, coalesce({CORNERS}, 0e0) as ground, 0 as k from {GROUND.format("(select image_idx, n, e, d as down, n as x, e as y, d * 1e0 as h from pose) v")}
+union all select image_idx, n, e, down, x, y, h, coalesce({CORNERS}, was) as ground, k + 1 from
+{GROUND.format("(select image_idx, n, e, down, n + 0.3e0 * -(down + ground) as x, e + 0.2e0 * -(down + ground) as y, -ground as h, ground as was, k from s where abs(h + ground) > 0.01e0 and k < 25) v")}),
+l as (select *, row_number() over (partition by image_idx order by k desc) as rn from s)
+select image_idx, round(x, 4) + 0e0 as x, round(y, 4) + 0e0 as y, round(h, 4) + 0e0 as z from l where rn = 1""")
+def _(t):
+    """Camera rays against a terrain grid (E15): the height under the last place sets the next level, 25 steps at most."""
     i = t.spark.range(40).toDF("i")
     grid = i.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")))).withColumn("z", F.sin(F.col("i") / 5.0) * 10 + F.cos(F.col("j") / 7.0) * 8)
-    p = t.pose.select("image_idx", F.col("n").alias("n0"), F.col("e").alias("e0"), (-F.col("d")).alias("h"), F.lit(0.3).alias("rn"), F.lit(0.2).alias("re")).withColumns({"x": F.col("n0"), "y": F.col("e0")})
-    for _ in range(4):
-        p = bilinear(p, grid, "x", "y", 30.0, 0.0)
-        down = F.col("h") - F.col("z")
-        p = p.withColumns({"x": F.col("n0") + down * F.col("rn"), "y": F.col("e0") + down * F.col("re")}).drop("z")
-    return p.select("image_idx", r("x", 4).alias("x"), r("y", 4).alias("y"))
+    rays = t.pose.select("image_idx", "n", "e", "d", F.lit(0.3).alias("vn"), F.lit(0.2).alias("ve"), F.lit(1.0).alias("vd"))
+    return ray_surface(rays, grid, 30.0).select("image_idx", *(r(c, 4).alias(c) for c in "xyz"))
 
 
 @query("a29_quaternion_average")

@@ -23,10 +23,10 @@ def _(t):
     return k.groupBy("img", "u", "v").agg(F.min("l_partkey").alias("first_kp"), F.count("*").alias("n")).filter("n > 1")
 
 
-@query("j03_keypoint_uv", "select o.chain_id, o.image_idx, uv.u, uv.v from obs o join uv on uv.id = o.chain_id where o.image_idx <= 10")
+@query("j03_keypoint_uv", "select o.chain_id, o.image_idx, uv.u, uv.v from obs o join uv on uv.id = o.chain_id")
 def _(t):
     uv = t.uv.withColumnRenamed("id", "chain_id")
-    return t.obs.filter("image_idx <= 10").select("chain_id", "image_idx").join(uv, "chain_id")
+    return t.obs.select("chain_id", "image_idx").join(uv, "chain_id")
 
 
 @query("j04_obs_pose", "select o.image_idx, count(*) as n, round(sum(p.d), 4) as depth from obs o join pose p using (image_idx) group by o.image_idx")
@@ -78,21 +78,24 @@ def _(t):
     return op.sequence_pairs(t.pose.select("image_idx"), "image_idx", 4).toDF("i", "j")
 
 
-PAIRS = """k as (select chain_id, min(image_idx) as i, max(image_idx) as j from obs group by chain_id having min(image_idx) < max(image_idx)),
+PAIRS = """o as (select distinct chain_id, image_idx from obs), k as (select a.chain_id, a.image_idx as i, b.image_idx as j from o a join o b on a.chain_id = b.chain_id and a.image_idx < b.image_idx),
 a as (select k.*, f.n as fn, f.e as fe, f.d as fd, p.n as pn, p.e as pe, p.d as pd, q.n as qn, q.e as qe, q.d as qd from k join feat f using (chain_id) join pose p on p.image_idx = i join pose q on q.image_idx = j),
 b as (select *, sqrt((pn-fn)*(pn-fn)+(pe-fe)*(pe-fe)+(pd-fd)*(pd-fd)) as lp, sqrt((qn-fn)*(qn-fn)+(qe-fe)*(qe-fe)+(qd-fd)*(qd-fd)) as lq, (pn-fn)*(qn-fn)+(pe-fe)*(qe-fe)+(pd-fd)*(qd-fd) as dot from a),
 ang as (select chain_id, i, j, degrees(acos(least(1e0, dot / (lp * lq)))) as angle from b)"""
 
 
 def angles_of(t):
-    k = t.obs.groupBy("chain_id").agg(F.min("image_idx").alias("i"), F.max("image_idx").alias("j")).filter("i < j")
-    p, q = (t.pose.toDF(key, *(f"{x}{c}" for c in "ned")) for key, x in (("i", "p"), ("j", "q")))
+    """The angle at the feature for every pair of images of its chain.
+
+    Each observation carries its ray and the ray's length before the self-join, so a pair costs one product.
+    """
     f = t.feat.toDF("chain_id", "fn", "fe", "fd")
-    a = k.join(f, "chain_id").join(p, "i").join(q, "j")
-    dp, dq = ([F.col(f"{x}{c}") - F.col(f"f{c}") for c in "ned"] for x in "pq")
-    size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    dot = dp[0] * dq[0] + dp[1] * dq[1] + dp[2] * dq[2]
-    return a.select("chain_id", "i", "j", F.degrees(F.acos(F.least(F.lit(1.0), dot / (size(dp) * size(dq))))).alias("angle"))
+    o = t.obs.select("chain_id", "image_idx").distinct().join(t.pose, "image_idx").join(f, "chain_id")
+    v = [F.col(c) - F.col(f"f{c}") for c in "ned"]
+    o = o.select("chain_id", F.col("image_idx").alias("i"), *(x.alias(f"p{c}") for x, c in zip(v, "xyz")), F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("lp"))
+    a = o.join(o.toDF("chain_id", "j", "qx", "qy", "qz", "lq"), "chain_id").filter("i < j")
+    dot = F.col("px") * F.col("qx") + F.col("py") * F.col("qy") + F.col("pz") * F.col("qz")
+    return a.select("chain_id", "i", "j", F.degrees(F.acos(F.least(F.lit(1.0), dot / (F.col("lp") * F.col("lq"))))).alias("angle"))
 
 
 @query("p19_feature_angle", f"with {PAIRS} select chain_id, i, j, round(angle, 5) as angle from ang")
@@ -111,10 +114,10 @@ def _(t):
     return angles_of(t).filter("angle < 75").select("chain_id", "i", "j")
 
 
-@query("j12_pairs_in_chain", "with o as (select distinct chain_id, image_idx from obs where chain_id % 20 = 0) select a.image_idx as i, b.image_idx as j, count(*) as n from o a join o b on a.chain_id = b.chain_id and a.image_idx < b.image_idx group by all")
+@query("j12_pairs_in_chain", "with o as (select distinct chain_id, image_idx from obs) select a.image_idx as i, b.image_idx as j, count(*) as n from o a join o b on a.chain_id = b.chain_id and a.image_idx < b.image_idx group by all")
 def _(t):
-    """Image pairs by shared chains of every twentieth chain (a feature of the report); counted right after the join."""
-    o = t.obs.filter("chain_id % 20 = 0").select("chain_id", "image_idx").distinct()
+    """Image pairs by shared chains; counted right after the join."""
+    o = t.obs.select("chain_id", "image_idx").distinct()
     return o.join(o.toDF("chain_id", "j"), "chain_id").filter("image_idx < j").groupBy(F.col("image_idx").alias("i"), "j").agg(F.count("*").alias("n"))
 
 
@@ -140,11 +143,10 @@ def _(t):
 
 
 @query("j17_nearest_features", """
-with d as (select a.id, b.id as other, sqrt((a.u-b.u)*(a.u-b.u)+(a.v-b.v)*(a.v-b.v)) as dist from uv a join uv b on a.id <> b.id where a.id % 10 = 0),
+with d as (select a.id, b.id as other, sqrt((a.u-b.u)*(a.u-b.u)+(a.v-b.v)*(a.v-b.v)) as dist from uv a join uv b on a.id <> b.id),
 k as (select *, row_number() over (partition by id order by dist, other) as rank from d) select id, other, rank, round(dist, 6) as dist from k where rank <= 5""")
 def _(t):
-    q = t.uv.filter("id % 10 = 0")
-    n = op.nearest(q, t.uv, "id", "id", "u", "v", 150.0, k=6).filter("id <> id_2")
+    n = op.nearest(t.uv, t.uv, "id", "id", "u", "v", 150.0, k=6).filter("id <> id_2")
     w = Window.partitionBy("id").orderBy("dist", "id_2")
     return n.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("id", F.col("id_2").alias("other"), "rank", r("dist").alias("dist"))
 

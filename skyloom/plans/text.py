@@ -155,10 +155,10 @@ def _(t):
     return k.join(ids, ["kn", "ke"]).select("chain_id", "vertex")
 
 
-@query("v02_pairwise_means", "with o as (select distinct chain_id, image_idx from obs where chain_id % 10 = 0), p as (select a.chain_id, (pa.n + pb.n) / 2 as n from o a join o b on a.chain_id = b.chain_id and a.image_idx < b.image_idx join pose pa on pa.image_idx = a.image_idx join pose pb on pb.image_idx = b.image_idx where power(pa.n - pb.n, 2) + power(pa.e - pb.e, 2) >= 1600) select chain_id, count(*) as pairs, round(avg(n), 5) as n from p group by chain_id")
+@query("v02_pairwise_means", "with o as (select distinct chain_id, image_idx from obs), p as (select a.chain_id, (pa.n + pb.n) / 2 as n from o a join o b on a.chain_id = b.chain_id and a.image_idx < b.image_idx join pose pa on pa.image_idx = a.image_idx join pose pb on pb.image_idx = b.image_idx where power(pa.n - pb.n, 2) + power(pa.e - pb.e, 2) >= 1600) select chain_id, count(*) as pairs, round(avg(n), 5) as n from p group by chain_id")
 def _(t):
-    """Pairs of a chain's images with a baseline of 40 m or more, averaged (every tenth chain)."""
-    o = t.obs.filter("chain_id % 10 = 0").select("chain_id", "image_idx").distinct().join(t.pose, "image_idx").select("chain_id", "image_idx", "n", "e")
+    """Pairs of a chain's images with a baseline of 40 m or more, averaged."""
+    o = t.obs.select("chain_id", "image_idx").distinct().join(t.pose, "image_idx").select("chain_id", "image_idx", "n", "e")
     p = o.join(o.toDF("chain_id", "j", "n2", "e2"), "chain_id").filter("image_idx < j and (n - n2) * (n - n2) + (e - e2) * (e - e2) >= 1600")
     return p.groupBy("chain_id").agg(F.count("*").alias("pairs"), r(F.avg((F.col("n") + F.col("n2")) / 2), 5).alias("n"))
 
@@ -182,11 +182,11 @@ def _(t):
     return o.groupBy("chain_id").agg(F.countDistinct("image_idx").alias("images")).filter("images >= 3")
 
 
-@query("v10_fast_slow", "with recursive o as (select k, event_id, x, row_number() over (partition by k order by t, event_id) as rn from series where k < 10), y as (select k, event_id, rn, x as s, x as f from o where rn = 1 union all select o.k, o.event_id, o.rn, 0.04e0 * o.x + 0.96e0 * y.s, 0.5e0 * o.x + 0.5e0 * y.f from y join o on o.k = y.k and o.rn = y.rn + 1) select k, event_id, round((f - s) / (f + s + 1), 6) + 0e0 as diff from y")
+@query("v10_fast_slow", "with recursive o as (select k, event_id, x, row_number() over (partition by k order by t, event_id) as rn from series), y as (select k, event_id, rn, x as s, x as f from o where rn = 1 union all select o.k, o.event_id, o.rn, 0.04e0 * o.x + 0.96e0 * y.s, 0.5e0 * o.x + 0.5e0 * y.f from y join o on o.k = y.k and o.rn = y.rn + 1) select k, event_id, round((f - s) / (f + s + 1), 6) + 0e0 as diff from y")
 def _(t):
     from ..operators.series import ewma
 
-    s = t.series.filter("k < 10").select("k", "event_id", "x")
+    s = t.series.select("k", "event_id", "x")
     both = ewma(ewma(s, ["k"], "event_id", "x", 0.04, "s"), ["k"], "event_id", "x", 0.5, "f")
     return both.select("k", "event_id", r((F.col("f") - F.col("s")) / (F.col("f") + F.col("s") + 1)).alias("diff"))
 
