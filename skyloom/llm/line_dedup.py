@@ -1,7 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-The hashes of all lines are shuffled once, into a table bucketed by the 128-bit hash of the line's
-key. A run is a table of (h1, h2, owner) with the same buckets, one sorted file a bucket. A new
+The lines are hashed once. Keys that very many lines share (a bounded number of keys) are told by
+counts that are combined before the shuffle, and their lines never meet in one task: they get their
+owners by a broadcast join. The hashes of all other lines are shuffled once, into a table bucketed
+by the 128-bit hash of the line's key. A run is a table of (h1, h2, owner) with the same buckets, one sorted file a bucket. A new
 batch of lines is reduced to one row a key inside its buckets, merge-anti-joined with each run so
 that only keys seen for the first time are left, and those are added as a run of level 0. When a
 level holds ``fanout`` runs they are merged, bucket by bucket, into one run of the next level, so a
@@ -25,6 +27,8 @@ MIN_POINTS = 10
 #: Bytes of text behind one batch of lines, and the batches that are made at least.
 BATCH_BYTES, MIN_BATCHES = 1 << 40, 4
 FANOUT = 2
+#: A key is hot above this many lines, or above the HOT_KEYS-th part of all: at most HOT_KEYS keys (3 MB) are sent to the executors.
+HOT_LINES, HOT_KEYS = 1000, 100_000
 KEY = ["h1", "h2"]
 
 
@@ -152,6 +156,13 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def hot_keys(lines: DataFrame) -> DataFrame:
+    """(h1, h2, owner) of the keys that more than HOT_LINES lines and more than one of HOT_KEYS of all have; at most HOT_KEYS rows."""
+    least = max(HOT_LINES, lines.count() // HOT_KEYS)
+    counts = lines.groupBy(*KEY).agg(F.min("id").alias("owner"), F.count("*").alias("n"))
+    return written(counts.filter(F.col("n") > least).drop("n"), "hot-lines")
+
+
 def batch_edges(docs: DataFrame, id_col: str, text_col: str, batches: int | None) -> list:
     """Ids that cut the table into about equal batches of ascending ids; one batch where ids are not numeric."""
     if not isinstance(docs.schema[id_col].dataType, NumericType):
@@ -190,7 +201,11 @@ def dedup_lines(
     runs = LineRuns(spark, fanout=fanout) if own_runs else runs
     edges = batch_edges(docs, id_col, text_col, batches)
     tables = Tables(spark, runs.buckets)
-    name = tables.write(tables.dealt(line_hashes(docs, id_col, text_col, min_points)), "lines")
+    lines = written(line_hashes(docs, id_col, text_col, min_points), "line-hashes")
+    hot = hot_keys(lines)
+    name = tables.write(tables.dealt(lines.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti")), "lines")
+    if hot.limit(1).count():
+        runs.add(tables.dealt(hot))
     for lo, hi in zip([None, *edges], [*edges, None]):
         batch = spark.table(name)
         if lo is not None:
@@ -198,8 +213,11 @@ def dedup_lines(
         if hi is not None:
             batch = batch.filter(F.col("id") <= F.lit(hi))
         runs.add(batch.groupBy(*KEY).agg(F.min("id").alias("owner")))
+    owners = runs.seen().join(F.broadcast(hot.select(*KEY)), KEY, "left_semi")
+    from_hot = lines.join(F.broadcast(owners), KEY).filter(F.col("owner") != F.col("id")).select("id", "t", "pos")
     with sorted_buckets(spark):
-        lost = written(runs.lost(spark.table(name)).groupBy("id", "t").agg(F.collect_list("pos").alias("lost")), "lost-lines")
+        lost = runs.lost(spark.table(name)).select("id", "t", "pos").unionAll(from_hot)
+        lost = written(lost.groupBy("id", "t").agg(F.collect_list("pos").alias("lost")), "lost-lines")
     tables.drop([name])
     if own_runs:
         runs.drop()

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from skyloom.llm import line_dedup
 from skyloom.llm.line_dedup import KEY, LineRuns, Tables, dedup_lines, line_hashes, sorted_buckets
 from skyloom.llm.shared import scratch
 
@@ -26,7 +29,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
     rng = random.Random(7)
     pool = ["A common line here", "a Common line here  ", "short", "", "Été était très long", "été était très long", "x" * 10, "\tsecond shared line\r", "1234567890"]
     rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(6)))) for k in range(40)]
