@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder; a temporary one only where none is set."""
+    """``df`` checkpointed in the session's shared folder; a temporary one only in a local session where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 

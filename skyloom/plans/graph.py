@@ -243,3 +243,35 @@ def _(t):
     g = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")))
     e = t.pose.withColumn("k", g).groupBy("k").agg(F.avg(F.abs(F.col("n") - F.col("e") * (F.col("k") / 10.0))).alias("err"))
     return e.orderBy("err", "k").limit(1).select("k", r("err", 5).alias("err"))
+
+
+@query("a38_hulls", """
+with p as (select distinct s_nationkey as grp, n, e from pose join supplier on s_suppkey = image_idx),
+x as (select a.*, exists (select 1 from p b, p c where b.grp = a.grp and c.grp = a.grp and (b.n, b.e) <> (a.n, a.e) and (c.n, c.e) <> (a.n, a.e) and (b.n, b.e) < (c.n, c.e)
+  and not exists (select 1 from p d where d.grp = a.grp and (c.n - b.n) * (d.e - b.e) - (c.e - b.e) * (d.n - b.n) <> 0) and a.n between least(b.n, c.n) and greatest(b.n, c.n) and a.e between least(b.e, c.e) and greatest(b.e, c.e)) as on_line,
+  exists (select 1 from p b, p c, p d where b.grp = a.grp and c.grp = a.grp and d.grp = a.grp and (b.n, b.e) <> (a.n, a.e) and (c.n, c.e) <> (a.n, a.e) and (d.n, d.e) <> (a.n, a.e)
+  and (c.n - b.n) * (d.e - b.e) - (c.e - b.e) * (d.n - b.n) > 0 and (c.n - b.n) * (a.e - b.e) - (c.e - b.e) * (a.n - b.n) >= 0 and (d.n - c.n) * (a.e - c.e) - (d.e - c.e) * (a.n - c.n) >= 0 and (b.n - d.n) * (a.e - d.e) - (b.e - d.e) * (a.n - d.n) >= 0) as inside from p a)
+select grp, n, e from x where not on_line and not inside""")
+def _(t):
+    """Corners of the convex hull of each group's camera positions."""
+    from ..sources.sinks import hulls
+
+    p = t.pose.join(t.supplier.select(F.col("s_suppkey").alias("image_idx"), F.col("s_nationkey").alias("grp")), "image_idx")
+    return hulls(p.select("grp", "n", "e"), "grp", "n", "e").select("grp", "n", "e")
+
+
+@query("v07_rotation_consistency", """
+with a as (select image_idx as i, (image_idx * 37 % 360) * 1e0 as yaw from pose), p as (select x.i, y.i as j, x.yaw as yi, y.yaw as yj, (x.i * 7 + y.i * 3) % 90 * 1e0 as seen, 1 + (x.i + y.i) % 5 as w from a x join a y on y.i between x.i + 1 and x.i + 4),
+b as (select i, w, (((yj - yi - seen + 180) % 360) + 360) % 360 - 180 as err from p union all select j, w, (((yj - yi - seen + 180) % 360) + 360) % 360 - 180 from p),
+m as (select i, sqrt(sum(w * err * err) / sum(w)) as rms from b group by i) select count(*) as images, round(sqrt(avg(rms * rms)), 5) as objective, round(max(rms), 5) as worst from m""")
+def _(t):
+    """The rotation objective (V07): each image's weighted RMS of what its pairs' turns lack of those seen, then the RMS over images."""
+    from ..functions.angles import wrap_180
+
+    yaw = t.pose.select("image_idx", (F.col("image_idx") * 37 % 360 * 1.0).alias("yaw"))
+    p = sequence_pairs(yaw, "image_idx", 4)
+    seen, w = (F.col("image_idx") * 7 + F.col("image_idx_2") * 3) % 90 * 1.0, 1 + (F.col("image_idx") + F.col("image_idx_2")) % 5
+    p = p.select("image_idx", "image_idx_2", w.alias("w"), wrap_180(F.col("yaw_2") - F.col("yaw") - seen).alias("err"))
+    both = p.select(F.explode(F.array("image_idx", "image_idx_2")).alias("i"), "w", "err")
+    m = both.groupBy("i").agg(F.sqrt(F.sum(F.col("w") * F.col("err") * F.col("err")) / F.sum("w")).alias("rms"))
+    return m.agg(F.count("*").alias("images"), r(F.sqrt(F.avg(F.col("rms") * F.col("rms"))), 5).alias("objective"), r(F.max("rms"), 5).alias("worst"))

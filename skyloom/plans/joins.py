@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import joins as op
+from ..operators.matching import match_pairs, two_nearest
+from ..operators.ranks import ranked
 from .base import query, r
 
 
@@ -156,12 +158,9 @@ DESC = """q as (select a.vec_id as i, b.vec_id as j, sqrt(list_sum(list_transfor
 
 
 def descriptor_pairs(t):
-    """Nearest two descriptors inside each group of images; squared differences are summed on arrays."""
-    e = t.embeddings.select(F.col("vec_id").alias("i"), "label", F.col("embedding").cast("array<double>").alias("a"))
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    p = e.join(e.toDF("j", "label", "b"), "label").filter("i <> j").select("i", "j", d.alias("d"))
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return p.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
+    """Nearest two descriptors inside each group of images."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    return two_nearest(e, e, "label", apart=True).select("i", "j", "d", "rn")
 
 
 @query("descriptor_ratio_match", f"with {DESC} select a.i, a.j, round(a.d, 5) as d0, round(b.d, 5) as d1, a.d < b.d * 0.95e0 as good from k a join k b on a.i = b.i and a.rn = 1 and b.rn = 2")
@@ -184,6 +183,41 @@ def _(t):
     return n.join(n.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"], "left_semi")
 
 
+def matched(name: str, a: str, b: str) -> str:
+    """SQL of the matches of side ``a`` in side ``b``: two nearest, quality, best 2000, votes, first place on both sides."""
+    return f"""{name}_d as (select x.label, x.id as i, y.id as j, sqrt(list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: power(z[1]::double - z[2]::double, 2)))) as d from {a} x join {b} y on x.label = y.label),
+{name}_k as (select *, row_number() over (partition by i order by d, j) as rn from {name}_d),
+{name}_m as (select p.label, p.i, p.j, round(p.d * p.d / nullif(q.d, 0), 9) as metric from {name}_k p join {name}_k q on p.i = q.i and p.rn = 1 and q.rn = 2),
+{name}_o as (select *, row_number() over (partition by label order by metric, i) as k from {name}_m where metric < 12e0),
+{name}_c as (select o.label, o.i, o.j, o.metric, x.u as u1, x.v as v1, y.u as u2, y.v as v2, floor(x.u / 1e3)::bigint as a, floor(x.v / 1e3)::bigint as b, floor(y.u / 1e3)::bigint as c, floor(y.v / 1e3)::bigint as e from {name}_o o join {a} x on x.id = o.i join {b} y on y.id = o.j where o.k <= 2000),
+{name}_n as (select label, a, b, c, e, count(*) as n from {name}_c group by all),
+{name}_s as (select p.label, p.a, p.b, p.c, p.e, sum(q.n) as support from {name}_n p join {name}_n q on p.label = q.label and q.a - p.a between -1 and 1 and q.b - p.b between -1 and 1 and q.c - p.c = q.a - p.a and q.e - p.e = q.b - p.b group by all),
+{name}_w as (select p.label, p.a, p.b, sum(q.n) as mass from (select distinct label, a, b from {name}_n) p join {name}_n q on p.label = q.label and q.a - p.a between -1 and 1 and q.b - p.b between -1 and 1 group by all),
+{name}_v as (select m.* from {name}_c m join {name}_s using (label, a, b, c, e) join {name}_w using (label, a, b) where support > 0.5e0 * sqrt(mass / 9e0)),
+{name}_f as (select *, row_number() over (partition by label, u1, v1 order by metric, i) as f1, row_number() over (partition by label, u2, v2 order by metric, i) as f2 from {name}_v),
+{name} as (select label, i, j from {name}_f where f1 = 1 and f2 = 1)"""
+
+
+@query("e02_matches", f"""
+with pts as (select vec_id as id, label, embedding as vec, (vec_id * 7919 % 4000) * 1e0 as u, (vec_id * 104729 % 3000) * 1e0 as v from embeddings),
+l as (select * from pts where id % 2 = 0), rt as (select * from pts where id % 2 = 1),
+{matched("ahead", "l", "rt")},
+{matched("back", "rt", "l")},
+g as (select label from ahead group by label having count(*) >= 2), h as (select label from back group by label having count(*) >= 2)
+select a.label, a.i, a.j from ahead a join back b on a.i = b.j and a.j = b.i where a.label in (select label from g) and a.label in (select label from h)""")
+def _(t):
+    """The matcher as one plan (E02): two nearest, quality, the best, votes of cells, unique places, both ways."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"), (F.col("vec_id") * 7919 % 4000 * 1.0).alias("u"), (F.col("vec_id") * 104729 % 3000 * 1.0).alias("v"))
+    return match_pairs(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), "label", limit=12.0, cell=1000.0, factor=0.5, least=2)
+
+
+@query("o06_pairs_by_matches", "with m as (select image_idx as i, chain_id % 50 as j, count(*) as matches from obs group by all), k as (select *, row_number() over (order by matches, i, j) as place from m) select i, j, matches, place from k")
+def _(t):
+    """Image pairs, those with the fewest matches first (O06): ranks over the whole table without one task."""
+    m = t.obs.groupBy(F.col("image_idx").alias("i"), (F.col("chain_id") % 50).alias("j")).agg(F.count("*").alias("matches"))
+    return ranked(m, ["matches", "i", "j"], "place")
+
+
 ASOF_Q = "q as (select o_orderkey as id, o_custkey % 50 as k, epoch_us(o_orderdate) / 1e6 % 2592000 + (select min(t) from series) as t from orders)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,3 +93,62 @@ def triggers(log: DataFrame) -> DataFrame:
     gate = F.when(F.col("message").contains("gate on"), 1).when(F.col("message").contains("gate off"), 0)
     t = log.withColumn("_gate", F.last(gate, ignorenulls=True).over(w)).filter((F.col("_gate") == 1) & F.col("message").contains("camera"))
     return t.withColumn("interval", F.coalesce(F.col("time") - F.lag("time").over(Window.partitionBy("flight").orderBy("time")), F.lit(0.0))).drop("_gate")
+
+
+def read_sensor(spark: SparkSession, path: str) -> DataFrame:
+    """(time, <columns>) of one sensor's CSV files; names in lower case with underscores, cells that are no numbers null."""
+    df = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    name = lambda c: re.sub(r"[^a-z0-9]+", "_", re.sub(r"\(.*?\)|\[.*?\]", "", c.lower())).strip("_")
+    df = df.select(*(F.col(f"`{c}`").try_cast("double").alias(name(c)) for c in df.columns))
+    first = next(c for c in df.columns if c in ("time", "timestamp", "timestamp_s", "frame"))
+    return df.withColumnRenamed(first, "time").filter(F.col("time").isNotNull())
+
+
+def read_flight_log(spark: SparkSession, folder: str, sensors: tuple[str, ...] = ("imu", "gps", "air", "filter", "act")) -> dict[str, DataFrame]:
+    """One table a sensor, of ``<folder>/<sensor>.csv``."""
+    return {s: read_sensor(spark, f"{folder}/{s}.csv") for s in sensors}
+
+
+def read_horizon(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, time, roll, pitch, roll_rate, pitch_rate) of a video's horizon CSV (degrees); rates are changes over time, the first row's 0.
+
+    One video is one ordered series, so its rows meet in one window.
+    """
+    from pyspark.sql.window import Window
+
+    df = spark.read.option("header", True).csv(path)
+    at = {w: next(c for c in df.columns if w in c.lower()) for w in ("frame", "time", "roll", "pitch")}
+    df = df.select(F.col(f"`{at['frame']}`").cast("int").alias("frame"), *(F.col(f"`{at[w]}`").try_cast("double").alias(w) for w in ("time", "roll", "pitch")))
+    w = Window.orderBy("time", "frame")
+    dt = F.col("time") - F.lag("time").over(w)
+    rate = lambda c: F.coalesce(F.when(dt > 0, (F.col(c) - F.lag(c).over(w)) / dt), F.lit(0.0))
+    return df.withColumns({"roll_rate": rate("roll"), "pitch_rate": rate("pitch")})
+
+
+def read_xmp_pose(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, lat_deg, lon_deg, alt_m, yaw_deg, pitch_deg, roll_deg, make, model) of the XMP packets in image files.
+
+    Attributes are taken by their names without the prefix, the gimbal's angles before the flight's;
+    images without a packet have nulls. Only the packet is kept of a file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][pP][gG]").load(folder)
+    text = F.decode("content", "ISO-8859-1")
+    x = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.regexp_extract(text, r"(?s)(<x:xmpmeta.*?</x:xmpmeta>)", 1).alias("x"))
+
+    def attribute(*names: str):
+        found = [F.nullif(F.regexp_extract("x", rf'\w+:{n}="([^"]*)"', 1), F.lit("")) for n in names]
+        found += [F.nullif(F.regexp_extract("x", rf"<\w+:{n}>([^<]*)<", 1), F.lit("")) for n in names]
+        return F.coalesce(*found)
+
+    number = lambda *names: attribute(*names).try_cast("double")
+    return x.select(
+        "name", number("GpsLatitude", "Latitude").alias("lat_deg"), number("GpsLongitude", "GpsLongtitude", "Longitude").alias("lon_deg"),
+        number("AbsoluteAltitude", "Altitude").alias("alt_m"), *(number(f"Gimbal{a}Degree", f"Flight{a}Degree", a).alias(f"{a.lower()}_deg") for a in ("Yaw", "Pitch", "Roll")),
+        attribute("Make").alias("make"), attribute("Model").alias("model"),
+    )
+
+
+def camera_of(poses: DataFrame) -> DataFrame:
+    """(camera, make, model) of the first image by name."""
+    first = poses.agg(F.min_by(F.struct("make", "model"), "name").alias("c"))
+    return first.select(F.concat_ws("_", "c.make", "c.model").alias("camera"), "c.make", "c.model")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ranks import ranked
 
 IMAGE_META = (
     "name string, width int, height int, flight_time double, "
@@ -22,7 +23,7 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """(name, idx) of the folder's jpg files, sorted by name; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][pP][gG]").load(folder)
     names = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
-    return names.withColumn("idx", F.row_number().over(Window.orderBy("name")) - 1)
+    return ranked(names, ["name"], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def read_poses(spark: SparkSession, path: str, order: str = "rpy") -> DataFrame:
@@ -54,7 +55,7 @@ def poses_by_name(poses: DataFrame, images: DataFrame) -> DataFrame:
 def read_image_meta(spark: SparkSession, path: str) -> DataFrame:
     """Image metadata of JSON files under a fixed schema; the index is the position by name."""
     df = spark.read.schema(IMAGE_META).option("multiLine", True).json(path)
-    return df.withColumn("idx", F.row_number().over(Window.orderBy("name")) - 1)
+    return ranked(df, ["name"], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def pose_of(df: DataFrame, optimized: bool = True) -> DataFrame:
