@@ -31,8 +31,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8 or more) the smallest id stays; rows without id stay."""
-    kept = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates (five words, similarity 0.8 or more) the smallest id stays; rows without id stay.
+
+    Rows that share an id are one document; the smallest row in the order of the columns stands for it.
+    """
+    first = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    kept = first.select("_row.*")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
