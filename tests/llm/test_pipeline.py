@@ -39,3 +39,10 @@ def test_the_whole_run(spark):
     out = cp.run(spark, FOLDER)
     assert out.filter("length > 0").count() == out.count() > 0
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_rows_of_one_id_leave_the_smallest(spark):
+    rows = [(3, f"text number {k} of one id " * 6, "en", "s", 9 - k) for k in range(4)] + [(3, "text number 0 of one id " * 6, "en", "a", 9)]
+    for part in (rows, rows[::-1]):
+        got = cp.keep_one_of_near_duplicates(spark, spark.createDataFrame(part, SCHEMA).repartition(3), FOLDER).collect()
+        assert [tuple(r) for r in got] == [min(rows)]
