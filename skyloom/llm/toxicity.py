@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, smallest_hashes
+from .shared import written
 
-#: Bounds of the fitted sample: confirmed toxic texts, unlabelled texts and words of the model.
+#: Bounds of the fitted sample, confirmed toxic texts and unlabelled texts, and words of the model.
 POSITIVES, UNLABELLED, WORDS = 4000, 8000, 4096
 THRESHOLD = 0.7
 #: Standard errors by which a word's rates must differ; chance passes it for few of a million words.
@@ -54,28 +55,64 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def choose_words(docs: list[np.ndarray], positive: np.ndarray, words: int) -> np.ndarray:
-    """The words whose rates in toxic and in unlabelled texts differ most surely: at least SURE standard errors apart."""
-    none = [np.zeros(0, np.uint32)]
-    p_keys, p_count = np.unique(np.concatenate([d for d, p in zip(docs, positive) if p] or none), return_counts=True)
-    u_keys, u_count = np.unique(np.concatenate([d for d, p in zip(docs, positive) if not p] or none), return_counts=True)
-    keys = np.union1d(p_keys, u_keys)
-    in_p, in_u = np.zeros(len(keys)), np.zeros(len(keys))
-    in_p[np.searchsorted(keys, p_keys)] = p_count
-    in_u[np.searchsorted(keys, u_keys)] = u_count
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    rate = (in_p + in_u) / (n_p + n_u)
-    sure = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-sure, kind="stable")[:words]
-    return np.sort(keys[best[sure[best] >= SURE]])
+def choose_words(docs: DataFrame, toxic: DataFrame, words: int) -> np.ndarray:
+    """The words whose rates in confirmed toxic texts and in all texts differ most surely: at least SURE standard errors apart.
 
+    docs: (id, text), all of them; toxic: the ids of the confirmed ones. Texts are counted on the
+    executors, batch by batch before the shuffle, and only the ``words`` best keys come back.
+    """
+    marked = docs.join(toxic.withColumn("p", F.lit(True)), "id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"))
+
+    def count(batches):
+        import pyarrow as pa
 
-def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, *, words: int = WORDS, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Fits the classifier. docs: word keys of each text; positive: which are confirmed toxic; the rest are unlabelled.
+        for batch in batches:
+            found = [np.fromiter(word_keys(t.as_py()), dtype=np.int64) for t in batch.column(0)]
+            p = batch.column(1).to_numpy(zero_copy_only=False)
+            keys, at = np.unique(np.concatenate([*found, [-1]]).astype(np.int64), return_inverse=True)
+            u = np.bincount(at, minlength=len(keys))
+            mine = np.concatenate([*(x for x, y in zip(found, p) if y), np.zeros(0)]).astype(np.int64)
+            n = np.bincount(np.searchsorted(keys, mine), minlength=len(keys))
+            u[0], n[0] = len(found), p.sum()  # the key -1 counts the texts
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["k", "u", "p"])
+
+    counts = written(marked.mapInArrow(count, "k long, u long, p long").groupBy("k").agg(F.sum("u").alias("u"), F.sum("p").alias("p")), "word-counts")
+    texts = counts.filter("k = -1").first()
+    if texts is None or not texts["p"] or not texts["u"]:
+        return np.zeros(0, dtype=np.uint32)
+    n_u, n_p = float(texts["u"]), float(texts["p"])
+    rate = (F.col("u") + F.col("p")) / (n_u + n_p)
+    error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / n_u + 1 / n_p))
+    sure = F.abs(F.col("p") / n_p - F.col("u") / n_u) / error
+    best = counts.filter("k >= 0").withColumn("sure", sure).filter(F.col("sure") >= SURE).orderBy(F.desc("sure"), "k").limit(words)
+    return np.sort(np.array([r["k"] for r in best.select("k").collect()], dtype=np.uint32))
+
+
+def corrected_risk(f: np.ndarray, p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The risk of scores f that is descended, and its gradient; p marks confirmed toxic texts, the others are unlabelled.
+
+    prior * mean loss of toxic as clean comes off the unlabelled texts' loss as clean; where that
+    corrected risk of clean text is negative (overfitting), its opposite is descended instead.
+    """
+    u = ~p
+    n_p, n_u = max(1, p.sum()), max(1, u.sum())
+    up, clean = 1 / (1 + np.exp(-np.clip(f, -40, 40))), np.logaddexp(0, f)
+    rest = clean[u].sum() / n_u - prior * clean[p].sum() / n_p
+    g = np.zeros(len(f))
+    if rest >= 0:
+        g[u] = up[u] / n_u
+        g[p] = -prior * up[p] / n_p + prior * (up[p] - 1) / n_p
+        return prior * np.logaddexp(0, -f[p]).sum() / n_p + rest, g
+    g[u] = -up[u] / n_u
+    g[p] = prior * up[p] / n_p
+    return -rest, g
+
+
+def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, keys: np.ndarray, *, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
+    """Fits the classifier. docs: word keys of each text; positive: which are confirmed toxic; the rest are unlabelled; keys: the model's words, sorted.
 
     Without a confirmed toxic text, or without words to tell, every score is just below the cut.
     """
-    keys = choose_words(docs, positive, words)
     if not positive.any() or not len(keys):
         return Model({}, 0.0, 1.0, 4.0)
     prior = min(max(prior, 1e-3), 0.9)
@@ -92,16 +129,7 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, *, words: in
     n_p, n_u = p.sum(), max(1, u.sum())
     for step in range(1, steps + 1):
         f = b + np.bincount(row, weights=w[col], minlength=n)
-        up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-        clean = np.logaddexp(0, f)  # logistic loss of the label clean
-        rest = clean[u].sum() / n_u - prior * clean[p].sum() / n_p
-        g = np.zeros(n)
-        if rest >= 0:
-            g[u] = up[u] / n_u
-            g[p] = -prior * up[p] / n_p + prior * (up[p] - 1) / n_p
-        else:  # the corrected risk of clean text is negative: undo that part
-            g[u] = -up[u] / n_u
-            g[p] = prior * up[p] / n_p
+        _, g = corrected_risk(f, p, prior)
         grad = np.append(np.bincount(col, weights=g[row], minlength=v) + decay * w, g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -123,12 +151,14 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, *, words: in
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, positives: int, unlabelled: int) -> Model:
-    """Fits on labels of the training folds: at most ``positives`` toxic texts and ``unlabelled`` texts, their labels unseen."""
+    """Fits on labels of the training folds. All texts of these folds choose the words; at most ``positives`` toxic texts and ``unlabelled`` texts, their labels unseen, fit the weights and the cut."""
     known = labels.filter(F.col(id_col).isNotNull() & (remainder(F.col(id_col), folds) != held))
     share = known.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    toxic = smallest_hashes(known.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct(), positives)
-    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    some = smallest_hashes(ids.filter(remainder(F.col("id"), folds) != held), unlabelled)
+    confirmed = written(known.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct(), "toxic-ids")
+    rows = docs.filter(F.col(id_col).isNotNull() & (remainder(F.col(id_col), folds) != held)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = choose_words(rows, confirmed, WORDS)
+    toxic = smallest_hashes(confirmed, positives)
+    some = smallest_hashes(rows.select("id").distinct(), unlabelled)
     sample = toxic.select("id", F.lit(True).alias("p")).unionAll(some.select("id", F.lit(False).alias("p")))
     # at most positives + unlabelled rows: safe to broadcast
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
@@ -138,11 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
         for batch in batches:
             for p, t in zip(batch.column(0), batch.column(1)):
-                key = np.fromiter(sorted(word_keys(t.as_py())), dtype=np.uint32)
+                key = np.intersect1d(np.fromiter(word_keys(t.as_py()), dtype=np.uint32), words, assume_unique=True)
                 yield pa.RecordBatch.from_pydict({"p": [p.as_py()], "k": [key.tobytes()]})
 
     got = chosen.select("p", "text").mapInArrow(features, "p boolean, k binary").toPandas()
-    return fit([np.frombuffer(k, dtype=np.uint32) for k in got["k"]], got["p"].to_numpy(dtype=bool), share or 0.0)
+    return fit([np.frombuffer(k, dtype=np.uint32) for k in got["k"]], got["p"].to_numpy(dtype=bool), share or 0.0, words)
 
 
 def score_toxicity(

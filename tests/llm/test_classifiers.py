@@ -1,8 +1,11 @@
+import itertools
 import random
 import zlib
 
-from skyloom.llm.line_crf import line_features, score_quality
-from skyloom.llm.toxicity import score_toxicity
+import numpy as np
+
+from skyloom.llm.line_crf import WIDTH, Crf, line_features, score_quality
+from skyloom.llm.toxicity import SURE, choose_words, corrected_risk, score_toxicity, word_keys
 
 
 def texts(rng, n, bad):
@@ -53,3 +56,49 @@ def test_toxicity_on_held_out(spark):
     none = score_toxicity(docs, labels.filter("toxic = 0")).collect()
     assert not any(r.predicted for r in none)
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_marginals_against_all_labellings():
+    rng = np.random.default_rng(4)
+    for n in range(1, 8):
+        crf = Crf(rng.normal(size=WIDTH), rng.random(WIDTH) + 0.5, rng.normal(size=WIDTH) / WIDTH, rng.normal(size=(2, 2)), 1.0, 0.0)
+        x = rng.normal(size=(n, WIDTH))
+        u = ((x - crf.mean) / crf.spread) @ crf.weights
+        total, good = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            mass = np.exp(sum(u[k] for k in range(n) if y[k]) + sum(crf.pair[a, b] for a, b in zip(y, y[1:])))
+            total += mass
+            good += mass * np.array(y)
+        assert np.allclose(crf.good(x), good / total, atol=1e-9)
+
+
+def test_risk_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    signs = set()
+    for shift in (-1.0, 0.0, 3.0):
+        p = np.arange(12) < 5
+        f = rng.normal(size=12) + np.where(p, shift, -shift)
+        value, g = corrected_risk(f, p, 0.6)
+        signs.add(np.logaddexp(0, f[~p]).mean() < 0.6 * np.logaddexp(0, f[p]).mean())
+        for k in range(12):
+            step = np.zeros(12)
+            step[k] = 1e-6
+            d = (corrected_risk(f + step, p, 0.6)[0] - corrected_risk(f - step, p, 0.6)[0]) / 2e-6
+            assert abs(d - g[k]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_words_are_chosen_from_all_texts(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "vile" if k % 5 == 0 else "delta"]) for _ in range(12))) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (900, None)], "id long, text string").repartition(4)
+    toxic = spark.createDataFrame([(k,) for k in range(0, 300, 5)], "id long")
+    got = set(choose_words(docs, toxic, 1000).tolist())
+    keys = {k: word_keys(t) for k, t in [*rows, (900, None)]}
+    want, n_u, n_p = set(), 301, 60
+    for w in set().union(*keys.values()):
+        u, p = sum(w in x for x in keys.values()), sum(w in keys[k] for k in range(0, 300, 5))
+        rate = (u + p) / (n_u + n_p)
+        if abs(p / n_p - u / n_u) >= SURE * (max(rate * (1 - rate), 1e-9) * (1 / n_u + 1 / n_p)) ** 0.5:
+            want.add(w)
+    assert got == want and len(choose_words(docs, toxic, 2)) == 2
