@@ -34,6 +34,8 @@ from .shared import arrow_rows, free_name, written
 
 #: Rows from which a shingle or tile counts as hot; shingles stored beyond the first ones; rows of a block; parts of a hot shingle.
 HOT, SLACK, BLOCK, SALTS = 128, 16, 1024, 16
+#: Classes that each hot shingle names as examples of its template; examples that make a shingle hot.
+EXAMPLES, AGREE = 2, 3
 #: Hot shingles that are sent to the executors at most (4 MB); beyond that they are joined.
 HOT_SENT = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -146,8 +148,9 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     """(s, pos, h, id, n): the first shingles of each class in the order with hot ones last, their places, and whether they are hot.
 
     Hot are shingles among the stored ones of more than HOT classes. Where these leave a class too
-    few, the next ones of its template would take their place, so all shingles of such classes are
-    counted, and those that more than HOT of them hold are hot as well.
+    few, the next ones of its template would take their place. So each hot shingle names EXAMPLES
+    of those classes, and all shingles that AGREE examples hold are hot as well. What is hot moves
+    the order only, and with it the cost: any fixed order gives the same links.
     """
     p = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - F.lit(1e-9)).cast("long") + 1
     reps = reps.select("id", "n", "pre", "more", p.cast("int").alias("p"))
@@ -159,27 +162,29 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
         r = r.withColumn("cold", F.array_except("pre", "hot"))
         return r.withColumn("short", F.col("more") & (F.size("cold") < F.col("p")))
 
-    short = written(ordered(hot).filter("short").select("id"), "short-classes")
-    if short.limit(1).count():
-        most = every_shingle(docs, short, size).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("s")
-        hot = written(hot.unionAll(most).distinct(), "hot-shingles")
+    short = ordered(hot).filter("short").select("id", F.explode("hot").alias("s"))
+    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), F.col("id"))).alias(f"x{k}") for k in range(EXAMPLES)]
+    named = short.groupBy("s").agg(*picks).select(F.explode(F.array(*(F.col(f"x{k}.id") for k in range(EXAMPLES)))).alias("id"))
+    most = every_shingle(docs, written(named.distinct(), "examples"), size).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") >= AGREE).select("s")
+    hot = written(hot.unionAll(most).distinct(), "hot-shingles")
     r = ordered(hot)
     first = F.when(~F.col("short"), F.slice(F.concat("cold", F.array_intersect("pre", "hot")), 1, F.col("p")))
     r = written(r.select("id", "n", "p", "short", F.size("cold").alias("c"), first.alias("first")), "first-shingles")
-    rows = ["s", "pos", "h", "id", "n"]
-    known = r.filter(~F.col("short")).select("id", "n", "c", F.posexplode("first").alias("pos", "s")).withColumn("h", F.col("pos") >= F.col("c")).select(rows)
+    known = r.filter(~F.col("short")).select("id", "n", "c", "first")
     # classes with more hot shingles among the stored ones than there is slack: all of their shingles are put in order
     deep = r.filter("short").select("id", "n", "p")
     if hot.count() <= HOT_SENT:
-        own = ordered_first(docs, deep.select("id"), hot, size, num, den).select("id", "c", F.posexplode("first").alias("pos", "s"))
-        return known.unionAll(own.join(deep.select("id", "n"), "id").withColumn("h", F.col("pos") >= F.col("c")).select(rows))
-    marked = every_shingle(docs, deep.select("id"), size).join(hot.withColumn("h", F.lit(True)), "s", "left").select("id", "s", F.col("h").isNotNull().alias("h"))
-    own = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
-    return known.unionAll(own.select("id", "n", F.posexplode(F.slice("o", 1, F.col("p"))).alias("pos", "o")).select("o.s", "pos", "o.h", "id", "n"))
+        own = ordered_first(docs, deep, hot, size, num, den)
+    else:
+        marked = every_shingle(docs, deep.select("id"), size).join(hot.withColumn("h", F.lit(True)), "s", "left").select("id", "s", F.col("h").isNotNull().alias("h"))
+        own = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
+        own = own.select("id", "n", F.size(F.filter("o", lambda x: ~x["h"])).alias("c"), F.slice("o.s", 1, F.col("p")).alias("first"))
+    each = known.unionAll(own).select("id", "n", "c", F.posexplode("first").alias("pos", "s"))
+    return each.select("s", "pos", (F.col("pos") >= F.col("c")).alias("h"), "id", "n")
 
 
-def ordered_first(docs: DataFrame, ids: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(id, c, first): the first shingles in the order with hot ones last, c of all are not hot; the hot ones (HOT_SENT at most) are sent to the executors."""
+def ordered_first(docs: DataFrame, deep: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(id, n, c, first) of the classes (id, n, p): the first shingles in the order with hot ones last, c of all are not hot; the hot ones (HOT_SENT at most) are sent to the executors."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in hot.collect()], dtype=np.int64)))
 
     def run(batches):
@@ -188,16 +193,18 @@ def ordered_first(docs: DataFrame, ids: DataFrame, hot: DataFrame, size: int, nu
         last = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, out, cold = batch.slice(at, 256), [], []
+                part, out, cold, sizes = batch.slice(at, 256), [], [], []
                 for t in part.column(1):
                     g = shingles(t.as_py(), size)
                     h = np.isin(g, last, assume_unique=True)
                     out.append(np.concatenate([g[~h], g[h]])[: prefix(len(g), num, den)])
                     cold.append(int(len(g) - h.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cold, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["id", "c", "first"])
+                    sizes.append(len(g))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(cold, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "c", "first"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, c int, first array<bigint>").dropDuplicates(["id"])
+    made = docs.join(deep.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, n long, c int, first array<bigint>")
+    return made.join(deep, ["id", "n"], "left_semi").dropDuplicates(["id"])
 
 
 def every_shingle(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
