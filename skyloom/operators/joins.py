@@ -78,13 +78,17 @@ def asof(queries: DataFrame, series: DataFrame, time: str, values: list[str], by
 
 
 def interpolate(queries: DataFrame, series: DataFrame, time: str, value: str, by: list[str], outside: Column | None = None) -> DataFrame:
-    """Each query row with the series linearly interpolated at its time (``<value>_at``); ``outside`` (default 0) beyond the ends."""
+    """Each query row with the series linearly interpolated at its time (``<value>_at``); ``outside`` (default 0) beyond the ends.
+
+    The point before and the point after are both the last one seen, in ascending and in descending
+    order, as a frame that looks ahead to the end costs the square of a key's rows.
+    """
     q = queries.select(*by, time, F.lit(1).alias("_q"), F.struct(*queries.columns).alias("_row"), F.lit(None).cast("struct<t:double,x:double>").alias("_p"))
     s = series.groupBy(*by, time).agg(F.min(value).alias(value))
     s = s.select(*by, time, F.lit(0).alias("_q"), F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("x")).alias("_p"))
     before = Window.partitionBy(*by).orderBy(time, "_q").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(time, F.desc("_q")).rowsBetween(0, Window.unboundedFollowing)
-    u = q.unionByName(s).withColumns({"_a": F.last("_p", ignorenulls=True).over(before), "_b": F.first("_p", ignorenulls=True).over(after)})
+    after = Window.partitionBy(*by).orderBy(F.desc(time), "_q").rowsBetween(Window.unboundedPreceding, 0)
+    u = q.unionByName(s).withColumns({"_a": F.last("_p", ignorenulls=True).over(before), "_b": F.last("_p", ignorenulls=True).over(after)})
     a, b, t = F.col("_a"), F.col("_b"), F.col(time)
     lerp = F.when(a.t == b.t, a.x).otherwise(a.x + (b.x - a.x) * (t - a.t) / F.nullif(b.t - a.t, F.lit(0.0)))
     return u.filter("_q = 1").select("_row.*", F.coalesce(lerp, F.lit(0.0) if outside is None else outside).alias(f"{value}_at"))

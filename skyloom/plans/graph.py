@@ -12,7 +12,7 @@ from ..operators.joins import nearest, sequence_pairs
 from ..operators.ranks import tiles
 from ..sources.terrain import bilinear
 from .base import query, r
-from .joins import descriptor_pairs
+from .joins import DESC, descriptor_pairs
 
 
 def pairs_of(t):
@@ -194,9 +194,9 @@ def _(t):
     return out.select("grp", *(r(c).alias(c) for c in ("qw", "qx", "qy", "qz")))
 
 
-@query("e13_refit")
+@query("e13_refit", "select image_idx, round(n, 4) + 0e0 as n, round(e, 4) + 0e0 as e, round(d, 4) + 0e0 as d from pose")
 def _(t):
-    """Positions moved by a known similarity and fitted back."""
+    """Positions moved by a known similarity and fitted back, which gives the positions themselves."""
     c, s = 0.96, 0.28
     moved = t.pose.select("image_idx", *(F.col(x).alias(f"t{x}") for x in "ned"), (1.1 * (c * F.col("n") - s * F.col("e")) + 5).alias("n"), (1.1 * (s * F.col("n") + c * F.col("e")) - 3).alias("e"), (1.1 * F.col("d") + 2).alias("d"))
     out, _ = est.refit(moved, ("n", "e", "d"), ("tn", "te", "td"))
@@ -210,7 +210,7 @@ def _(t):
     return t.spark.createDataFrame([(i, j, round(float(c[i, j]), 4)) for i in range(4) for j in range(4)], "i int, j int, c double")
 
 
-@query("e04_ratio_bins")
+@query("e04_ratio_bins", f"with {DESC}, g as (select i, min(case when rn = 1 then d end) / min(case when rn = 2 then d end) as ratio from k where rn <= 2 group by i) select bin, count(*) filter (where ratio < bin) as n from g, (select unnest(range(10, 20)) / 20e0 as bin) b group by bin")
 def _(t):
     """Cumulative counts of matches by distance ratio, in steps of 0.05 from 0.5 to 0.85."""
     g = descriptor_pairs(t).groupBy("i").agg((F.min(F.when(F.col("rn") == 1, F.col("d"))) / F.min(F.when(F.col("rn") == 2, F.col("d")))).alias("ratio"))
