@@ -275,3 +275,10 @@ def _(t):
     both = p.select(F.explode(F.array("image_idx", "image_idx_2")).alias("i"), "w", "err")
     m = both.groupBy("i").agg(F.sqrt(F.sum(F.col("w") * F.col("err") * F.col("err")) / F.sum("w")).alias("rms"))
     return m.agg(F.count("*").alias("images"), r(F.sqrt(F.avg(F.col("rms") * F.col("rms"))), 5).alias("objective"), r(F.max("rms"), 5).alias("worst"))
+
+
+@query("o08_group_seed", "with c as (select chain_id, count(distinct image_idx) as n from obs group by chain_id having count(distinct image_idx) > 2) select chain_id, n from c order by n desc, chain_id limit 1")
+def _(t):
+    """The chain that a group starts from (O08): the longest one that touches three images or more, the first of equals."""
+    c = t.obs.groupBy("chain_id").agg(F.countDistinct("image_idx").alias("n")).filter("n > 2")
+    return c.orderBy(F.desc("n"), "chain_id").limit(1)

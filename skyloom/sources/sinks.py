@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 
 def write_pose_csv(poses: DataFrame, path: str) -> None:
-    """Pose rows with ten decimals for degrees of position and two for the rest, one header; an existing target is an error."""
+    """Pose rows with ten decimals for degrees of position and two for the rest, in files in the order of names, each with the header; an existing target is an error."""
     f = lambda c, n: F.format_string(f"%.{n}f", F.col(c)).alias(c)
     rows = poses.select("name", f("lat_deg", 10), f("lon_deg", 10), *(f(c, 2) for c in ("alt_m", "roll_deg", "pitch_deg", "yaw_deg", "flight_time")))
-    rows.orderBy("name").coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    rows.orderBy("name").write.mode("errorifexists").option("header", True).csv(path)
 
 
 def write_version(df: DataFrame, folder: str, step: str, partition_by: str | None = None) -> str:
@@ -90,6 +90,55 @@ def mesh_quads(vertices: DataFrame, steps: int) -> DataFrame:
     return q.groupBy("image").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", "text"))), lambda x: x.text), "\n").alias("text"))
 
 
+def write_clusters(clusters: DataFrame, path: str) -> None:
+    """Cluster CSV: position to seven decimals and the number of labels, the largest cluster first."""
+    f = lambda c: F.format_string("%.7f", F.col(c)).alias(c)
+    clusters.orderBy(F.desc("cnt"), "lat_deg", "lon_deg").select(f("lat_deg"), f("lon_deg"), "cnt").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_tile_manifest(tiles: DataFrame, path: str) -> None:
+    """Manifest CSV of sub-images (image, i, j): the tile's file name and its parent, in order."""
+    root, ext = (F.regexp_extract("image", r"^(.*?)(\.[^.]*)?$", k) for k in (1, 2))
+    name = F.concat(root, F.lit("_"), F.col("i").cast("string"), F.col("j").cast("string"), ext)
+    tiles.orderBy("image", "i", "j").select(name.alias("tile"), F.col("image").alias("parent")).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_points(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y", "z"), digits: int = 4) -> None:
+    """Points as lines of numbers apart by spaces, as plotting tools read them; rows with a missing number are left out."""
+    known = points.dropna(subset=list(columns))
+    known.orderBy(*columns).select(F.concat_ws(" ", *(F.format_string(f"%.{digits}f", F.col(c).cast("double")) for c in columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_frames(frames: DataFrame, path: str) -> None:
+    """Frame metadata CSV (frame, time and the columns besides), ordered by frame, doubles to six decimals."""
+    kinds = dict(frames.dtypes)
+    cols = [F.format_string("%.6f", F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in frames.columns]
+    frames.orderBy("frame").select(*cols).write.mode("overwrite").option("header", True).csv(path)
+
+
+def map_page(images: DataFrame, title: str) -> DataFrame:
+    """One row ``value``: an HTML page whose map spans the bounds of the images' positions; null without positions."""
+    b = images.agg(F.min("lat_deg").alias("a"), F.min("lon_deg").alias("b"), F.max("lat_deg").alias("c"), F.max("lon_deg").alias("d"), F.count("lat_deg").alias("n"))
+    safe = title.replace("&", "&amp;").replace("<", "&lt;")
+    page = f"<!DOCTYPE html><html><head><title>{safe}</title></head><body><div id=\"map\" data-images=\"%d\" data-bounds=\"[[%.7f,%.7f],[%.7f,%.7f]]\"></div></body></html>"
+    return b.select(F.when(F.col("n") > 0, F.format_string(page, "n", "a", "b", "c", "d")).alias("value"))
+
+
+def triangle_mesh(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(object, text) of fitted triangles: vertices (object, v, x, y, z) and triangles (object, a, b, c) in AC3D's layout.
+
+    A group's text is one row, as one object is one block of the file.
+    """
+    v = vertices.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("v", "x", "y", "z"))).alias("v"))
+    t = triangles.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("a", "b", "c"))).alias("t"))
+    j = v.join(t, "object")
+    points = F.transform("v", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["z"].cast("string")))
+    faces = F.transform("t", lambda f: F.concat(F.lit("SURF 0x20\nmat 0\nrefs 3\n"), F.concat_ws("\n", *(F.concat(f[c].cast("string"), F.lit(" 0 0")) for c in "abc"))))
+    head = F.concat(F.lit("OBJECT poly\nname \""), F.col("object"), F.lit("\"\nnumvert "), F.size("v").cast("string"))
+    tail = F.concat(F.lit("numsurf "), F.size("t").cast("string"))
+    return j.select("object", F.concat_ws("\n", head, F.array_join(points, "\n"), tail, F.array_join(faces, "\n"), F.lit("kids 0")).alias("text"))
+
+
 def tile_script(bounds: DataFrame, rows: int, cols: int) -> DataFrame:
     """(row, col, x0, y0, x1, y1): a grid over one row of bounds (x0, y0, x1, y1)."""
     n = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))

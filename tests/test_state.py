@@ -4,7 +4,7 @@ import numpy as np
 
 from skyloom.operators.grids import fill_bins, ray_surface
 from skyloom.operators.matching import two_nearest
-from skyloom.sources import flight, state
+from skyloom.sources import flight, sinks, state
 
 
 def test_state_round_trip_and_repair(spark, tmp_path):
@@ -88,3 +88,21 @@ def test_bins_are_filled_until_none_is_left(spark):
     full = {(r.cx, r.cy): r.mean for r in fill_bins(one, 6, 6).collect()}
     assert len(full) == 36 and full[0, 1] == 3.0 and full[5, 4] == 9.0 and 3.0 < full[2, 3] < 9.0
     assert fill_bins(one.limit(0), 6, 6).count() == 0
+
+
+def test_text_sinks(spark, tmp_path):
+    lines = lambda name: [r.value for r in spark.read.text(str(tmp_path / name)).collect()]
+    sinks.write_clusters(spark.createDataFrame([(1.5, 2.5, 3), (4.0, 5.0, 9)], "lat_deg double, lon_deg double, cnt long").coalesce(1), str(tmp_path / "c"))
+    assert [x for x in lines("c") if not x.startswith("lat")] == ["4.0000000,5.0000000,9", "1.5000000,2.5000000,3"]
+    sinks.write_tile_manifest(spark.createDataFrame([("a.b.jpg", 0, 1), ("plain", 1, 0)], "image string, i int, j int"), str(tmp_path / "t"))
+    assert sorted(x for x in lines("t") if not x.startswith("tile")) == ["a.b_01.jpg,a.b.jpg", "plain_10,plain"]
+    sinks.write_points(spark.createDataFrame([(1.0, 2.0, 3.0), (0.0, None, 1.0)], "x double, y double, z double"), str(tmp_path / "p"))
+    assert lines("p") == ["1.0000 2.0000 3.0000"]
+    sinks.write_frames(spark.createDataFrame([(2, 0.5), (1, 0.25)], "frame int, time double").coalesce(1), str(tmp_path / "f"))
+    assert [x for x in lines("f") if not x.startswith("frame")] == ["1,0.250000", "2,0.500000"]
+    at = spark.createDataFrame([(1.0, 2.0), (3.0, -4.0)], "lat_deg double, lon_deg double")
+    assert 'data-images="2" data-bounds="[[1.0000000,-4.0000000],[3.0000000,2.0000000]]"' in sinks.map_page(at, "a < b").first().value
+    assert sinks.map_page(at.limit(0), "x").first().value is None
+    v = spark.createDataFrame([("o", k, 1.0 * k, 0.0, 0.0) for k in range(3)], "object string, v int, x double, y double, z double")
+    text = sinks.triangle_mesh(v, spark.createDataFrame([("o", 0, 1, 2)], "object string, a int, b int, c int")).first().text
+    assert text.startswith('OBJECT poly\nname "o"\nnumvert 3\n0.0 0.0 0.0\n') and text.endswith("refs 3\n0 0 0\n1 0 0\n2 0 0\nkids 0")
