@@ -157,9 +157,7 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     hot = written(reps.select(F.explode("pre").alias("s")).groupBy("s").count().filter(F.col("count") > HOT).select("s"), "hot-shingles")
 
     def ordered(hot: DataFrame) -> DataFrame:
-        theirs = reps.select("id", F.explode("pre").alias("s")).join(hot, "s").groupBy("id").agg(F.collect_set("s").alias("hot"))
-        r = reps.join(theirs, "id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
-        r = r.withColumn("cold", F.array_except("pre", "hot"))
+        r = told_apart(reps, hot) if hot.count() <= HOT_SENT else told_apart_by_join(reps, hot)
         return r.withColumn("short", F.col("more") & (F.size("cold") < F.col("p")))
 
     short = ordered(hot).filter("short").select("id", F.explode("hot").alias("s"))
@@ -168,7 +166,7 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     most = every_shingle(docs, written(named.distinct(), "examples"), size).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") >= AGREE).select("s")
     hot = written(hot.unionAll(most).distinct(), "hot-shingles")
     r = ordered(hot)
-    first = F.when(~F.col("short"), F.slice(F.concat("cold", F.array_intersect("pre", "hot")), 1, F.col("p")))
+    first = F.when(~F.col("short"), F.slice(F.concat("cold", "hot"), 1, F.col("p")))
     r = written(r.select("id", "n", "p", "short", F.size("cold").alias("c"), first.alias("first")), "first-shingles")
     known = r.filter(~F.col("short")).select("id", "n", "c", "first")
     # classes with more hot shingles among the stored ones than there is slack: all of their shingles are put in order
@@ -183,6 +181,34 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     return each.select("s", "pos", (F.col("pos") >= F.col("c")).alias("h"), "id", "n")
 
 
+def told_apart(reps: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, n, p, more, hot, cold): the stored shingles in two, each in its order; the hot ones (HOT_SENT at most) are sent to the executors."""
+    sent = reps.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in hot.collect()], dtype=np.int64)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = sent.value
+        for batch in batches:
+            pre = batch.column(4)
+            at, v = pre.offsets.to_numpy().astype(np.int64), pre.flatten().to_numpy()
+            at = at - at[0]
+            h = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v if len(last) else np.zeros(len(v), dtype=bool)
+            hot_at = np.concatenate([[0], np.cumsum(h)])[at]
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(x)) for o, x in ((hot_at, v[h]), (at - hot_at, v[~h]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["id", "n", "p", "more", "hot", "cold"])
+
+    kind = reps.schema["id"].dataType.simpleString()
+    return reps.select("id", "n", "p", "more", "pre").mapInArrow(run, f"id {kind}, n long, p int, more boolean, hot array<bigint>, cold array<bigint>")
+
+
+def told_apart_by_join(reps: DataFrame, hot: DataFrame) -> DataFrame:
+    """The same where there are too many hot shingles to send."""
+    theirs = reps.select("id", F.explode("pre").alias("s")).join(hot, "s").groupBy("id").agg(F.collect_set("s").alias("hot"))
+    r = reps.join(theirs, "id", "left").withColumn("hot", F.array_intersect("pre", F.coalesce("hot", F.array().cast("array<bigint>"))))
+    return r.select("id", "n", "p", "more", "hot", F.array_except("pre", "hot").alias("cold"))
+
+
 def ordered_first(docs: DataFrame, deep: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(id, n, c, first) of the classes (id, n, p): the first shingles in the order with hot ones last, c of all are not hot; the hot ones (HOT_SENT at most) are sent to the executors."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in hot.collect()], dtype=np.int64)))
