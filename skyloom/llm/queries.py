@@ -11,6 +11,7 @@ from .jaccard_join import component_ids
 from .line_crf import score_quality
 from .line_dedup import dedup_lines
 from .packing import pack
+from .session_merge import session_versions
 from .sharding import external_shuffle
 from .token_files import read_token_files, write_token_files
 from .toxicity import score_toxicity
@@ -71,10 +72,26 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
+def op12_session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").dropna()
+    crc = lambda text: F.crc32(text.cast("binary"))
+    eight = F.expr("(conv_id - pmod(conv_id, 8)) div 8")
+    coded = turns.select("conv_id", "turn", eight.alias("eight"), crc(F.col("conv_id").cast("string")).alias("c"), crc(F.concat_ws(":", "conv_id", "turn")).alias("h"))
+    timed = coded.select(
+        (2 * F.col("eight") + F.col("c") % 2).alias("user"), "h", F.expr("h div 600").alias("g"),
+        (F.expr("c div 2") % 7200 + 300 * F.col("turn") + F.col("h") % 600).alias("seconds"),
+    )
+    late = F.when(F.col("g") % 5 == 0, F.col("g") % 4).otherwise(0)
+    # floors, so that turns below 0 fall in batches below 0
+    batch = F.expr("(seconds - pmod(seconds, 1800)) div 1800") + late
+    return session_versions(timed.select("user", "seconds", batch.alias("batch"), "h"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_packing, op3_url_filter, op4_quality, op5_toxicity, op6_sharding, op7_jaccard_join, op8_token_files, op9_decontamination, op10_nearest,
+        op12_session_merge,
     )
 }
 
@@ -96,5 +113,42 @@ j AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
+""",
+    "op12_session_merge": """
+WITH table256 AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+               lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+        FROM range(256) r(i))),
+crc AS (
+  SELECT conv_id, turn,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS c,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id || ':' || turn, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS h
+  FROM conversations, table256 WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+timed AS (
+  SELECT 2 * floor(conv_id / 8)::BIGINT + c % 2 AS "user", h, h // 600 AS g,
+         c // 2 % 7200 + 300 * turn + h % 600 AS s FROM crc),
+ev AS (
+  SELECT "user", s, h, floor(s / 1800)::BIGINT + CASE WHEN g % 5 = 0 THEN g % 4 ELSE 0 END AS b FROM timed),
+sofar AS (
+  SELECT x."user", x.batch, e.s, e.h, e.b = x.batch AS fresh,
+         coalesce(e.s - lag(e.s) OVER (PARTITION BY x."user", x.batch ORDER BY e.s) > 240, true) AS cut
+  FROM (SELECT DISTINCT "user", b AS batch FROM ev) x JOIN ev e ON e."user" = x."user" AND e.b <= x.batch),
+piece AS (
+  SELECT *, sum(cut::INT) OVER (PARTITION BY "user", batch ORDER BY s, NOT cut) AS k FROM sofar),
+version AS (
+  SELECT "user", batch, min(s) AS start_s, max(s) AS end_s, count(*) AS n_events, count(*) FILTER (WHERE fresh) AS n_new,
+         sum(h)::BIGINT AS h_sum
+  FROM piece GROUP BY "user", batch, k HAVING bool_or(fresh)),
+gone AS (
+  SELECT v."user", v.batch, v.start_s, min(w.batch) AS retracted_batch, arg_min(w.start_s, w.batch) AS retracted_start_s
+  FROM version v JOIN version w ON w."user" = v."user" AND w.batch > v.batch AND w.start_s <= v.start_s AND w.end_s >= v.end_s
+  GROUP BY 1, 2, 3),
+made AS (
+  SELECT "user", retracted_batch AS batch, retracted_start_s AS start_s, count(*) AS n FROM gone GROUP BY 1, 2, 3)
+SELECT v.*, coalesce(m.n, 0) AS n_retracted, g.retracted_batch, g.retracted_start_s
+FROM version v LEFT JOIN gone g USING ("user", batch, start_s) LEFT JOIN made m USING ("user", batch, start_s)
 """,
 }
