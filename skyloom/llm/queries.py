@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontam import contaminated
+from .hard_negatives import mine
 from .jaccard_join import component_ids
 from .line_crf import score_quality
 from .line_dedup import dedup_lines
@@ -87,11 +88,17 @@ def op12_session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_versions(timed.select("user", "seconds", batch.alias("batch"), "h"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_packing, op3_url_filter, op4_quality, op5_toxicity, op6_sharding, op7_jaccard_join, op8_token_files, op9_decontamination, op10_nearest,
-        op12_session_merge,
+        op12_session_merge, op13_hard_negatives,
     )
 }
 
@@ -150,5 +157,25 @@ made AS (
   SELECT "user", retracted_batch AS batch, retracted_start_s AS start_s, count(*) AS n FROM gone GROUP BY 1, 2, 3)
 SELECT v.*, coalesce(m.n, 0) AS n_retracted, g.retracted_batch, g.retracted_start_s
 FROM version v LEFT JOIN gone g USING ("user", batch, start_s) LEFT JOIN made m USING ("user", batch, start_s)
+""",
+    "op13_hard_negatives": """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
 """,
 }
