@@ -1,7 +1,7 @@
 """Hard-negative mining by dual-tree search over integer vectors.
 
 Candidates and anchors are both held in ball trees: rows sorted by label and by the signs of seeded
-random planes are cut into stretches, and each stretch is split at medians down to leaves; a node
+random planes are cut into stretches, and each stretch is split down to leaves; a node
 knows its centre, radius, and the range of its labels. For a node of anchors and one of candidates
 the inner products lie between a*c - r and a*c + r with r = Ra|c| + Rc|a| + RaRc. A pair of nodes whose
 interval cannot help any of its anchors is passed over whole: first on the level of whole trees, as
@@ -19,6 +19,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .ann import matrix
@@ -44,11 +46,14 @@ def ball_tree(v: np.ndarray, labels: np.ndarray, leaf: int) -> tuple[np.ndarray,
         if parent >= 0:
             nodes[parent][2 + side] = at
         if stop - start > leaf and radii[-1] > 0:
-            half = (stop - start) // 2
             own = labels[order[start:stop]]
             # a node of several labels is split by them first, so that its children tell labels apart
             by = own if own.min() != own.max() else mine[:, (mine.max(axis=0) - mine.min(axis=0)).argmax()]
-            order[start:stop] = order[start:stop][np.argsort(by, kind="stable")]
+            turn = np.argsort(by, kind="stable")
+            order[start:stop] = order[start:stop][turn]
+            # in the middle of the values, which keeps groups whole, but with an eighth of the rows on either side
+            half, eighth = np.searchsorted(by[turn], (by.min() + by.max()) / 2, side="right"), max(1, (stop - start) // 8)
+            half = int(min(max(half, eighth), stop - start - eighth))
             todo += [(start, start + half, at, 0), (start + half, stop, at, 1)]
     return order, np.array(nodes, dtype=np.int32), np.array(centres), np.array(radii)
 
@@ -189,9 +194,6 @@ def planted(rows: DataFrame, per: int, leaf: int, dim: int, least_parts: int) ->
         if held is not None and held.num_rows:
             yield pa.RecordBatch.from_pylist([pack(held)], schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     fields = f"n int, low {label_kind}, high {label_kind}, centre array<double>, radius double, ids array<{kind}>, labels array<{label_kind}>, v binary, nodes binary, centres binary, radii binary"
     schema = to_arrow_schema(StructType.fromDDL(fields))
     keys = ["label", "code", "id"]
@@ -273,7 +275,7 @@ def mine(
         def cell(own, theirs):
             out = []
             if own.num_rows and theirs.num_rows:
-                block, a = own.to_pylist()[0], None
+                block = own.to_pylist()[0]
                 a, found = Tree(block, dim), [Tree(t, dim) for t in theirs.select(["ids", "labels", "v", "nodes", "centres", "radii"]).to_pylist()]
                 bands = wanted = None
                 if banded:
@@ -289,9 +291,6 @@ def mine(
                     out.append((a.ids[slot].item(), i, score) if not banded else (a.ids[slot // positives].item(), *wanted[slot], i, score))
             return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)] if out else [pa.nulls(0, f.type) for f in schema], schema=schema)
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
         schema = to_arrow_schema(StructType.fromDDL(fields))
         asked = pairs.select("tree", "block").withColumn("cell", F.pmod(F.xxhash64("tree"), F.lit(cells)))
         theirs = asked.join(trees, "tree")

@@ -18,6 +18,8 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .shared import arrow_rows, free_name, written
@@ -235,12 +237,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = [f.split()[0] for f in shown.split(", ")]
     fields = f"id {kind}, {shown}, part int, edge string, text string"
 
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+
     def batch_of(rows: list[dict]):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        return pa.RecordBatch.from_pylist(rows, to_arrow_schema(StructType.fromDDL(fields)))
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     def walk(batches):
         before = None

@@ -12,6 +12,7 @@ from .jaccard_join import component_ids
 from .line_crf import score_quality
 from .line_dedup import dedup_lines
 from .packing import pack
+from .prefix_hash import edited_fingerprints
 from .session_merge import session_versions
 from .sharding import external_shuffle
 from .token_files import read_token_files, write_token_files
@@ -73,6 +74,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the digest is taken where the edited text is made, so that texts are not written once more
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def op12_session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").dropna()
     crc = lambda text: F.crc32(text.cast("binary"))
@@ -98,7 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_packing, op3_url_filter, op4_quality, op5_toxicity, op6_sharding, op7_jaccard_join, op8_token_files, op9_decontamination, op10_nearest,
-        op12_session_merge, op13_hard_negatives,
+        op11_fingerprints, op12_session_merge, op13_hard_negatives,
     )
 }
 
