@@ -183,17 +183,28 @@ def _(t):
     return n.join(n.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"], "left_semi")
 
 
+def ring(x: str, y: str) -> str:
+    """SQL of the place of a step of one cell in the ring around a cell."""
+    return f"(list_position(['-1,-1', '0,-1', '1,-1', '1,0', '1,1', '0,1', '-1,1', '-1,0'], ({x}) || ',' || ({y})) - 1)"
+
+
 def matched(name: str, a: str, b: str) -> str:
-    """SQL of the matches of side ``a`` in side ``b``: two nearest, quality, best 2000, votes, first place on both sides."""
+    """SQL of the matches of side ``a`` in side ``b``: two nearest, quality, best 2000, votes under eight turns on four layouts, first place on both sides."""
     return f"""{name}_d as (select x.label, x.id as i, y.id as j, sqrt(list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: power(z[1]::double - z[2]::double, 2)))) as d from {a} x join {b} y on x.label = y.label),
 {name}_k as (select *, row_number() over (partition by i order by d, j) as rn from {name}_d),
 {name}_m as (select p.label, p.i, p.j, round(p.d * p.d / nullif(q.d, 0), 9) as metric from {name}_k p join {name}_k q on p.i = q.i and p.rn = 1 and q.rn = 2),
 {name}_o as (select *, row_number() over (partition by label order by metric, i) as k from {name}_m where metric < 12e0),
-{name}_c as (select o.label, o.i, o.j, o.metric, x.u as u1, x.v as v1, y.u as u2, y.v as v2, floor(x.u / 1e3)::bigint as a, floor(x.v / 1e3)::bigint as b, floor(y.u / 1e3)::bigint as c, floor(y.v / 1e3)::bigint as e from {name}_o o join {a} x on x.id = o.i join {b} y on y.id = o.j where o.k <= 2000),
-{name}_n as (select label, a, b, c, e, count(*) as n from {name}_c group by all),
-{name}_s as (select p.label, p.a, p.b, p.c, p.e, sum(q.n) as support from {name}_n p join {name}_n q on p.label = q.label and q.a - p.a between -1 and 1 and q.b - p.b between -1 and 1 and q.c - p.c = q.a - p.a and q.e - p.e = q.b - p.b group by all),
-{name}_w as (select p.label, p.a, p.b, sum(q.n) as mass from (select distinct label, a, b from {name}_n) p join {name}_n q on p.label = q.label and q.a - p.a between -1 and 1 and q.b - p.b between -1 and 1 group by all),
-{name}_v as (select m.* from {name}_c m join {name}_s using (label, a, b, c, e) join {name}_w using (label, a, b) where support > 0.5e0 * sqrt(mass / 9e0)),
+{name}_c as (select o.label, o.i, o.j, o.metric, x.u as u1, x.v as v1, y.u as u2, y.v as v2 from {name}_o o join {a} x on x.id = o.i join {b} y on y.id = o.j where o.k <= 2000),
+{name}_l as (select label, i, l.k as layout, floor(u1 / 1e3 + l.x)::bigint as a, floor(v1 / 750e0 + l.y)::bigint as b, floor(u2 / 1e3)::bigint as c, floor(v2 / 750e0)::bigint as e from {name}_c, (values (0, 0e0, 0e0), (1, 0.5e0, 0e0), (2, 0e0, 0.5e0), (3, 0.5e0, 0.5e0)) l(k, x, y)),
+{name}_n as (select label, layout, a, b, c, e, count(*) as n from {name}_l group by all),
+{name}_t as (select p.label, p.layout, p.a, p.b, p.c, p.e, ({ring("q.c - p.c", "q.e - p.e")} - {ring("q.a - p.a", "q.b - p.b")} + 8) % 8 as turn, sum(q.n) as given from {name}_n p join {name}_n q on p.label = q.label and p.layout = q.layout
+  and greatest(abs(q.a - p.a), abs(q.b - p.b)) = 1 and greatest(abs(q.c - p.c), abs(q.e - p.e)) = 1 group by all),
+{name}_w as (select p.label, p.layout, p.a, p.b, sum(q.n) as mass from (select distinct label, layout, a, b from {name}_n) p join {name}_n q on p.label = q.label and p.layout = q.layout and q.a - p.a between -1 and 1 and q.b - p.b between -1 and 1 group by all),
+{name}_s as (select p.*, r.turn from {name}_n p cross join (select range as turn from range(8)) r left join {name}_t t on (p.label, p.layout, p.a, p.b, p.c, p.e, r.turn) = (t.label, t.layout, t.a, t.b, t.c, t.e, t.turn)
+  join {name}_w w on (p.label, p.layout, p.a, p.b) = (w.label, w.layout, w.a, w.b) where p.n + coalesce(t.given, 0) > 0.5e0 * sqrt(mass / 9e0)),
+{name}_k2 as (select distinct l.label, l.i, s.turn from {name}_l l join {name}_s s using (label, layout, a, b, c, e)),
+{name}_b as (select label, turn from (select label, turn, row_number() over (partition by label order by count(*) desc, turn) as best from {name}_k2 group by label, turn) where best = 1),
+{name}_v as (select m.* from {name}_c m join {name}_k2 using (label, i) join {name}_b using (label, turn)),
 {name}_f as (select *, row_number() over (partition by label, u1, v1 order by metric, i) as f1, row_number() over (partition by label, u2, v2 order by metric, i) as f2 from {name}_v),
 {name} as (select label, i, j from {name}_f where f1 = 1 and f2 = 1)"""
 
@@ -208,7 +219,7 @@ select a.label, a.i, a.j from ahead a join back b on a.i = b.j and a.j = b.i whe
 def _(t):
     """The matcher as one plan (E02): two nearest, quality, the best, votes of cells, unique places, both ways."""
     e = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"), (F.col("vec_id") * 7919 % 4000 * 1.0).alias("u"), (F.col("vec_id") * 104729 % 3000 * 1.0).alias("v"))
-    return match_pairs(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), "label", limit=12.0, cell=1000.0, factor=0.5, least=2)
+    return match_pairs(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), "label", limit=12.0, size=(4000.0, 3000.0), grid=4, factor=0.5, least=2)
 
 
 @query("o06_pairs_by_matches", "with m as (select image_idx as i, chain_id % 50 as j, count(*) as matches from obs group by all), k as (select *, row_number() over (order by matches, i, j) as place from m) select i, j, matches, place from k")
