@@ -174,7 +174,7 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     if hot.count() <= HOT_SENT:
         own = ordered_first(docs, deep, hot, size, num, den)
     else:
-        marked = every_shingle(docs, deep.select("id"), size).join(hot.withColumn("h", F.lit(True)), "s", "left").select("id", "s", F.col("h").isNotNull().alias("h"))
+        marked = with_hot(every_shingle(docs, deep.select("id"), size), hot, "left").select("id", "s", F.col("hit").isNotNull().alias("h"))
         own = marked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("h", "s"))).alias("o")).join(deep, "id")
         own = own.select("id", "n", F.size(F.filter("o", lambda x: ~x["h"])).alias("c"), F.slice("o.s", 1, F.col("p")).alias("first"))
     each = known.unionAll(own).select("id", "n", "c", F.posexplode("first").alias("pos", "s"))
@@ -204,11 +204,17 @@ def told_apart(reps: DataFrame, hot: DataFrame) -> DataFrame:
 
 def told_apart_by_join(reps: DataFrame, hot: DataFrame) -> DataFrame:
     """The same where there are too many hot shingles to send."""
-    theirs = reps.select("id", F.explode("pre").alias("s")).join(hot, "s").groupBy("id").agg(F.collect_set("s").alias("hot"))
+    theirs = with_hot(reps.select("id", F.explode("pre").alias("s")), hot, "inner").groupBy("id").agg(F.collect_set("s").alias("hot"))
     r = reps.join(theirs, "id", "left").withColumn("hot", F.array_intersect("pre", F.coalesce("hot", F.array().cast("array<bigint>"))))
     return r.select("id", "n", "p", "more", "hot", F.array_except("pre", "hot").alias("cold"))
 
 
+def with_hot(rows: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """Rows (id, s) joined to the hot shingles, of which each may have a large part of all rows: in SALTS parts by id."""
+    parts = for_salts(hot.select("s", F.lit(True).alias("h"), F.lit(True).alias("hit")))
+    return salted(rows.withColumn("h", F.lit(True))).join(parts, ["s", "salt"], how).drop("salt", "h")
+
+
 def ordered_first(docs: DataFrame, deep: DataFrame, hot: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(id, n, c, first) of the classes (id, n, p): the first shingles in the order with hot ones last, c of all are not hot; the hot ones (HOT_SENT at most) are sent to the executors."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in hot.collect()], dtype=np.int64)))
