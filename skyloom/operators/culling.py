@@ -27,17 +27,16 @@ def keep_chains(obs: DataFrame, least: int, chain: str = "chain_id") -> DataFram
     return obs.join(long, chain, "left_semi")
 
 
-def cull_until_stable(df: DataFrame, col: str, k: float, rounds: int) -> DataFrame:
-    """Cuts at mean + k sigma again and again, until nothing is above the limit or the rounds are over.
+def cull_until_stable(df: DataFrame, col: str, k: float) -> DataFrame:
+    """Cuts at mean + k sigma again and again, until nothing is above the limit.
 
     A round needs the limit alone, so it is one aggregate over the rows below the last limit:
-    nothing is rewritten, and the lineage stays one filter.
+    nothing is rewritten, and the lineage stays one filter. Each round cuts a row at least, so it ends.
     """
     limit = None
-    for _ in range(rounds):
+    while True:
         now = df if limit is None else df.filter(F.col(col) <= limit)
         new, top = now.agg(F.avg(col) + k * F.stddev_pop(col), F.max(col)).first()
         if new is None or top <= new:
             return now
-        limit = new if limit is None else min(limit, new)
-    return df.filter(F.col(col) <= limit)
+        limit = new

@@ -211,6 +211,26 @@ def _(t):
     return m.withColumn("det", det).filter("abs(det) > 1e-6").select("g", r((n * (x2 * y2 - x3 * y1) - x1 * (x1 * y2 - x2 * y1) + y0 * (x1 * x3 - x2 * x2)) / F.col("det"), 4).alias("a"))
 
 
+@query("a31_radial_fit", """
+with s as (select id % 5 as g, ((u - 2e3) * (u - 2e3) + (v - 1.5e3) * (v - 1.5e3)) / 1e6 as x, id * 37 % 256 * 1e0 as y from uv),
+m as (select g, count(*)::double as n, sum(x) as x1, sum(x*x) as x2, sum(x*x*x) as x3, sum(x*x*x*x) as x4, sum(y) as y0, sum(x*y) as y1, sum(x*x*y) as y2 from s group by g),
+d as (select *, n*(x2*x4-x3*x3) - x1*(x1*x4-x2*x3) + x2*(x1*x3-x2*x2) as det from m)
+select g, round((n*(x2*y2-x3*y1) - x1*(x1*y2-x2*y1) + y0*(x1*x3-x2*x2)) / det, 4) + 0e0 as a, round((n*(y1*x4-x3*y2) - y0*(x1*x4-x2*x3) + x2*(x1*y2-x2*y1)) / det, 4) + 0e0 as b,
+  round((y0*(x2*x4-x3*x3) - x1*(y1*x4-x3*y2) + x2*(y1*x3-x2*y2)) / det, 4) + 0e0 as c from d where abs(det) > 1e-6""")
+def _(t):
+    """The radial model a r^4 + b r^2 + c of brightness by least squares: a parabola in the squared radius, by power sums and Cramer's rule."""
+    du, dv = F.col("u") - 2000, F.col("v") - 1500
+    s = t.uv.select((F.col("id") % 5).alias("g"), ((du * du + dv * dv) / 1e6).alias("x"), (F.col("id") * 37 % 256 * 1.0).alias("y"))
+    x = F.col("x")
+    m = s.groupBy("g").agg(F.count("*").cast("double").alias("n"), *(F.sum(x**k).alias(f"x{k}") for k in range(1, 5)), *(F.sum(x**k * F.col("y")).alias(f"y{k}") for k in range(3)))
+    n, x1, x2, x3, x4, y0, y1, y2 = (F.col(c) for c in ("n", "x1", "x2", "x3", "x4", "y0", "y1", "y2"))
+    m = m.withColumn("det", n * (x2 * x4 - x3 * x3) - x1 * (x1 * x4 - x2 * x3) + x2 * (x1 * x3 - x2 * x2)).filter("abs(det) > 1e-6")
+    a = n * (x2 * y2 - x3 * y1) - x1 * (x1 * y2 - x2 * y1) + y0 * (x1 * x3 - x2 * x2)
+    b = n * (y1 * x4 - x3 * y2) - y0 * (x1 * x4 - x2 * x3) + x2 * (x1 * y2 - x2 * y1)
+    c = y0 * (x2 * x4 - x3 * x3) - x1 * (y1 * x4 - x3 * y2) + x2 * (y1 * x3 - x2 * y2)
+    return m.select("g", *(r(v / F.col("det"), 4).alias(k) for k, v in (("a", a), ("b", b), ("c", c))))
+
+
 VOTE = """m as (select image_idx, floor(u / 100)::bigint as cl, floor(v / 5)::bigint as cr, count(*) as n from obs group by all),
 s as (select a.image_idx, a.cl, a.cr, a.n, sum(b.n) as support, count(*) as cells from m a join m b on a.image_idx = b.image_idx and b.cl - a.cl between -1 and 1 and b.cr - a.cr between -1 and 1 group by all)"""
 
@@ -374,12 +394,6 @@ def _(t):
     return t.pose.select("image_idx", r(-0.01 * (F.row_number().over(w) - 1)).alias("depth"))
 
 
-@query("t03_running_mean", "select k, event_id, round(avg(x) over (partition by k order by t, event_id rows unbounded preceding), 9) as mean from series")
-def _(t):
-    w = Window.partitionBy("k").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.series.select("k", "event_id", r(F.avg("x").over(w), 9).alias("mean"))
-
-
 @query("trailing_mean", "with s as (select *, row_number() over (partition by k, floor(t / 3600) order by t, event_id) as rn from series), o as (select * from s where rn = 1) select k, event_id, round(avg(x) over (partition by k order by t, event_id rows 4 preceding), 6) as mean from o")
 def _(t):
     """First row of each hour, then the mean of the last five."""

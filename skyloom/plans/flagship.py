@@ -96,20 +96,13 @@ def _(t):
     return kept.groupBy("image_idx").agg(F.count("*").alias("n")).filter("n < 520")
 
 
-def _rounds(n: int, k: float) -> str:
-    """SQL of n rounds of the cut, each on what the last one left."""
-    out = ["r0 as (select * from res)"]
-    for i in range(n):
-        out.append(f"r{i + 1} as (select r{i}.* from r{i}, (select avg(res) + {k}e0 * stddev_pop(res) as lim from r{i}) z where res <= lim)")
-    return ", ".join(out)
-
-
-@query("g05_outlier_rounds", f"with {RES}, {_rounds(10, 2.5)} select image_idx, count(*) as n, round(max(res), 6) as max_res from r10 group by image_idx")
+@query("g05_outlier_rounds", f"""with recursive {RES}, lim(l) as (select max(res) from res union all select x from (select (select avg(res) + 2.5e0 * stddev_pop(res) from res where res <= l) as x, (select max(res) from res where res <= l) as top from lim) where top > x)
+select image_idx, count(*) as n, round(max(res), 6) as max_res from res where res <= (select min(l) from lim) group by image_idx""")
 def _(t):
-    """Recompute, delete, repeat until no residual is above mean + 2.5 sigma or ten rounds are over."""
+    """Recompute, delete, repeat until no residual is above mean + 2.5 sigma."""
     from ..operators.culling import cull_until_stable
 
-    out = cull_until_stable(residuals(t), "res", 2.5, rounds=10)
+    out = cull_until_stable(residuals(t), "res", 2.5)
     return out.groupBy("image_idx").agg(F.count("*").alias("n"), r(F.max("res")).alias("max_res"))
 
 

@@ -31,6 +31,12 @@ def _(t):
     return filtered(t.series, f.WarmUpLowPass())
 
 
+@query("t03_running_mean", f"with recursive {RANKED}, y as (select k, event_id, rn, x as mean from o where rn = 1 union all select o.k, o.event_id, o.rn, y.mean + (o.x - y.mean) / least(o.rn, 10) from y join o on o.k = y.k and o.rn = y.rn + 1) select k, event_id, round(mean + 3e-9, 6) as mean from y")
+def _(t):
+    """The mean whose weight stops growing at a cap (T03); ten rows here, so that the tables' keys pass it."""
+    return filtered(t.series, f.RunningMean(cap=10))
+
+
 @query("t04_welford", "select k, event_id, round(avg(x) over w + 3e-9, 6) as mean, round(var_pop(x) over w + 3e-9, 6) + 0e0 as var from series window w as (partition by k order by event_id rows unbounded preceding)")
 def _(t):
     return filtered(t.series, f.Welford())

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import estimators as est
 from ..operators import graph as op
+from ..operators.fitting import grid_search
 from ..operators.grids import ray_surface
 from ..operators.joins import nearest, sequence_pairs
 from ..operators.ranks import tiles
@@ -218,12 +219,18 @@ def _(t):
     return g.withColumn("bin", cut).groupBy("bin").agg(F.count_if(F.col("ratio") < F.col("bin")).alias("n"))
 
 
-@query("e05_overlapping_bins", "with b as (select image_idx, floor(u / 100)::bigint as b from obs), e as (select image_idx, unnest([b - 1, b, b + 1]) as bin from b), c as (select image_idx, bin, count(*) as n from e group by all), k as (select *, row_number() over (partition by image_idx order by n desc, bin) as rn from c) select image_idx, bin, n from k where rn = 1")
+@query("e05_overlapping_bins", """
+with b as (select image_idx, floor(sqrt(u * u + v * v) / 100)::bigint as d, floor(degrees(atan2(v, u)) + 1e-9)::bigint as a from obs), n as (select image_idx, d, a, count(*) as m from b group by all),
+c as (select image_idx, d + x as dist, a + y as angle, sum(m)::bigint as n from n, (select unnest([-1, 0, 1]) as x), (select unnest([-1, 0, 1]) as y) group by all),
+k as (select *, row_number() over (partition by image_idx order by n desc, dist, angle) as rn from c) select image_idx, dist, angle, n from k where rn = 1""")
 def _(t):
-    """Each value votes for its bin and the two beside it; the fullest bin of an image wins."""
-    b = F.floor(F.col("u") / 100)
-    c = t.obs.select("image_idx", F.explode(F.array(b - 1, b, b + 1)).alias("bin")).groupBy("image_idx", "bin").agg(F.count("*").alias("n"))
-    return c.groupBy("image_idx").agg(F.max(F.struct(F.col("n"), (-F.col("bin")).alias("m"))).alias("x")).select("image_idx", (-F.col("x.m")).alias("bin"), F.col("x.n").alias("n"))
+    """Each value votes for its bin of distance and angle and the eight around it; the fullest bin of an image wins."""
+    b = t.obs.select("image_idx", F.floor(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")) / 100).alias("d"), F.floor(F.degrees(F.atan2("v", "u")) + 1e-9).alias("a"))
+    step = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
+    n = b.groupBy("image_idx", "d", "a").agg(F.count("*").alias("m")).withColumn("x", step).withColumn("y", step)
+    c = n.groupBy("image_idx", (F.col("d") + F.col("x")).alias("dist"), (F.col("a") + F.col("y")).alias("angle")).agg(F.sum("m").alias("n"))
+    best = c.groupBy("image_idx").agg(F.min(F.struct(-F.col("n"), "dist", "angle", "n")).alias("k"))
+    return best.select("image_idx", F.col("k.dist").alias("dist"), F.col("k.angle").alias("angle"), F.col("k.n").alias("n"))
 
 
 @query("e24_texture_clusters")
@@ -237,12 +244,11 @@ def _(t):
     return m.transform(v).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-@query("v06_grid_search", "with g as (select unnest(range(21)) as k), e as (select k, avg(abs(n - e * (k / 10e0))) as err from pose, g group by k) select k, round(err, 5) as err from e order by err, k limit 1")
+@query("v06_grid_search", "with e1 as (select p, avg(abs(n - e * p)) as err from pose, (select 0e0 + range * 0.1e0 as p from range(21)) group by p), b1 as (select p, err from e1 order by err, p limit 1), e2 as (select p, avg(abs(n - e * p)) as err from pose, (select (select p from b1) - (0.1e0 * 0.2e0) * 5 + range * (0.1e0 * 0.2e0) as p from range(11)) group by p), b2 as (select p, err from e2 order by err, p limit 1), e3 as (select p, avg(abs(n - e * p)) as err from pose, (select (select p from b2) - (0.1e0 * 0.2e0 * 0.2e0) * 5 + range * (0.1e0 * 0.2e0 * 0.2e0) as p from range(11)) group by p), b3 as (select p, err from e3 order by err, p limit 1) select round(p, 6) as k, round(err, 5) as err from b3")
 def _(t):
-    """One-parameter search: the grid is 21 literal rows, so the objective of all its points is one job."""
-    g = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long")))
-    e = t.pose.withColumn("k", g).groupBy("k").agg(F.avg(F.abs(F.col("n") - F.col("e") * (F.col("k") / 10.0))).alias("err"))
-    return e.orderBy("err", "k").limit(1).select("k", r("err", 5).alias("err"))
+    """One-parameter search (V06): a grid, then two finer ones about the best; all places of a grid are one aggregate."""
+    k, err = grid_search(t.pose, lambda p: F.abs(F.col("n") - F.col("e") * p), 0.0, 2.0, 0.1)
+    return t.pose.limit(1).select(r(F.lit(k)).alias("k"), r(F.lit(err), 5).alias("err"))
 
 
 @query("a38_hulls", """
