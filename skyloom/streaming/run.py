@@ -78,3 +78,15 @@ def pair_statistics(edges: DataFrame) -> DataFrame:
 def latest(df: DataFrame, key: str, time: str) -> DataFrame:
     """The last row of each key so far (T15), on tables and, in update mode, on streams."""
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), time).alias("row")).select("row.*")
+
+
+def write_rates(stream: DataFrame, path: str, checkpoint: str, *, fmt: str = "csv", **trigger):
+    """Starts a query that writes a stream's rows to files (K13), each row once, and returns it.
+
+    The sink keeps a log of the files of each finished batch beside them; read the folder with Spark,
+    which goes by that log, and files of a batch that was cut short do not count. A query that is
+    started again on the same ``checkpoint`` goes on behind the last finished batch, with the
+    filters' state as it was then. ``trigger`` is that of Structured Streaming, ``availableNow=True`` by default.
+    """
+    out = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    return (out.option("header", True) if fmt == "csv" else out).start(path)
