@@ -148,7 +148,7 @@ def nearest(
     A row is never its own query's neighbour. Ties go to the smaller id. Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do rows with a null id or with
     another number of components than ``dim`` (default: the most frequent one). Repeated rows
-    are candidates of their own. Tiles of ``tile_rows`` rows and blocks of ``query_block`` queries
+    are candidates of their own; queries that share an id are one, the smallest of their vectors. Tiles of ``tile_rows`` rows and blocks of ``query_block`` queries
     (default: CELL_BYTES of vectors each) meet as cells, so a row is sent once for each block and a
     query once for each tile. Empty tables give an empty result.
     """
@@ -156,7 +156,7 @@ def nearest(
     rows, dim = usable(df, id_col, vec_col, dim)
     asked, _ = usable(queries, id_col, vec_col, dim)
     index, centre = build_index(rows, dim, seed)
-    asked = written(asked.dropDuplicates(["id"]), "ann-queries")
+    asked = written(asked.groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
     n, m, fits = index.count(), asked.count(), max(1, CELL_BYTES // (8 * dim))
     # small tables are cut further, so that all cores have a tile
     tiles = max(1, math.ceil(n / (tile_rows or fits)), min(spark.sparkContext.defaultParallelism, n // 1024))

@@ -19,12 +19,17 @@ from .shared import free_name, written
 
 BUCKET_BYTES = 8 << 20
 MIN_BUCKETS = 64
-BROADCAST_BUCKETS = 1_000_000
+#: Buckets at most, above which they grow instead (100 MB each at 100 TB); so the table of their starts stays below 16 MB.
+MAX_BUCKETS = 1_000_000
+#: Bytes of the buckets that one task shuffles, one after another.
+TASK_BYTES = 256 << 20
 
 
-def bucket_count(df: DataFrame, text_col: str, bucket_bytes: int, min_buckets: int) -> int:
+def layout(df: DataFrame, text_col: str, bucket_bytes: int, min_buckets: int) -> tuple[int, int]:
+    """Number of buckets, and how many of them go to one task."""
     total = df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64)).first()[0] or 0
-    return max(min_buckets, math.ceil(total / bucket_bytes))
+    n = min(max(min_buckets, MAX_BUCKETS), max(min_buckets, math.ceil(total / bucket_bytes)))
+    return n, max(1, n // max(min_buckets, math.ceil(total / TASK_BYTES)))
 
 
 def external_shuffle(
@@ -41,26 +46,26 @@ def external_shuffle(
     replaced. An empty table gives an empty result.
     """
     df = df.drop("shard", "slot")
-    b, w, p, r = (free_name(df, x) for x in ("bucket", "within", "place", "row"))
-    n = bucket_count(df, text_col, bucket_bytes, min_buckets)
+    b, w, p, r, g = (free_name(df, x) for x in ("bucket", "within", "place", "row", "group"))
+    n, per = layout(df, text_col, bucket_bytes, min_buckets)
     record = F.struct(F.col(w).alias(w), *(F.col(c) for c in df.columns))
     mixed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(p))
     scattered = (
         df.withColumn(p, F.monotonically_increasing_id())
         .withColumn(b, F.pmod(mixed, F.lit(n)).cast("int"))
         .withColumn(w, F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(p)))
-        .repartition(n, b)
+        .withColumn(g, F.floor(F.col(b) / F.lit(per)).cast("int"))
+        .repartition(math.ceil(n / per), g)
     )
     shuffled = written(
-        scattered.groupBy(b).agg(F.sort_array(F.collect_list(record)).alias(r))
+        scattered.groupBy(g, b).agg(F.sort_array(F.collect_list(record)).alias(r))
         .select(b, F.posexplode(F.shuffle(r, F.lit(seed))).alias(p, r))
         .select(b, p, *(F.col(r)[c].alias(c) for c in df.columns)),
         "shuffled",
     )
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = shuffled.groupBy(b).count().select(b, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(w))
-    if n <= BROADCAST_BUCKETS:  # one row of two numbers a bucket: 16 MB at most, and the texts are not shuffled for it
-        starts = F.broadcast(starts)
+    # one row of two numbers a bucket, of which there are MAX_BUCKETS at most; the texts are not shuffled for it
+    starts = F.broadcast(shuffled.groupBy(b).count().select(b, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(w)))
     at = F.col(w) + F.col(p)
     return shuffled.join(starts, b).select(
         *df.columns, (at % shards).cast("int").alias("shard"), F.floor(at / F.lit(shards)).cast("long").alias("slot")

@@ -164,3 +164,12 @@ def test_one_plan_for_any_number_of_queries(spark):
     assert size[0] == size[1]
     whole = {(r.query_id, r.rank): r.vec_id for r in nearest(df, df.filter("vec_id % 2 = 0")).collect()}
     assert {(r.query_id, r.rank): r.vec_id for r in plans[1].collect()} == whole and len(whole) == 1500
+
+
+def test_queries_of_one_id_are_the_smallest_vector(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(0, 1, 6).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, rows[7][1]), (7, [9.0] * 6), (7, [-9.0, *rows[9][1][1:]])], df.schema)
+    one = spark.createDataFrame([(7, min(rows[7][1], [9.0] * 6, [-9.0, *rows[9][1][1:]]))], df.schema)
+    assert sorted(nearest(df, asked, k=4).collect()) == sorted(nearest(df, one, k=4).collect())

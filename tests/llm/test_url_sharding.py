@@ -112,3 +112,19 @@ def test_shards_are_even_and_whole(spark, tmp_path):
     write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
     assert external_shuffle(df.limit(0)).count() == 0
+
+
+def test_tasks_hold_several_buckets_and_buckets_stay_below_a_number(spark, monkeypatch):
+    from skyloom.llm import sharding
+
+    df = spark.createDataFrame([(k, "x" * (k % 300)) for k in range(2000)] + [(5000, "y" * 3_000_000), (None, None)], "doc_id long, text string")
+    whole = sharding.layout(df, "text", 1 << 20, 4)
+    monkeypatch.setattr(sharding, "TASK_BYTES", 1 << 20)
+    assert whole == (4, 1) and sharding.layout(df, "text", 1 << 14, 2) == (209, 52)
+    monkeypatch.setattr(sharding, "MAX_BUCKETS", 40)
+    assert sharding.layout(df, "text", 1 << 14, 2) == (40, 10)
+    out = external_shuffle(df, shards=5, bucket_bytes=1 << 14, min_buckets=2)
+    got = out.select("doc_id", "shard", "slot").collect()
+    assert len(got) == 2002 and len({(r.shard, r.slot) for r in got}) == 2002
+    n = Counter(r.shard for r in got)
+    assert max(n.values()) - min(n.values()) <= 1 and all(max(r.slot for r in got if r.shard == k) == n[k] - 1 for k in n)
