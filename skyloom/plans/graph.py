@@ -10,7 +10,7 @@ from ..operators import graph as op
 from ..operators.fitting import grid_search
 from ..operators.grids import ray_surface
 from ..operators.joins import nearest, sequence_pairs
-from ..operators.ranks import tiles
+from ..operators.ranks import ranked, tiles
 from ..sources.terrain import bilinear
 from .base import query, r
 from .joins import DESC, descriptor_pairs
@@ -47,10 +47,10 @@ def _(t):
 def _(t):
     """Groups by saturating growth; the tests hold it against a plain restatement.
 
-    Image ids are made dense for the growth; the dense table has a row an image, so one window over it is small.
+    Image ids are made dense for the growth, by ranks that no single task computes.
     """
     o = t.lineitem.select(F.col("l_partkey").alias("chain"), F.col("l_suppkey").alias("id")).distinct()
-    ids = o.select("id").distinct().withColumn("image", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
+    ids = ranked(o.select("id").distinct(), ["id"], "rank").select("id", (F.col("rank") - 1).alias("image"))
     o = o.join(ids, "id").select("chain", "image").withColumn("pos", F.row_number().over(Window.partitionBy("chain").orderBy("image")))
     return op.image_groups(o, ids.count()).join(ids, "image").select("group_id", F.col("id").alias("image"))
 

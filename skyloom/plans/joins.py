@@ -38,8 +38,8 @@ def _(t):
 
 @query("j05_dense_ids", "with c as (select image_idx, row_number() over (order by image_idx) - 1 as cam from pose where d < -105) select o.chain_id, c.cam, count(*) as n from obs o join c using (image_idx) group by all")
 def _(t):
-    """The remap table has a row an image, so one window over it is small."""
-    cams = t.pose.filter("d < -105").select("image_idx", (F.row_number().over(Window.orderBy("image_idx")) - 1).cast("long").alias("cam"))
+    """Images numbered by their ranks, which no single task computes."""
+    cams = ranked(t.pose.filter("d < -105").select("image_idx"), ["image_idx"], "rank").select("image_idx", (F.col("rank") - 1).alias("cam"))
     return t.obs.join(cams, "image_idx").groupBy("chain_id", "cam").agg(F.count("*").alias("n"))
 
 
@@ -229,6 +229,13 @@ def _(t):
     return ranked(m, ["matches", "i", "j"], "place")
 
 
+@query("o06_pairs_by_angle", f"with {PAIRS}, g as (select i, j, round(avg(angle), 5) as angle from ang group by i, j) select i, j, angle, row_number() over (order by angle, i, j) as place from g")
+def _(t):
+    """Image pairs, those with the smallest mean angle between their rays first."""
+    g = angles_of(t).groupBy("i", "j").agg(r(F.avg("angle"), 5).alias("angle"))
+    return ranked(g, ["angle", "i", "j"], "place")
+
+
 ASOF_Q = "q as (select o_orderkey as id, o_custkey % 50 as k, epoch_us(o_orderdate) / 1e6 % 2592000 + (select min(t) from series) as t from orders)"
 
 

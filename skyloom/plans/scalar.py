@@ -9,7 +9,7 @@ from ..functions.camera import Camera, on_ground
 from .base import query, r
 
 #: A survey camera for the queries: focal lengths, centre, distortion.
-CAMERA = Camera(4662.25, 4662.25, 2000.0, 1500.0, (-0.12474347, 0.82940434, -0.01625672, -0.00958748, -1.20843989))
+CAMERA = Camera(4600.0, 4600.0, 2000.0, 1500.0, (-0.12, 0.8, -0.016, -0.0095, -1.2))
 SMALL = Camera(1000.0, 1000.0, 2000.0, 1500.0)
 REF = (45.02, -92.98, 0.0)
 MOUNT = (0.0, -90.0, 0.0)
@@ -184,7 +184,7 @@ def _(t):
     return df.select("image_idx", "u", "v", r(g[0], 3).alias("gn"), r(g[1], 3).alias("ge"))
 
 
-DIST = "(-0.12474347e0)", "0.82940434e0", "(-0.01625672e0)", "(-0.00958748e0)", "(-1.20843989e0)"
+DIST = "(-0.12e0)", "0.8e0", "(-0.016e0)", "(-0.0095e0)", "(-1.2e0)"
 RADIAL = f"(1 + {DIST[0]}*r2 + {DIST[1]}*r2*r2 + {DIST[4]}*r2*r2*r2)"
 TX, TY = f"(2*{DIST[2]}*x*y + {DIST[3]}*(r2+2*x*x))", f"({DIST[2]}*(r2+2*y*y) + 2*{DIST[3]}*x*y)"
 STEP = "".join(
@@ -193,16 +193,16 @@ STEP = "".join(
 
 
 @query("p13_distort", f"""
-with a as (select id, (u-2000e0)/4662.25e0 as x, (v-1500e0)/4662.25e0 as y from uv), b as (select *, x*x+y*y as r2 from a)
-select id, round((x*{RADIAL}+{TX})*4662.25e0+2000e0, 5) + 0e0 as u, round((y*{RADIAL}+{TY})*4662.25e0+1500e0, 5) + 0e0 as v from b""")
+with a as (select id, (u-2000e0)/4600.0e0 as x, (v-1500e0)/4600.0e0 as y from uv), b as (select *, x*x+y*y as r2 from a)
+select id, round((x*{RADIAL}+{TX})*4600.0e0+2000e0, 5) + 0e0 as u, round((y*{RADIAL}+{TY})*4600.0e0+1500e0, 5) + 0e0 as v from b""")
 def _(t):
     u, v = CAMERA.distort(F.col("u"), F.col("v"))
     return t.uv.select("id", r(u, 5).alias("u"), r(v, 5).alias("v"))
 
 
 @query("p14_undistort", f"""
-with a as (select id, (u-2000e0)/4662.25e0 as x0, (v-1500e0)/4662.25e0 as y0 from uv), s0 as (select id, x0, y0, x0 as x, y0 as y from a){STEP}
-select id, round(x*4662.25e0+2000e0, 5) + 0e0 as u, round(y*4662.25e0+1500e0, 5) + 0e0 as v from s5""")
+with a as (select id, (u-2000e0)/4600.0e0 as x0, (v-1500e0)/4600.0e0 as y0 from uv), s0 as (select id, x0, y0, x0 as x, y0 as y from a){STEP}
+select id, round(x*4600.0e0+2000e0, 5) + 0e0 as u, round(y*4600.0e0+1500e0, 5) + 0e0 as v from s5""")
 def _(t):
     x, y = CAMERA.normal(F.col("u"), F.col("v"))
     df = t.uv.select("id", x.alias("x0"), y.alias("y0"), x.alias("x"), y.alias("y"))
