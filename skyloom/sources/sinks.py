@@ -14,6 +14,19 @@ def write_pose_csv(poses: DataFrame, path: str) -> None:
     rows.orderBy("name").write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_image_meta(images: DataFrame, path: str) -> None:
+    """Image metadata as JSON, a file for each image (K02); null fields are left out, and an existing target is replaced."""
+    images.write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", True).json(path)
+
+
+def write_config(config: DataFrame, path: str) -> None:
+    """A configuration of one row as one JSON object in one file (K02); more rows, or none, are an error."""
+    rows = config.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"a configuration is one row, not {'none' if not rows else 'several'}")
+    config.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_version(df: DataFrame, folder: str, step: str, partition_by: str | None = None) -> str:
     """A stage's result as Parquet in its own folder; _SUCCESS marks it done. Returns the path."""
     path = f"{folder}/{step}"

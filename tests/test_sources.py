@@ -102,3 +102,19 @@ def test_sinks(spark, tmp_path):
     assert sinks.mesh_quads(v, 2).first().text.count("f ") == 3
     m = spark.createDataFrame([("p", 1, 1.0, 2.0, 3.0, "c")], "id_prefix string, id int, lat_deg double, lon_deg double, alt_m double, comment string")
     assert json.loads(sinks.annotation_json(m).first()[0])["markers"][0]["comment"] == "c"
+
+
+def test_metadata_and_configuration_come_back(spark, tmp_path):
+    rows = [(f"img{k}", 45.0 + k, None if k == 2 else -93.0) for k in range(7)]
+    df = spark.createDataFrame(rows, "name string, lat_deg double, lon_deg double")
+    for _ in range(2):  # an older target is replaced
+        sinks.write_image_meta(df.coalesce(2), str(tmp_path / "meta"))
+    files = [f for f in (tmp_path / "meta").iterdir() if f.name.endswith(".json")]
+    assert len(files) == 7 and all(f.read_text().count("\n") == 1 for f in files)
+    back = spark.read.schema(df.schema).option("multiLine", True).json(str(tmp_path / "meta"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert [r.idx for r in survey.read_image_meta(spark, str(tmp_path / "meta")).orderBy("name").collect()] == list(range(7))
+    sinks.write_config(spark.createDataFrame([([1.0, 2.0],)], "K array<double>"), str(tmp_path / "config"))
+    assert survey.read_camera(spark, str(tmp_path / "config")).first().K_opt == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        sinks.write_config(df, str(tmp_path / "config"))
