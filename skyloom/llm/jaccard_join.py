@@ -38,6 +38,8 @@ HOT, SLACK, BLOCK, SALTS = 128, 16, 1024, 16
 EXAMPLES, AGREE = 2, 3
 #: Hot shingles that are sent to the executors at most (4 MB); beyond that they are joined.
 HOT_SENT = 500_000
+#: Shingles that a task holds to add them up.
+HELD = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,7 +165,7 @@ def first_shingles(docs: DataFrame, reps: DataFrame, size: int, num: int, den: i
     short = ordered(hot).filter("short").select("id", F.explode("hot").alias("s"))
     picks = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), F.col("id"))).alias(f"x{k}") for k in range(EXAMPLES)]
     named = short.groupBy("s").agg(*picks).select(F.explode(F.array(*(F.col(f"x{k}.id") for k in range(EXAMPLES)))).alias("id"))
-    most = every_shingle(docs, written(named.distinct(), "examples"), size).groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") >= AGREE).select("s")
+    most = shingle_counts(docs, written(named.distinct(), "examples"), size).groupBy("s").agg(F.sum("k").alias("k")).filter(F.col("k") >= AGREE).select("s")
     hot = written(hot.unionAll(most).distinct(), "hot-shingles")
     r = ordered(hot)
     first = F.when(~F.col("short"), F.slice(F.concat("cold", "hot"), 1, F.col("p")))
@@ -254,6 +256,30 @@ def every_shingle(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, s long")
 
 
+def shingle_counts(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(s, k): in how many of the documents in ``ids`` each shingle is, added up by task as far as HELD of them go."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flushed(held):
+            s, k = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(k)], ["s", "k"])
+
+        held, n = [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                held.append(shingles(t.as_py(), size))
+                n += len(held[-1])
+                if n > HELD:
+                    yield flushed(held)
+                    held, n = [], 0
+        if held:
+            yield flushed(held)
+
+    return docs.join(ids, "id", "left_semi").select("text").mapInArrow(run, "s long, k long")
+
+
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) of class ids those that link: bit counts first, then the sets."""
     bits = reps.select("id", "n", "bits")
