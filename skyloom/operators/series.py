@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .graph import settled
 from .joins import interpolate
 
 
@@ -67,6 +68,25 @@ def best_lag(a: DataFrame, b: DataFrame, by: list[str], widest: int) -> DataFram
     return scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def fill_along(df: DataFrame, index: str, value: str) -> DataFrame:
+    """(index, <value>_at): nulls filled linearly along the index of one long series, beyond the ends by the last known value, without any by 0.
+
+    Rows go to ranges of the index; a range is filled with its own known values and the nearest one
+    before and after it, which come from two points a range. Of values at one index the smallest counts;
+    rows with a null index are left out.
+    """
+    p = settled(df.select(F.col(index).cast("double").alias("t"), F.col(value).cast("double").alias("x")).filter("t is not null").repartitionByRange("t").withColumn("part", F.spark_partition_id()))
+    point = F.when(F.col("x").isNotNull(), F.struct("t", "x"))
+    ends = p.groupBy("part").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    order = Window.orderBy("part")
+    before = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    near = ends.select("part", before.alias("b"), after.alias("a")).select("part", F.explode(F.array("b", "a")).alias("e")).filter("e is not null").select("part", "e.t", "e.x")
+    known = p.filter("x is not null").select("part", "t", "x").unionByName(near)
+    out = interpolate(p.select("part", "t"), known, "t", "x", ["part"], F.coalesce(F.col("_a.x"), F.col("_b.x"), F.lit(0.0)))
+    return out.select(F.col("t").alias(index), F.col("x_at").alias(f"{value}_at"))
+
+
 def butterworth(cut: float) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of the order-2 low-pass filter; cut is a fraction of the Nyquist rate."""
     c = 1 / np.tan(np.pi * cut / 2)

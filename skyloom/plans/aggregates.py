@@ -382,10 +382,8 @@ a as (select z.i, s.i as ia, s.n as na from z asof left join s on z.k = s.k and
 select a.i, round(coalesce(case when ia = ib then na else na + (nb - na) * (a.i - ia) / (ib - ia) end, na, nb, 0), 6) as n from a join b using (i)""")
 def _(t):
     """Missing values along the index, beyond the ends the last known one."""
-    z = t.pose.select(F.col("image_idx").cast("double").alias("t"), F.lit(1).alias("k"), F.when(F.col("image_idx") % 4 != 0, F.col("n")).alias("x"))
-    s = z.filter("x is not null")
-    one = op.interpolate(z.select("k", "t"), s, "t", "x", ["k"], F.coalesce(F.col("_a.x"), F.col("_b.x"), F.lit(0.0)))
-    return one.select(F.col("t").cast("long").alias("i"), r("x_at").alias("n"))
+    z = t.pose.select(F.col("image_idx").alias("i"), F.when(F.col("image_idx") % 4 != 0, F.col("n")).alias("n"))
+    return ts.fill_along(z, "i", "n").select(F.col("i").cast("long").alias("i"), r("n_at").alias("n"))
 
 
 @query("w14_draw_offset", "select image_idx, round(-0.01e0 * (row_number() over (partition by image_idx % 4 order by d, image_idx) - 1), 6) + 0e0 as depth from pose")

@@ -151,3 +151,13 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "id long, x double, y double")
     assert nearest(e, e, "id", "id", "x", "y", 1.0).count() == 0
     assert graph.components(e.select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_fill_along_ranges_without_known_values(spark):
+    rows = [(k, float(k * k) if k in (40, 41, 90, 300) else None) for k in range(400)]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "i int, v double")
+    known = [k for k, v in rows if v is not None]
+    got = {r.i: r.v_at for r in series.fill_along(df, "i", "v").collect()}
+    want = np.interp(range(400), known, [k * k for k in known])
+    assert len(got) == 400 and all(abs(got[k] - want[k]) < 1e-9 for k in range(400))
+    assert {r.v_at for r in series.fill_along(df.filter("v is null"), "i", "v").collect()} == {0.0}
