@@ -20,6 +20,16 @@ from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
 
+#: The contract's rules of op3_url_filter: (rule, verdict).
+URL_RULES = (
+    ("com/en/", "block"),
+    ("example.com/en/7", "allow"),
+    ("net/de/", "allow"),
+    ("example.net/de/8", "block"),
+    ("org/es/", "block"),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +40,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules=URL_RULES)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

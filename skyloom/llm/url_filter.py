@@ -21,7 +21,7 @@ ALPHABET = 96
 HOT_GRAMS = 1000
 CHUNK = 256
 START, END = "\x02", "\x03"
-#: Fixed rules of the query: (rule, verdict).
+#: Rules of the operator where none are given: (rule, verdict). The query has its own.
 RULES = (
     ("com/en/", "block"),
     ("example.com/en/7", "allow"),

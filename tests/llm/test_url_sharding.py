@@ -26,6 +26,18 @@ def test_hosts_paths_and_rules(spark):
     assert {r.url: (r.h, r.p, r.r and r.r.rule, r.r and r.r.verdict) for r in got} == cases
 
 
+def test_query_follows_the_rules_of_its_contract(spark, tmp_path):
+    from skyloom.llm.queries import op3_url_filter
+
+    cases = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://b.net/de/1": ("net/de/", "allow"),
+        "http://www.EXAMPLE.net/de/8?x": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://c.org/es/2": ("org/es/", "block"),
+    }
+    spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op3_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_model_tells_the_classes_apart(spark):
     rows = [(k, f"http://good-news-{k}.example.com/en/7{k}") for k in range(120)]
     rows += [(1000 + k, f"http://xxzzq{k}.site.org/es/{k}") for k in range(120)]
