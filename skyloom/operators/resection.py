@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .adjustment import linearised, rotations, vectors
+from .adjustment import linearised, rotations, vectors, whole_chains
 from .geometry import consensus, homography, transfer
-from .graph import settled
+from .graph import settled, spread
 
 #: The monomials of a point's homogeneous coordinates, and what of the pixel they are summed with.
 PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
+#: Pairs of pixels in a task of the lens fit.
+FLOW = 20_000
 POSE = ("r0", "r1", "r2", "c0", "c1", "c2")
 
 
@@ -291,33 +293,48 @@ def lens_from_flow(pairs: DataFrame, by: str, lens, *, least: int = 12, reach: f
         ok = consensus(g[["u0", "v0"]].to_numpy(), g[["u1", "v1"]].to_numpy(), reach)
         return g[ok] if ok.sum() >= least else g[:0]
 
-    pairs = settled(pairs.groupBy(by).applyInPandas(chosen, f"`{by}` {kind}, u0 double, v0 double, u1 double, v1 double"))
+    # frames stay in their tasks, so that no round moves a pair
+    pairs = settled(spread(pairs, FLOW, by).groupBy(by).applyInPandas(chosen, f"`{by}` {kind}, u0 double, v0 double, u1 double, v1 double"))
 
     def frame_at(k):
         def run(g):
-            import pandas as pd
+            a, b = ((g[:, 2 * n : 2 * n + 2] - [cu, cv]) / f for n in range(2))
 
-            a, b = ((g[[f"u{n}", f"v{n}"]].to_numpy() - [cu, cv]) / f for n in "01")
+            def error(h, k, ideal):
+                """Errors in pixels for one homography or, as columns, for several."""
+                p = np.column_stack([ideal, np.ones(len(ideal))]) @ np.concatenate([h, np.ones((*h.shape[:-1], 1))], axis=-1).reshape(*h.shape[:-1], 3, 3).swapaxes(-1, -2)
+                q = p[..., :2] / np.where(np.abs(p[..., 2:]) < 1e-12, np.nan, p[..., 2:])
+                r = (q * q).sum(axis=-1)[..., None]
+                return ((q * (1 + r * (k[0] + r * (k[1] + r * k[2]))) - b) * f).reshape(*h.shape[:-1], -1).T
 
-            def error(h, k):
-                return ((distorted(transfer(np.append(h, 1).reshape(3, 3), undistorted(a, k)), k) - b) * f).ravel()
+            ideal = undistorted(a, k)
 
             def by_h(h):
-                return np.column_stack([(error(h + e, k) - error(h - e, k)) / 2e-6 for e in 1e-6 * np.eye(8)])
+                both = error(h + 1e-6 * np.concatenate([np.eye(8), -np.eye(8)]), k, ideal)
+                return (both[:, :8] - both[:, 8:]) / 2e-6
 
-            h = homography(undistorted(a, k), undistorted(b, k)).ravel()[:8]
+            h = homography(ideal, undistorted(b, k)).ravel()[:8]
             for _ in range(3):
-                h = h - np.linalg.lstsq(by_h(h), error(h, k), rcond=None)[0]
-            r, jh = error(h, k), by_h(h)
-            jk = np.column_stack([(error(h, k + e) - error(h, k - e)) / 2e-5 for e in 1e-5 * np.eye(3)])
+                h = h - np.linalg.lstsq(by_h(h), error(h, k, ideal), rcond=None)[0]
+            r, jh = error(h, k, ideal), by_h(h)
+            jk = np.column_stack([(error(h, k + e, undistorted(a, k + e)) - error(h, k - e, undistorted(a, k - e))) / 2e-5 for e in 1e-5 * np.eye(3)])
             free = jk - jh @ np.linalg.lstsq(jh, jk, rcond=None)[0]
             s = np.column_stack([free, r])
-            return pd.DataFrame([[*(s.T @ s).ravel(), len(g)]], columns=[*(f"s{i}" for i in range(16)), "n"])
+            return (s.T @ s).ravel()
 
-        return run
+        def frames(batches):
+            import pyarrow as pa
+
+            for rows in whole_chains(batches, by):
+                starts = np.flatnonzero(np.r_[True, rows[by][1:] != rows[by][:-1]])
+                each = np.split(np.stack([rows[c] for c in ("u0", "v0", "u1", "v1")], axis=1), starts[1:])
+                sums = np.stack([run(g) for g in each])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in sums.T), pa.array([len(g) for g in each])], [*(f"s{i}" for i in range(16)), "n"])
+
+        return frames
 
     def normal(k):
-        each = pairs.groupBy(by).applyInPandas(frame_at(k), ", ".join(f"s{i} double" for i in range(16)) + ", n long")
+        each = pairs.mapInArrow(frame_at(k), ", ".join(f"s{i} double" for i in range(16)) + ", n long")
         got = each.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(16)), F.sum("n").alias("n")).first()
         s = np.array([got[f"s{i}"] or 0.0 for i in range(16)]).reshape(4, 4)
         return s[:3, :3], s[:3, 3], s[3, 3], got["n"] or 0
