@@ -10,6 +10,7 @@ from ..operators import graph as op
 from ..operators.fitting import grid_search
 from ..operators.grids import ray_surface
 from ..operators.joins import nearest, sequence_pairs
+from ..operators.pairs import pair_counts
 from ..operators.ranks import ranked, tiles
 from ..sources.terrain import bilinear
 from .base import query, r
@@ -92,9 +93,9 @@ def _(t):
 @query("g10_connectivity", "with o as (select distinct chain_id, image_idx from obs) select distinct x.name as a, y.name as b from o p join o q on p.chain_id = q.chain_id and p.image_idx < q.image_idx join img x on x.image_idx = p.image_idx join img y on y.image_idx = q.image_idx")
 def _(t):
     o = t.obs.select("chain_id", "image_idx").distinct()
-    p = o.join(o.toDF("chain_id", "j"), "chain_id").filter("image_idx < j").select("image_idx", "j").distinct()
+    p = pair_counts(o, "chain_id", "image_idx")
     name = t.img.select("image_idx", "name")
-    return p.join(name.withColumnRenamed("name", "a"), "image_idx").join(name.toDF("j", "b"), "j").select("a", "b")
+    return p.join(name.toDF("i", "a"), "i").join(name.toDF("j", "b"), "j").select("a", "b").distinct()
 
 
 @query("g11_delete_image", "with o as (select distinct chain_id, image_idx from obs where image_idx not in (7, 8, 9)), c as (select chain_id from o group by chain_id having count(*) >= 25) select chain_id, image_idx from o where chain_id in (select chain_id from c)")
