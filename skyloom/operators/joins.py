@@ -35,17 +35,33 @@ def within(left: DataFrame, right: DataFrame, x: str, y: str, reach: float) -> D
     return j.withColumn("dist", d).filter(F.col("dist") <= reach).drop("_kx", "_ky", "_cx_2", "_cy_2")
 
 
+def smallest(df: DataFrame, key: str, place: list[Column], k: int) -> DataFrame:
+    """Of the rows that share a place those with the k smallest keys."""
+    w = Window.partitionBy(*place).orderBy(key)
+    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, y: str, reach: float, k: int = 1, metric: Column | None = None) -> DataFrame:
     """The k best right rows of each left row by ``metric`` (default: the distance), ties to the smaller right id, with ``rank``.
 
     The metric may read all columns of the pair and must not be below the distance ``dist``. Cells
     of ``reach`` are tried first; a left row is answered when its k-th metric is within the reach,
     as no farther row can beat it. The others go on with the reach doubled, so dense places stay
-    cheap. At the end, when the reach spans both sides, every row has met all. Each round's answers
+    cheap. Without a metric of the caller's, rows that share a place have the same answers, and of the
+    right rows of a place only the k smallest ids can be among them: places meet, and the answers go
+    back to the rows. At the end, when the reach spans both sides, every row has met all. Each round's answers
     and the rows that go on are written, so the plan stays the same however often the reach doubles.
     """
     from .graph import settled
 
+    if metric is None:
+        # the minus zero is the zero's place
+        place = [F.col(c) + F.lit(0.0) for c in (x, y)]
+        spot = left.select(place[0].alias(x), place[1].alias(y)).distinct().withColumn("_place", F.struct(x, y))
+        few = smallest(right, right_id, place, k)
+        near = nearest(spot, few, "_place", right_id, x, y, reach, k, F.col("dist"))
+        answers = near.select(F.col("_place").alias("_at"), *(f"{c}_2" for c in right.columns), "dist", "metric", "rank")
+        return left.join(answers, F.struct(*place) == F.col("_at")).drop("_at")
     ends = [d.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0] for d in (left, right)]
     widest = reach if None in ends else float(sum(ends))
     out, rest = None, left

@@ -22,3 +22,23 @@ def test_pairs_of_chains_are_whole_and_meet_in_a_task(spark, monkeypatch):
     assert all(x.s == 2 * x.i + x.c and x.w == 2 * x.j for x in got)
     # a hash of chains would leave nearly every pair in every task
     assert len({(x.i, x.j, x.p) for x in got}) < 2 * len(want)
+
+
+def test_nearest_meets_places_not_rows(spark, monkeypatch):
+    rows = [(k, float(k % 6 * 10), float(k % 4 * 10)) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    met, within = [], joins.within
+
+    def counted(left, right, *rest):
+        met.append(left.count() * right.count())
+        return within(left, right, *rest)
+
+    monkeypatch.setattr(joins, "within", counted)
+    got = Counter()
+    for x in joins.nearest(df, df, "id", "id", "x", "y", 10.0, k=3).collect():
+        got[x.id, x["rank"], x.id_2, round(x.dist, 9)] += 1
+    want = Counter()
+    for i, x, y in rows:
+        near = sorted((round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 9), j) for j, u, v in rows)[:3]
+        want.update((i, n + 1, j, d) for n, (d, j) in enumerate(near))
+    assert got == want and max(met) <= 12 * 36
