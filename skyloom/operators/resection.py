@@ -23,10 +23,13 @@ POSE = ("r0", "r1", "r2", "c0", "c1", "c2")
 def moments(obs: DataFrame, by: str, lens) -> DataFrame:
     """(by, n, centre, spread, and 40 sums): all that the direct linear transform of an image needs, added up on the way."""
     f, cu, cv = lens[:3]
-    own = obs.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mid_{c}") for c in ("x0", "x1", "x2")), F.greatest(*(F.max(c) - F.min(c) for c in ("x0", "x1", "x2")), F.lit(1e-9)).alias("spread"))
+    own = obs.groupBy(by).agg(
+        F.count("*").alias("n"), *(F.avg(c).alias(f"mid_{c}") for c in ("x0", "x1", "x2")), F.greatest(*(F.max(c) - F.min(c) for c in ("x0", "x1", "x2")), F.lit(1e-9)).alias("spread"),
+        *(((F.avg(c) - mid) / f).alias(f"mid_{c}") for c, mid in (("u", cu), ("v", cv))), F.greatest(*((F.max(c) - F.min(c)) / f for c in "uv"), F.lit(1e-9)).alias("wide"),
+    )
     rows = obs.join(own, by)
     x = [(F.col(c) - F.col(f"mid_{c}")) / F.col("spread") for c in ("x0", "x1", "x2")] + [F.lit(1.0)]
-    u, v = (F.col("u") - cu) / f, (F.col("v") - cv) / f
+    u, v = (((F.col(c) - mid) / f - F.col(f"mid_{c}")) / F.col("wide") for c, mid in (("u", cu), ("v", cv)))
     sums = [F.sum(x[a] * x[b] * w).alias(f"{name}{a}{b}") for name, w in (("o", F.lit(1.0)), ("u", u), ("v", v), ("q", u * u + v * v)) for a, b in PAIRS]
     sums = rows.groupBy(by).agg(*sums)
     return own.join(sums, by)
@@ -57,6 +60,7 @@ def linear_pose(m: dict) -> np.ndarray | None:
     z = np.zeros_like(o)
     lines = np.block([[o, z, -u], [z, o, -v], [-u, -v, q]])
     p = np.linalg.eigh(lines)[1][:, 0].reshape(3, -1)
+    p = np.array([[m["wide"], 0, m["mid_u"]], [0, m["wide"], m["mid_v"]], [0, 0, 1]]) @ p
     if flat:
         # two columns of the rotation and the shift
         scale = (np.linalg.norm(p[:, 0]) + np.linalg.norm(p[:, 1])) / 2
@@ -184,7 +188,9 @@ def solve_poses(obs: DataFrame, lens, by: str = "image", *, rounds: int = 4) ->
             out = []
             for r in batch.to_pylist():
                 s, p = np.array([r[f"s{k}"] for k in range(49)]).reshape(7, 7), np.array(r["pose"])
-                d = -np.linalg.lstsq(s[:6, :6] + 1e-9 * np.diag(np.diag(s[:6, :6])), s[:6, 6], rcond=None)[0]
+                # turns and shifts weigh alike, however far the camera stands
+                size = np.sqrt(np.maximum(np.diag(s)[:6], 1e-300))
+                d = -np.linalg.lstsq(s[:6, :6] / np.outer(size, size) + 1e-15 * np.eye(6), s[:6, 6] / size, rcond=None)[0] / size
                 out.append(np.r_[vectors(rotations(d[None, :3]) @ rotations(p[None, :3]))[0], p[3:] + d[3:]].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(by), pa.array(out, pa.list_(pa.float64()))], [by, "new"])
 

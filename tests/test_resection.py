@@ -125,3 +125,18 @@ def test_mount_from_the_horizon(spark):
     x, rms, n = least_squares(df, horizon_residuals("hr", "hp", "pitch", "roll"), [0, 0, 0])
     assert np.allclose(x, true, atol=3e-3) and rms < 0.004 and n == 400
     assert np.allclose(vectors(mount_rotation([0, 0, 0.2])[None])[0], [0.2, 0, 0])
+
+
+def test_poses_of_far_cameras(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for image in (54_003, 57_311, 59_999):
+        part, yaw = rng.choice(20_000, 200, replace=False), image % 7 * 0.1
+        n, e, d = want[image] = image % 10 * 30.0, image // 10 * 30.0, -110.0
+        for p, z in zip(part, rng.integers(1, 51, 200)):
+            x = p % 97 * 3.0, p % 89 * 3.0, -float(z)
+            a, b, c = x[0] - n, x[1] - e, x[2] - d
+            rows.append((image, *map(float, x), float(1000 * (np.cos(yaw) * a - np.sin(yaw) * b) / c), float(1000 * (np.sin(yaw) * a + np.cos(yaw) * b) / c)))
+    obs = spark.createDataFrame(rows, "image long, x0 double, x1 double, x2 double, u double, v double")
+    got = {r.image: (r.c0, r.c1, r.c2) for r in solve_poses(obs, [1000.0, 0, 0, 0, 0, 0, 0, 0]).collect()}
+    assert all(np.allclose(got[k], v, atol=1e-4) for k, v in want.items())
