@@ -33,18 +33,42 @@ def normal_equations(df: DataFrame, residuals: Residuals, x: np.ndarray, step: f
     return s[1:, 1:], s[1:, 0], s[0, 0], got["n"]
 
 
-def least_squares(df: DataFrame, residuals: Residuals, start: Sequence[float], *, rounds: int = 30, step: float = 1e-5, ftol: float = 1e-10) -> tuple[list[float], float, int]:
+def linear_normal_equations(df: DataFrame, columns: Sequence[str], matrix: Callable[[Sequence[float]], np.ndarray], step: float):
+    """The same sums for residuals that are a matrix of the parameters times a row's columns, as a function of the parameters.
+
+    The columns' products are added up once; whatever the parameters, all sums follow from them.
+    """
+    m = len(columns)
+    rows = df.select(*columns).dropna()
+    got = rows.agg(*(F.sum(F.col(columns[a]) * F.col(columns[b])).alias(f"s{a}_{b}") for a in range(m) for b in range(a + 1)), F.count("*").alias("n")).first()
+    s = np.zeros((m, m))
+    for a in range(m):
+        for b in range(a + 1):
+            s[a, b] = s[b, a] = got[f"s{a}_{b}"] or 0.0
+
+    def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+        parts = [matrix(list(x))] + [(matrix(list(x + e)) - matrix(list(x - e))) / (2 * step) for e in np.eye(len(x)) * step]
+        t = np.array([[np.sum((p @ s) * q) for q in parts] for p in parts])
+        return t[1:, 1:], t[1:, 0], t[0, 0], got["n"]
+
+    return at
+
+
+def least_squares(df: DataFrame, residuals: Residuals, start: Sequence[float], *, rounds: int = 30, step: float = 1e-5, ftol: float = 1e-10, linear: tuple | None = None) -> tuple[list[float], float, int]:
     """(parameters, root mean square of the residuals, rows): Gauss-Newton with damping, one aggregate a round.
 
     ``residuals`` gives the columns of a row's residuals for given parameters. A round that raises the
-    sum of squares is taken back and damped more. An empty table leaves the start as it is.
+    sum of squares is taken back and damped more. An empty table leaves the start as it is. Where the
+    residuals are linear in a row's columns, ``linear`` names these and gives their matrix for given
+    parameters; the table is then read once for all rounds.
     """
     x, damping = np.array(start, dtype=float), 1e-3
-    h, g, cost, n = normal_equations(df, residuals, x, step)
+    sums = linear_normal_equations(df, *linear, step) if linear else lambda x: normal_equations(df, residuals, x, step)
+    h, g, cost, n = sums(x)
     width = len(residuals(list(x)))
     for _ in range(rounds if n else 0):
         new = x - np.linalg.solve(h + damping * np.diag(np.diag(h)) + 1e-12 * np.eye(len(x)), g)
-        h2, g2, cost2, _ = normal_equations(df, residuals, new, step)
+        h2, g2, cost2, _ = sums(new)
         if cost2 < cost:
             done = cost - cost2 <= ftol * cost
             x, h, g, cost, damping = new, h2, g2, cost2, damping / 5
@@ -116,6 +140,11 @@ def gyro_residuals(camera: Sequence[str], body: Sequence[str]) -> Residuals:
     return at
 
 
+def gyro_matrix(camera: Sequence[str], body: Sequence[str]) -> tuple[list[str], Callable[[Sequence[float]], np.ndarray]]:
+    """The same residuals as a matrix times the body's and the camera's rates."""
+    return [*body, *camera], lambda ypr: np.hstack([np.eye(3), -mount_rotation(ypr)])
+
+
 def gyro_error(camera: Sequence[str], body: Sequence[str]) -> Callable[[Sequence[float]], Column]:
     """The length of those differences."""
     residuals = gyro_residuals(camera, body)

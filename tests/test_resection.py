@@ -140,3 +140,16 @@ def test_poses_of_far_cameras(spark):
     obs = spark.createDataFrame(rows, "image long, x0 double, x1 double, x2 double, u double, v double")
     got = {r.image: (r.c0, r.c1, r.c2) for r in solve_poses(obs, [1000.0, 0, 0, 0, 0, 0, 0, 0]).collect()}
     assert all(np.allclose(got[k], v, atol=1e-4) for k, v in want.items())
+
+
+def test_mount_from_one_reading_of_the_table(spark):
+    from skyloom.operators.fitting import gyro_matrix
+
+    rng, m = np.random.default_rng(2), mount_rotation([0.12, -0.05, 0.08])
+    cam = rng.normal(0, 1, (400, 3))
+    body = cam @ m.T + rng.uniform(-0.01, 0.01, (400, 3))
+    df = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(cam, body)] + [(None, 1.0, 1.0, 1.0, 1.0, 1.0)], "p double, q double, r double, fp double, fq double, fr double")
+    sides = ("p", "q", "r"), ("fp", "fq", "fr")
+    x, rms, n = least_squares(df, gyro_residuals(*sides), [0, 0, 0])
+    y, rms2, n2 = least_squares(df, gyro_residuals(*sides), [0, 0, 0], linear=gyro_matrix(*sides))
+    assert n == n2 == 400 and np.allclose(x, y, atol=1e-8) and abs(rms - rms2) < 1e-9
