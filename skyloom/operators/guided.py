@@ -2,10 +2,11 @@
 
 Keypoints of the left image are moved by the pair's homography, and only right keypoints near the
 predicted pixel are compared with them: both go to a grid of cells as wide as the search radius, and
-a left keypoint meets the nine cells around it. The radius begins small and doubles for pairs that
-no fit was found for; a fit sends its pair back to the smallest radius with a better homography. So
-a pair of images is compared in full only where its prediction is off by as much as an image. All
-pairs take part in each round, which is one plan; what a round leaves is written.
+a left keypoint meets the nine cells around it. The radius begins small and doubles for pairs until
+a fit holds most of their keypoints, which sends the pair back to the smallest radius with a better
+homography; what few matches agree on by chance never ends the search. So a pair of images is
+compared in full only where its prediction is off by as much as an image, or where most keypoints
+have no partner. All pairs take part in each round, which is one plan; what a round leaves is written.
 """
 
 from __future__ import annotations
@@ -99,8 +100,13 @@ def candidates(left: DataFrame, right: DataFrame, active: DataFrame, by: str, ke
 
 def unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs, in their order, are the first at both their places, to a hundredth of a pixel."""
+    return firsts(map(tuple, np.round(a, 2)), map(tuple, np.round(b, 2)))
+
+
+def firsts(a, b) -> np.ndarray:
+    """Which pairs, in their order, are the first that is kept at both their sides."""
     keep, used = [], (set(), set())
-    for x, y in zip(map(tuple, np.round(a, 2)), map(tuple, np.round(b, 2))):
+    for x, y in zip(a, b):
         keep.append(x not in used[0] and y not in used[1])
         if keep[-1]:
             used[0].add(x)
@@ -110,7 +116,7 @@ def unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def guided_matches(
     left: DataFrame, right: DataFrame, predicted: DataFrame, by: str, *, reach: float, limit: float = 300.0, ratio: float = 0.75, sizes: float = 1.25, least: int = 25, beat: int = 20,
-    radii: tuple[int, ...] = RADII, tries: int = 200, seed: int = 1,
+    radii: tuple[int, ...] = RADII, tries: int = 200, seed: int = 1, places: bool = True,
 ) -> DataFrame:
     """(by, i, j, px, radius, place): matches that one homography holds, for the pairs where there are ``least`` of them.
 
@@ -119,14 +125,21 @@ def guided_matches(
     nearest divided by ``ratio`` are eligible where sizes differ by a factor of at most ``sizes``; the
     one with the smallest product of pixel distance, factor and inverse ratio is the keypoint's
     match. Where there are ``least``, a homography is fitted by seeded samples, and those within
-    ``reach`` pixels of it and unique at both places count. A fit stands if it counts more than the
-    pair's best so far, ``beat`` at first. ``radius`` is the one that found the matches, ``place`` their order by distance.
+    ``reach`` pixels of it and unique at both places count; with ``places=False`` keypoints are told
+    apart by id, so that those that share a place with another one count too. A fit stands if it
+    counts more than the pair's best so far, ``beat`` at first. One that holds half the keypoints of
+    the side with fewer leads from then on, from the smallest radius again; others are kept while the radius
+    doubles under the same prediction, and the best one leads once all radii are through. A pair
+    ends when a fit of half the keypoints, or all radii, bring no better one.
+    ``radius`` is the one that found the matches, ``place`` their order by distance.
     Pairs without a prediction or with a null one, or without keypoints, have no rows. Ties go to smaller ids.
     """
     kind = left.schema[by].dataType.simpleString()
     ids = [df.schema["id"].dataType.simpleString() for df in (left, right)]
     state = predicted.filter(F.col("h").isNotNull()).select(by, "h").groupBy(by).agg(F.min("h").alias("h"))
-    state = settled(state.select(by, "h", F.lit(radii[0]).alias("radius"), F.lit(beat).cast("long").alias("best"), F.lit(0).alias("round"), F.lit(False).alias("done")))
+    for df in (left, right):
+        state = state.join(df.groupBy(by).agg(F.count("*").alias(f"n{df is right:d}")), by)
+    state = settled(state.select(by, "h", F.lit(radii[0]).alias("radius"), F.lit(beat).cast("long").alias("best"), F.lit(0).alias("round"), F.lit(False).alias("done"), F.col("h").alias("next"), F.lit(False).alias("found"), (F.least("n0", "n1") / 2).alias("most")))
     where = [df.select(by, F.col("id").alias(n), F.col("u").alias(f"u{n}"), F.col("v").alias(f"v{n}"), F.col("size").alias(f"s{n}")) for df, n in ((left, "i"), (right, "j"))]
 
     def fit(m, s):
@@ -140,7 +153,7 @@ def guided_matches(
         a, b = m[["ui", "vi"]].to_numpy(float), m[["uj", "vj"]].to_numpy(float)
         ok = consensus(a, b, reach, tries, seed) if len(m) >= max(4, least) else np.zeros(len(m), dtype=bool)
         m, a, b = m[ok], a[ok], b[ok]
-        one = unique(a, b)
+        one = unique(a, b) if places else firsts(m["i"], m["j"])
         m, a, b = m[one], a[one], b[one]
         if len(m) < 4:
             return pd.DataFrame(columns=fields)
@@ -164,17 +177,16 @@ def guided_matches(
         out = chosen.groupBy(by).cogroup(active.select(by).groupBy(by)).applyInPandas(fit, f"`{by}` {kind}, kind string, h array<double>, count long, i {ids[0]}, j {ids[1]}, px double, place int")
         out = settled(out)
         fits = out.filter("kind = 'fit'").select(by, F.col("h").alias("new"), F.col("count").alias("got"))
-        better, last = F.coalesce(F.col("got") > F.col("best"), F.lit(False)), radii[-1]
-        stuck = ~better & ((F.col("best") > beat) | (F.col("radius") >= last))
+        better = F.coalesce(F.col("got") > F.col("best"), F.lit(False))
+        best, now = F.when(better, F.col("got")).otherwise(F.col("best")), F.when(better, F.col("new")).otherwise(F.col("next"))
+        seen, most, last = F.col("found") | better, best >= F.col("most"), F.col("radius") >= radii[-1]
+        again = better & most | last & seen
+        after = {
+            "h": F.when(again, now).otherwise(F.col("h")), "radius": F.when(again, F.lit(radii[0])).when(last, F.col("radius")).otherwise(F.col("radius") * 2),
+            "best": best, "round": F.when(better, F.lit(number)).otherwise(F.col("round")), "done": ~better & most | last & ~seen, "next": now, "found": seen & ~again, "most": F.col("most"),
+        }
         found.append(out.filter("kind = 'match'").select(by, "i", "j", "px", "place", F.lit(number).alias("round")).join(state.select(by, "radius"), by))
-        state = settled(
-            state.join(fits, by, "left").select(
-                by, F.when(~F.col("done") & better, F.col("new")).otherwise(F.col("h")).alias("h"),
-                F.when(F.col("done"), F.col("radius")).when(better, F.lit(radii[0])).otherwise(F.col("radius") * 2).alias("radius"),
-                F.when(~F.col("done") & better, F.col("got")).otherwise(F.col("best")).alias("best"),
-                F.when(~F.col("done") & better, F.lit(number)).otherwise(F.col("round")).alias("round"), (F.col("done") | stuck).alias("done"),
-            )
-        )
+        state = settled(state.join(fits, by, "left").select(by, *(F.when(F.col("done"), F.col(c)).otherwise(v).alias(c) for c, v in after.items())))
     if not found:
         return left.select(by, F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("px"), F.lit(0).alias("radius"), F.lit(0).alias("place")).limit(0)
     rows = found[0]

@@ -103,3 +103,18 @@ def test_no_keypoints_no_predictions_no_fit(spark, found):
     assert guided_matches(left.filter("id < 10"), right, predicted.filter("pair = 0"), "pair", reach=5.0, radii=(32, 64)).count() == 0
     a = np.array([[0, 0], [0, 0.001], [1, 1], [2, 2]])
     assert unique(a, np.array([[5, 5], [6, 6], [5, 5.001], [7, 7]])).tolist() == [True, False, False, True]
+
+
+def test_chance_fits_do_not_end_the_search_and_shared_places_count(spark):
+    rng = np.random.default_rng(8)
+    n, few = 200, 60
+    uv = rng.uniform(500, 2500, (n, 2)).round()
+    uv[n // 2 :] = uv[: n // 2]  # two keypoints at each place
+    vec = rng.normal(0, 1, (n, 16))
+    left = [(1, k, vec[k].tolist(), *map(float, uv[k]), 4.0) for k in range(n)]
+    right = [(1, k, (vec[k] * 1.001).tolist(), float(uv[k, 0]) + 100, float(uv[k, 1]), 4.0) for k in range(n)]
+    # right where the prediction looks first: keypoints that are like none, in one homography
+    right += [(1, 1000 + k, rng.normal(0, 1, 16).tolist(), float(uv[k, 0]) + 5, float(uv[k, 1]) + 5, 4.0) for k in range(few)]
+    frames = spark.createDataFrame(left, KEYS), spark.createDataFrame(right, KEYS), spark.createDataFrame([(1, np.eye(3).ravel().tolist())], "pair int, h array<double>")
+    assert {(x.i, x.j) for x in guided_matches(*frames, "pair", reach=3.0, places=False).collect()} == {(k, k) for k in range(n)}
+    assert len(guided_matches(*frames, "pair", reach=3.0).collect()) == n // 2
