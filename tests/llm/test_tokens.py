@@ -134,3 +134,23 @@ def test_parts_with_odd_values(spark):
     got = {r.id: (r.doc_tokens, r.loss_tokens) for r in packing.pack(df, "id", parts_col="parts").collect()}
     assert got == {1: (6, 4), 2: (1, 0), 3: (1, 0), None: (1, 0)}
     assert packing.pack_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_new_words_of_a_text_go_to_the_library_together(tok, monkeypatch):
+    from skyloom.llm import tokens
+
+    class Counting:
+        calls = 0
+
+        def encode(self, *a, **k):
+            self.calls += 1
+            return tok.encode(*a, **k)
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 150)  # caches fill and turn over between texts
+    e, rng = Encoder(default_path()), random.Random(3)
+    e.tok = Counting()
+    texts = [" ".join("".join(rng.choice("abcdefgé1") for _ in range(rng.randrange(2, 8))) + rng.choice(["", "", ".", ",", "--", "'s"]) for _ in range(100)) for _ in range(20)]
+    for s in texts + texts[::-1] + ["a\n".join(texts), "  ".join(texts)]:
+        before = e.tok.calls
+        assert np.frombuffer(e.encode(s), e.dtype).tolist() == tok.encode(s, add_special_tokens=False).ids
+        assert e.tok.calls - before <= 2 + s.count("\n") + s.count("  ")
