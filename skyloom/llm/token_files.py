@@ -156,7 +156,8 @@ def write_token_files(
     FILE_BYTES of text, and no fewer than the session's default parallelism); rows that share an id stay together, in the
     order of their texts. A null text is empty, so it has the end id alone. A task that runs again
     writes another file, and only the file of the run that counts is in the manifest. An empty
-    table gives no file. The texts cross the network once.
+    table gives no file. Texts are encoded where they are read and their packed ids cross the network
+    once; texts themselves cross only where rows share an id. Ranges follow a sample of the ids.
     """
     spark = docs.sparkSession
     path, tokenizer = path or scratch(spark, "token-files"), tokenizer or default_path()
@@ -164,21 +165,45 @@ def write_token_files(
         total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
         files = max(MIN_FILES, math.ceil(total / FILE_BYTES), spark.sparkContext.defaultParallelism)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = rows.repartitionByRange(files, "i").sortWithinPartitions("i", "t")
+    share = min(1.0, 100 * files / max(1, rows.count()))
+    some = [x[0] for x in rows.select("i").dropna().sample(share, seed=1).orderBy("i").collect()]
+    bounds = [some[len(some) * k // files] for k in range(1, files)] if some else []
+    kind = docs.schema[id_col].dataType
+    part = F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b <= F.col("i"))) if bounds else F.lit(0)
+    same = rows.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("i").alias("same"), F.lit(True).alias("twice"))
+    rows = rows.withColumn("b", F.coalesce(part, F.lit(0)))
+    if same.isEmpty():
+        rows = rows.withColumn("twice", F.lit(False))
+    else:
+        rows = rows.join(same, F.col("i").eqNullSafe(F.col("same")), "left").select("i", "t", "b", F.coalesce("twice", F.lit(False)).alias("twice"))
+
+    def encoded(batches):
+        import pyarrow as pa
+
+        enc = encoder(tokenizer)
+        end = enc.pack([end_id])
+        for batch in batches:
+            i, t, b, twice = batch.columns
+            texts = t.to_pylist()
+            held = [x if y else None for x, y in zip(texts, twice.to_pylist())]
+            yield pa.RecordBatch.from_arrays([i, pa.array(held, t.type), b, pa.array([enc.encode(x) + end for x in texts], pa.binary())], ["i", "t", "b", "ids"])
+
+    rows = rows.mapInArrow(encoded, f"i {kind.simpleString()}, t string, b int, ids binary")
+    rows = rows.repartitionById(files, "b").sortWithinPartitions("i", "t").select("i", "ids")
 
     def run(batches):
         import pyarrow as pa
 
         enc, out, n = encoder(tokenizer), None, 0
-        end, part = enc.pack([end_id]), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         uri = f"{path}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
             if batch.num_rows and out is None:
                 fs, folder = open_fs(path)
                 fs.create_dir(folder, recursive=True)
                 out = Writer(uri, enc.dtype, length, batch.column(0).type)
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out.add(i, enc.encode(t.as_py()) + end)
+            for i, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out.add(i, ids.as_py())
                 n += 1
         if out is not None:
             out.close()

@@ -154,3 +154,22 @@ def test_new_words_of_a_text_go_to_the_library_together(tok, monkeypatch):
         before = e.tok.calls
         assert np.frombuffer(e.encode(s), e.dtype).tolist() == tok.encode(s, add_special_tokens=False).ids
         assert e.tok.calls - before <= 2 + s.count("\n") + s.count("  ")
+
+
+def test_token_files_shuffle_ids_and_not_texts(spark, tok, tmp_path, monkeypatch):
+    from skyloom.llm import token_files
+
+    plans, kept = [], token_files.written
+    monkeypatch.setattr(token_files, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    rows = [(k * 37 % 101, "some words " * 40 + str(k)) for k in range(101)] + [(5, "b"), (5, "a"), (5, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    m = write_token_files(df, str(tmp_path / "t"), files=4)
+    assert m.count() == 4 and max(r.n_docs for r in m.collect()) < 60
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(spark, m).orderBy("start").collect()]
+    at = 0
+    for (i, s, n, c), (wi, wt) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")), strict=True):
+        ids = ids_of(tok, wt)
+        assert (i, s, n, c) == (wi, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += n
+    top, _, below = plans[0].partition("Repartition")  # the exchange lies between writing and encoding
+    assert top.count("MapInArrow") == 1 and below.count("MapInArrow") == 1
