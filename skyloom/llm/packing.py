@@ -81,8 +81,68 @@ class Pool:
             self.put(p)
 
 
-def fill(pool: Pool, limits: tuple[int, int, int], cut: bool = True) -> list[Piece]:
+class PlainPool:
+    """The same for pieces whose ids all bear loss, under a loss limit that is that of tokens: classes are lengths, a bit each."""
+
+    def __init__(self):
+        self.stacks: dict[int, list[Piece]] = {}
+        self.bits = self.tokens = self.pieces = 0
+
+    def put(self, p: Piece) -> None:
+        n = len(p.ids)
+        self.stacks.setdefault(n, []).append(p)
+        self.bits |= 1 << n
+        self.tokens += n
+        self.pieces += 1
+
+    def take(self, n: int) -> Piece:
+        stack = self.stacks[n]
+        p = stack.pop()
+        if not stack:
+            self.bits ^= 1 << n
+        self.tokens -= n
+        self.pieces -= 1
+        return p
+
+    def tidy(self) -> None:
+        self.stacks = {n: stack for n, stack in self.stacks.items() if stack}
+
+    def general(self) -> Pool:
+        out = Pool()
+        for p in (p for stack in self.stacks.values() for p in stack):
+            out.put(p)
+        return out
+
+
+def fill_plain(pool: PlainPool, limits: tuple[int, int, int], cut: bool = True) -> list[Piece]:
+    """``fill`` of a plain pool: vectors are multiples of one, so the largest dot product is that of the longest piece that fits."""
+    t, s, _ = limits
+    out: list[Piece] = []
+    while t > 0 and s > 0 and pool.pieces:
+        fits = pool.bits & ((1 << (t + 1)) - 1)
+        if s == 1 and cut and t < limits[0]:
+            fits &= 1 << t
+        if fits:
+            p = pool.take(fits.bit_length() - 1)
+        elif cut and pool.bits > 1:
+            p = pool.take(pool.bits.bit_length() - 1)
+            if t < len(p.ids):
+                p, rest = p.cut(t)
+                pool.put(rest)
+        elif s == 1 and cut:
+            cut = False
+            continue
+        else:
+            break
+        t, s = t - len(p.ids), s - 1
+        out.append(p)
+    return out
+
+
+def fill(pool: Pool | PlainPool, limits: tuple[int, int, int], cut: bool = True) -> list[Piece]:
     """The pieces of one sequence, taken from the pool."""
+    if isinstance(pool, PlainPool):
+        return fill_plain(pool, limits, cut)
     tokens, segments, loss = limits
     t, s, b = limits
     out: list[Piece] = []
@@ -122,9 +182,11 @@ def fill(pool: Pool, limits: tuple[int, int, int], cut: bool = True) -> list[Pie
 def pack_stream(examples: Iterator[tuple[object, np.ndarray, np.ndarray | None]], limits: tuple[int, int, int], cut: bool = True) -> Iterator[list[Piece]]:
     """Sequences (lists of pieces) of a stream of (example, ids, loss marks)."""
     tokens, _, loss = limits
-    pool = Pool()
+    pool = PlainPool() if loss == tokens else Pool()
     for example, ids, marks in examples:
         rest = Piece(example, 0, ids, marks)
+        if marks is not None and isinstance(pool, PlainPool):
+            pool = pool.general()
         if not cut and (len(ids) > tokens or rest.key()[1] > loss):
             raise ValueError("an example is above the limits and may not be cut")
         while len(rest.ids) > tokens or rest.key()[1] > loss:
@@ -183,14 +245,20 @@ def pack(
         end = enc.pack([end_id])
         at = TaskContext.get().partitionId() << 33
 
+        id_type = None
+
         def examples():
+            nonlocal id_type
             for batch in batches:
-                for i, t, b in zip(*(batch.column(k) for k in range(3))):
-                    if parts_col:
-                        yield of_parts(i, t.as_py())
-                        continue
-                    ids = np.frombuffer(enc.encode(t.as_py()) + end, dtype=enc.dtype)
-                    yield (i, len(ids)), ids, None if b.as_py() else np.zeros(len(ids), dtype=bool)
+                id_type = batch.column(0).type
+                # a few texts at a time, as they may be long
+                for at in range(0, batch.num_rows, 256):
+                    for i, t, b in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                        if parts_col:
+                            yield of_parts(i, t)
+                            continue
+                        ids = np.frombuffer(enc.encode(t) + end, dtype=enc.dtype)
+                        yield (i, len(ids)), ids, None if b else np.zeros(len(ids), dtype=bool)
 
         def of_parts(i, parts):
             ids = [np.frombuffer(enc.encode(p["text"]), dtype=enc.dtype) for p in parts] + [np.frombuffer(end, dtype=enc.dtype)]
@@ -201,7 +269,7 @@ def pack(
 
         def table(rows):
             cols = list(zip(*rows))
-            arrays = [pa.array([x.as_py() for x in cols[0]], type=rows[0][0].type)] + [pa.array(c, type=k) for c, k in zip(cols[1:9], [pa.int64()] * 6 + [pa.int32(), pa.int64()])]
+            arrays = [pa.array(cols[0], type=id_type)] + [pa.array(c, type=k) for c, k in zip(cols[1:9], [pa.int64()] * 6 + [pa.int32(), pa.int64()])]
             names = [name, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens"]
             if with_ids:
                 arrays.append(pa.array(cols[9], type=pa.list_(pa.int32())))

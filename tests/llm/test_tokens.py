@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -173,3 +174,41 @@ def test_token_files_shuffle_ids_and_not_texts(spark, tok, tmp_path, monkeypatch
         at += n
     top, _, below = plans[0].partition("Repartition")  # the exchange lies between writing and encoding
     assert top.count("MapInArrow") == 1 and below.count("MapInArrow") == 1
+
+
+def test_masks_of_whole_sequences_are_stored_once_a_batch(tmp_path):
+    from skyloom.llm.token_files import BATCH, Writer
+
+    ids = np.arange(3 * BATCH * 64 + 5 * 64 + 10, dtype="<u2")
+    w = Writer(f"{tmp_path}/x", "<u2", 64, pa.int64())
+    for k in range(0, len(ids), 1000):
+        w.add(k, ids[k : k + 1000].tobytes())
+    w.close()
+    f = TokenFile(f"{tmp_path}/x")
+    n = 3 * BATCH + 6
+    assert (np.concatenate([f.sequence(k) for k in range(n)])[: len(ids)] == ids).all()
+    assert [int(f.mask(k).sum()) for k in range(n)] == [64] * (n - 1) + [10] and f.mask(n - 1).tolist() == [1] * 10 + [0] * 54
+    assert {len(f.mask(k)) for k in range(n)} == {64}
+    assert f.source.size() < 2.2 * len(ids)  # two bytes an id; before, a third for its mask
+    f.close()
+
+
+@pytest.mark.parametrize("limits, cut", [((100, 5, 100), True), ((100, 2, 100), True), ((100, 5, 100), False)])
+def test_plain_pools_fill_as_the_dot_product_does(monkeypatch, limits, cut):
+    r = np.random.default_rng(3)
+    docs = [np.arange(int(n)) for n in r.integers(0, 101 if not cut else 260, 900)]
+    made = lambda: [[(p.example, p.start, len(p.ids)) for p in s] for s in packing.pack_stream(((k, d, None) for k, d in enumerate(docs)), limits, cut)]
+    got = made()
+    monkeypatch.setattr(packing, "fill", general_fill())
+    monkeypatch.setattr(packing, "PlainPool", packing.Pool)
+    assert got == made()
+
+
+def general_fill():
+    """``fill`` without its way for plain pools."""
+    import inspect
+
+    source = inspect.getsource(packing.fill).replace("isinstance(pool, PlainPool)", "False")
+    space = dict(vars(packing))
+    exec("from __future__ import annotations\n" + source, space)
+    return space["fill"]
