@@ -1,8 +1,9 @@
 """Token ids in Arrow files of equal-length sequences.
 
 Each partition of the documents, in ascending order of ids, becomes one file in Arrow's
-random-access (IPC file) format: record batches of two fixed-size lists, ``ids`` and ``mask`` (bytes:
-1 where an id is, 0 in the padding of the file's last sequence). Any sequence and any mask is a
+random-access (IPC file) format: record batches of fixed-size lists ``ids`` and of lists ``mask`` (bytes:
+1 where an id is, 0 in the padding of the file's last sequence). Only a batch's first sequence and a
+padded one have a mask of their own; the others, without padding, share the first one's. Any sequence and any mask is a
 slice of a memory-mapped buffer. An index file beside it holds (doc_id, start, n_tokens) in batches
 as they were written. Files are sized by the bytes of the texts.
 """
@@ -51,17 +52,16 @@ class TokenFile:
     def batches(self) -> int:
         return self.reader.num_record_batches
 
-    def batch(self, k: int, column: int = 0) -> np.ndarray:
-        return self.reader.get_batch(k).column(column).flatten().to_numpy(zero_copy_only=True)
-
-    def _row(self, k: int, column: int) -> np.ndarray:
-        return self.batch(k // BATCH, column)[k % BATCH * self.length : (k % BATCH + 1) * self.length]
+    def batch(self, k: int) -> np.ndarray:
+        return self.reader.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, k: int) -> np.ndarray:
-        return self._row(k, 0)
+        return self.batch(k // BATCH)[k % BATCH * self.length : (k % BATCH + 1) * self.length]
 
     def mask(self, k: int) -> np.ndarray:
-        return self._row(k, 1)
+        column = self.reader.get_batch(k // BATCH).column(1)
+        at, stop = column.offsets.to_numpy()[k % BATCH :][:2]
+        return column.values.to_numpy(zero_copy_only=True)[at:stop] if stop > at else column.values.to_numpy(zero_copy_only=True)[: self.length]
 
     def index_batches(self):
         """The index in turn: lists of doc_id, start and n_tokens."""
@@ -97,7 +97,7 @@ class Writer:
         self.fs, self.path = open_fs(uri)
         self.dtype, self.length = np.dtype(dtype), length
         kind = pa.from_numpy_dtype(self.dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8()))])
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.index = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -131,11 +131,16 @@ class Writer:
         upto = len(flat) if last else len(flat) // step * step
         for at in range(0, upto, step):
             ids = flat[at : min(at + step, upto)]
-            mask = np.ones(-(-len(ids) // self.length) * self.length, dtype=np.uint8)
-            mask[len(ids) :] = 0
-            ids = np.concatenate([ids, np.zeros(len(mask) - len(ids), dtype=self.dtype)])
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-            self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
+            rows, short = -(-len(ids) // self.length), -len(ids) % self.length
+            if short:
+                ids = np.concatenate([ids, np.zeros(short, dtype=self.dtype)])
+            # the first sequence's mask and, if padded, the last one's
+            own = np.zeros(rows, dtype=np.int32)
+            own[0] = own[-1 if short else 0] = self.length
+            mask = np.ones(own.sum(), dtype=np.uint8)
+            mask[len(mask) - short :] = 0
+            masks = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, own]), pa.int32()), pa.array(mask))
+            self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), masks], schema=self.schema))
         self.parts, self.waiting = [flat[upto:].tobytes()], len(flat) - upto
 
     def close(self) -> None:
