@@ -161,3 +161,18 @@ def test_fill_along_ranges_without_known_values(spark):
     want = np.interp(range(400), known, [k * k for k in known])
     assert len(got) == 400 and all(abs(got[k] - want[k]) < 1e-9 for k in range(400))
     assert {r.v_at for r in series.fill_along(df.filter("v is null"), "i", "v").collect()} == {0.0}
+
+
+def test_groups_of_parts_are_those_of_one_growth(spark):
+    """Parts are replayed apart, each from four-byte numbers; the first group of fewer than three images still ends all."""
+    r = random.Random(4)
+    for parts, few in ((3, False), (4, True)):
+        chains = [(c, [10 * k + i for i in sorted(r.sample(range(10), r.randrange(3, 7)))]) for k in range(parts) for c in range(k, 400, parts)]
+        if few:
+            chains.append((1000, [50, 51, 52, 53]))
+        rows = [(c, p, i) for c, m in chains for p, i in enumerate(m)]
+        got = {(x.group_id, x.image) for x in graph.image_groups(spark.createDataFrame(rows, "chain long, pos int, image long"), 60, 8).collect()}
+        ordered = [m for _, m in sorted(chains, key=lambda x: (-len(x[1]), x[0]))]
+        groups, _ = graph.grow_groups(ordered, 60, 8)
+        assert got == {(k, i) for k, g in enumerate(groups) for i in g} and got
+        assert {x.part for x in graph.parts(spark.createDataFrame(rows, "chain long, pos int, image long")).collect()} >= {0, 10, 20}
