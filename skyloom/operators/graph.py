@@ -140,37 +140,104 @@ def runs(batches, *keys: str) -> Iterator[tuple[bool, tuple, dict[str, np.ndarra
             last = key
 
 
-def grown(starts: np.ndarray, flat: np.ndarray, images: int, level: array, wanted: int, least: int, smallest: int, min_chain: int) -> Iterator[tuple[int, list[int]]]:
-    """(seed chain, images) of the groups of ``grow_groups`` in turn, also of those that are too small; chain k is flat[starts[k]:starts[k + 1]]."""
-    single, placed, kept = min_chain == 2, [False] * images, 0
-    chain = lambda k: flat[starts[k] : starts[k + 1]].tolist()
-    sizes = np.diff(starts)
-    long_ = sizes > 0 if single else sizes > 2
+class Listed:
+    """Numbers appended to an unlinked temporary file of the task and read as one mapped array: their pages are the system's to keep or drop."""
+
+    def __init__(self, kind: str):
+        self.kind, self.file, self.n = np.dtype(kind), tempfile.TemporaryFile(), 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(values, dtype=self.kind).data)
+        self.n += len(values)
+
+    def mapped(self, n: int | None = None) -> np.ndarray:
+        """What was added; or ``n`` numbers to be written."""
+        self.file.flush()
+        if n is not None:
+            self.file.truncate(n * self.kind.itemsize)
+            self.n = n
+        return np.asarray(np.memmap(self.file, dtype=self.kind, mode="r+", shape=(self.n,))) if self.n else np.zeros(0, self.kind)
+
+
+def chains_of_images(starts: np.ndarray, flat: np.ndarray, images: int, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, chains): image i is in chains[begins[i]:begins[i + 1]], ascending; ``step`` observations, or as many as there are images, are turned at a time."""
+    step = max(step, images)
+    places = range(0, len(flat), step)
+    counts = np.zeros(images, dtype=np.int64)
+    for at in places:
+        counts += np.bincount(flat[at : at + step], minlength=images)
+    begins = np.r_[0, np.cumsum(counts)]
+    free, chains = begins[:-1].copy(), Listed("int32").mapped(len(flat))
+    for at in places:
+        some = flat[at : at + step]
+        low, high = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(some))
+        owner = np.repeat(np.arange(low, high, dtype=np.int32), np.diff(np.clip(starts[low : high + 1], at, at + len(some))))
+        order, n = np.argsort(some, kind="stable"), np.bincount(some, minlength=images)
+        chains[np.repeat(free - (np.cumsum(n) - n), n) + np.arange(len(some))] = owner[order]
+        free += n
+    return begins, chains
+
+
+def grown(starts: np.ndarray, flat: np.ndarray, images: int, wanted: int, least: int, smallest: int, min_chain: int, level: array | None = None) -> Iterator[tuple[int, list[int]]]:
+    """(seed chain, images) of the groups of ``grow_groups`` in turn, also of those that are too small; chain k is flat[starts[k]:starts[k + 1]].
+
+    A chain is asked once in a group, when the sweep comes by after it was tied: it stays tied, and images
+    that are full stay full, so a chain that was refused is refused again. An image of the group is placed, so it ties its
+    chains in one group only: the work grows with the observations, whatever the number of groups and sweeps.
+    In memory are four bytes a chain and some for each image. Chain k's level goes to ``level``, if that is given.
+    """
+    ties_needed, firm, sizes, kept = 1 if min_chain == 2 else 2, min(least, wanted), np.diff(starts), 0
+    begins, chains = chains_of_images(starts, flat, images)
+    shut, asked, ties = sizes < (1 if min_chain == 2 else 3), np.zeros(len(sizes), dtype=bool), np.zeros(len(sizes), dtype=np.int8)
+    have, placed, queue = array("i", bytes(4 * images)), bytearray(images), bytearray(len(sizes))
+    queued = np.frombuffer(queue, dtype=np.uint8)
+    members = lambda k: flat[starts[k] : starts[k + 1]].tolist()
+    holding = lambda i: chains[begins[i] : begins[i + 1]]
+
+    def ask(some: np.ndarray) -> None:
+        some = some[~(shut[some] | asked[some])]
+        asked[some], queued[some] = True, 1
+
+    def take(k: int) -> None:
+        shut[k] = True
+        if level is not None:
+            level[k] = kept
+        for i in members(k):
+            have[i] = n = have[i] + 1
+            if n == 1:
+                seen.append(i)
+            if n == firm and not placed[i]:
+                mine = holding(i)
+                ties[mine] = np.minimum(ties[mine] + 1, ties_needed)
+                ties[mine[1:][mine[1:] == mine[:-1]]] = ties_needed  # chains that hold the image twice
+                ask(mine[ties[mine] == ties_needed])
+
     # chains come longest first and none that was taken or touches a placed image is free again
     for seed in range(int((sizes > 2).sum())):
-        members = chain(seed)
-        if level[seed] >= 0 or any(placed[i] for i in members):
+        if shut[seed]:
+            continue
+        first = members(seed)
+        if any(placed[i] for i in first):
             continue
-        have = [0] * images
-        start = members[1]
-        busy = True
-        for i in members:
-            have[i] += 1
-        level[seed] = kept
-        while busy:
-            busy = False
-            for k in np.flatnonzero(long_ & (np.frombuffer(level, dtype=np.int32) < 0)).tolist():
-                c = chain(k)
-                open_ = [i for i in c if not placed[i]]
-                firm = sum(have[i] >= least or have[i] >= wanted for i in open_)
-                if (firm > 1 or single and firm or start in open_) and any(have[i] < wanted for i in open_):
-                    for i in c:
-                        have[i] += 1
-                    level[k] = kept
-                    busy = True
-        mine = [i for i in range(images) if have[i] >= least]
+        seen, start = array("i"), first[1]
+        take(seed)
+        ask(holding(start))
+        k = queue.find(1)
+        while k >= 0:
+            queue[k] = 0
+            if any(have[i] < wanted and not placed[i] for i in members(k)):
+                take(k)
+            k = queue.find(1, k + 1)
+            if k < 0:  # the next sweep
+                k = queue.find(1)
+        mine = sorted(i for i in seen if have[i] >= least)
+        asked[holding(start)] = False
+        for i in seen:
+            if have[i] >= firm and not placed[i]:
+                asked[holding(i)], ties[holding(i)] = False, 0
+            have[i] = 0
         for i in mine:
-            placed[i] = True
+            placed[i] = 1
         kept += len(mine) >= smallest
         yield seed, mine
         if len(mine) < 3:
@@ -193,52 +260,67 @@ def grow_groups(chains: list[list[int]], images: int, least: int = 25, smallest:
     """
     starts, flat = np.cumsum([0, *map(len, chains)]), np.array([i for c in chains for i in c], dtype=np.int32)
     level = array("i", [-1]) * len(chains)
-    groups = [mine for _, mine in grown(starts, flat, images, level, most_wanted(images), least, smallest, min_chain) if len(mine) >= smallest]
+    groups = [mine for _, mine in grown(starts, flat, images, most_wanted(images), least, smallest, min_chain, level) if len(mine) >= smallest]
     return groups, level.tolist()
 
 
 def image_groups(obs: DataFrame, images: int, least: int = 25, smallest: int = 7) -> DataFrame:
-    """(group_id, image) of observations (chain, pos, image); images are 0 to images - 1.
+    """(group_id, image) of observations (chain, pos, image); ``images`` is the number of images.
 
     The growth depends on the order of all chains of a part, images that chains tie together, so a task
-    replays a part, its images as four-byte numbers one chain after another. Parts do not touch each
-    other, and groups begin in the order of their seed chains whatever the part; so the groups of all
-    parts in that order, as far as the first of fewer than three images, are those of one growth.
+    replays a part. Chains are made where they are, each one row of places of its images in the part; those of
+    fewer than three images neither begin a group nor join one and stay out. The task keeps them in mapped files (8 bytes an
+    observation) and not in memory. Parts do not touch each other, and groups begin in the order of their seed chains whatever
+    the part; so the groups of all parts in that order, as far as the first of fewer than three images, are those of one growth.
     """
     from .ranks import ranked
 
-    obs = settled(obs.select("chain", "pos", F.col("image").cast("long").alias("image")))
+    size = F.count("*").over(Window.partitionBy("chain"))
+    obs, drop = stored(obs.select(F.col("chain").cast("long").alias("chain"), "pos", F.col("image").cast("long").alias("image")).withColumn("size", size).filter("size > 2"))
     wanted = most_wanted(images)
-    size = -F.count("*").over(Window.partitionBy("chain"))
-    rows = obs.withColumn("size", size).join(parts(obs), "image").select("part", "size", F.col("chain").cast("long").alias("chain"), "pos", "image")
+    place = ranked(parts(obs), ["part", "image"], "rank")
+    place = place.join(place.groupBy("part").agg(F.min("rank").alias("first")), "part")
+    place = settled(place.select("part", "image", (F.col("rank") - F.col("first")).cast("int").alias("at")))
+    rows = obs.join(place, "image").groupBy("part", "size", "chain").agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("o"))
+    rows = rows.select("part", (-F.col("size")).alias("size"), "chain", F.col("o.at").alias("images"))
 
     def run(batches):
         import pyarrow as pa
 
         def grow():
-            own, at = np.unique(np.frombuffer(flat, dtype=np.int32), return_inverse=True)
-            starts = np.r_[np.frombuffer(begins, dtype=np.int64), len(at)]
-            lengths, level = np.diff(starts), array("i", [-1]) * len(begins)
-            for seed, mine in grown(starts, at.astype(np.int32), len(own), level, wanted, least, smallest, 3):
-                yield pa.RecordBatch.from_arrays([pa.array([-int(lengths[seed])]), pa.array([chains[seed]]), pa.array([own[mine].astype(np.int64)], type=pa.list_(pa.int64()))], ["size", "chain", "members"])
-
-        flat, begins, chains, part = array("i"), array("q"), array("q"), None
-        for new, (key, _), cols in runs(batches, "part", "chain"):
-            if key != part and part is not None:
-                yield from grow()
-                flat, begins, chains = array("i"), array("q"), array("q")
-            part = key
-            if new:
-                begins.append(len(flat))
-                chains.append(int(cols["chain"][0]))
-            flat.frombytes(cols["image"].astype(np.int32).tobytes())
+            heads, names = lists["starts"].mapped(), lists["chains"].mapped()
+            flat = lists["images"].mapped()
+            for seed, mine in grown(heads, flat, int(flat.max()) + 1, wanted, least, smallest, 3):
+                columns = [[part], [int(heads[seed] - heads[seed + 1])], [int(names[seed])], [mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["part", "size", "chain", "members"])
+
+        part = None
+        for batch in batches:
+            key, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "chain"))
+            offsets, values = (x.to_numpy(zero_copy_only=False) for x in (batch.column("images").offsets, batch.column("images").flatten()))
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high == low:
+                    continue
+                if key[low] != part:
+                    if part is not None:
+                        yield from grow()
+                    part, lists = int(key[low]), {"starts": Listed("int64"), "chains": Listed("int64"), "images": Listed("int32")}
+                    lists["starts"].add(np.zeros(1))
+                some = offsets[low : high + 1].astype(np.int64) - offsets[0]
+                lists["starts"].add(some[1:] - some[0] + lists["images"].n)
+                lists["chains"].add(at[low:high])
+                lists["images"].add(values[some[0] : some[-1]])
         if part is not None:
             yield from grow()
 
-    rows = rows.repartition("part").sortWithinPartitions("part", "size", "chain", "pos")
-    found = settled(rows.mapInArrow(run, "size long, chain long, members array<long>"))
+    tasks = max(obs.sparkSession.sparkContext.defaultParallelism, -(-obs.count() // 4_000_000))
+    rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "size", "chain")
+    found = settled(rows.mapInArrow(run, "part long, size long, chain long, members array<int>"))
+    drop()
     last = found.filter(F.size("members") < 3).agg(F.min(F.struct("size", "chain")).alias("k")).first()["k"]
     kept = found.filter(F.size("members") >= smallest)
     if last is not None:
         kept = kept.filter((F.col("size") < last["size"]) | (F.col("size") == last["size"]) & (F.col("chain") < last["chain"]))
-    return ranked(kept, ["size", "chain"], "rank").select((F.col("rank") - 1).cast("int").alias("group_id"), F.explode("members").alias("image"))
+    at = ranked(kept, ["size", "chain"], "rank").select((F.col("rank") - 1).cast("int").alias("group_id"), "part", F.explode("members").alias("at"))
+    return at.join(place, ["part", "at"]).select("group_id", "image")
