@@ -9,14 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .adjustment import linearised, rotations, vectors, whole_chains
+from .adjustment import linearised, pieces, rotations, vectors, whole_chains
 from .geometry import consensus, homography, transfer
 from .graph import settled, spread
 
 #: The monomials of a point's homogeneous coordinates, and what of the pixel they are summed with.
 PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
 #: Pairs of pixels in a task of the lens fit.
-FLOW = 20_000
+FLOW = 200_000
 POSE = ("r0", "r1", "r2", "c0", "c1", "c2")
 
 
@@ -268,11 +268,11 @@ def nearest_motion(motions: DataFrame, key: str, expected) -> DataFrame:
 
 def undistorted(p: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Ideal places of distorted ones under radial terms k1, k2, k3."""
-    q = p.copy()
+    far, s = p[:, 0] * p[:, 0] + p[:, 1] * p[:, 1], 1.0
     for _ in range(12):
-        r = (q * q).sum(axis=1)[:, None]
-        q = p / (1 + r * (k[0] + r * (k[1] + r * k[2])))
-    return q
+        r = far * s * s
+        s = 1 / (1 + r * (k[0] + r * (k[1] + r * k[2])))
+    return p * s[:, None]
 
 
 def distorted(p: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -280,6 +280,97 @@ def distorted(p: np.ndarray, k: np.ndarray) -> np.ndarray:
     return p * (1 + r * (k[0] + r * (k[1] + r * k[2])))
 
 
+def grams(m: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The Gram matrix of each frame's columns of ``m`` (quantity, u or v, row)."""
+    each = ((m[:, 0, low:high], m[:, 1, low:high]) for low, high in zip(edges, edges[1:]))
+    return np.stack([u @ u.T + v @ v.T for u, v in each])
+
+
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares solutions of symmetric systems, each scaled to a unit diagonal; directions that the rows do not fix stay zero."""
+    size = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-300))
+    return np.linalg.pinv(a / (size[:, :, None] * size[:, None]), rcond=1e-13, hermitian=True) @ (b / size[:, :, None]) / size[:, :, None]
+
+
+def flow_sums(a: np.ndarray, b: np.ndarray, edges: np.ndarray, k: np.ndarray, f: float) -> np.ndarray:
+    """(frames, 4, 4): each frame's normal equations of the three radial terms and its squared error, its homography solved and eliminated.
+
+    ``a`` and ``b`` are the places of frames that lie one after another, cut at ``edges``; all of them are worked on at once, and
+    a homography is done when its steps are below 1e-9 (three at most). A frame whose errors are not finite has NaN.
+    """
+    sizes, n = np.diff(edges), len(a)
+    frame = np.repeat(np.arange(len(sizes)), sizes)
+
+    def scaled(p):
+        """Places about their frame's middle in units of their spread, and the transforms that do it."""
+        mid = np.add.reduceat(p, edges[:-1]) / sizes[:, None]
+        x, y = (p - mid[frame]).T
+        s = np.sqrt(2) / np.maximum(1e-12, np.add.reduceat(np.sqrt(x * x + y * y), edges[:-1]) / sizes)
+        t = np.zeros((len(mid), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = s
+        t[:, :2, 2], t[:, 2, 2] = -s[:, None] * mid, 1
+        return x * s[frame], y * s[frame], t
+
+    with np.errstate(all="ignore"):
+        ideal, m = undistorted(a, k), np.zeros((12, 2, n))
+        (x, y, tx), (u, v, ty) = scaled(ideal), scaled(undistorted(b, k))
+        for c, w in enumerate((x, y, 1.0)):
+            m[c, 0] = m[c + 3, 1] = w
+            m[c + 6, 0], m[c + 6, 1] = -u * w, -v * w
+        first = grams(m[:9], edges)
+        fine = np.isfinite(first).all(axis=(1, 2))
+        first[~fine], ty[~fine] = np.eye(9), np.eye(3)
+        h = np.linalg.inv(ty) @ np.linalg.eigh(first)[1][:, :, 0].reshape(-1, 3, 3) @ tx
+        h = (h / h[:, 2:, 2:]).reshape(-1, 9)[:, :8]
+        x, y = np.ascontiguousarray(ideal.T)
+        seen = np.ascontiguousarray(b.T)
+
+        def summed(of_k: bool) -> np.ndarray:
+            """Gram matrices of the errors in pixels (last) and their derivatives by the homography and, if wanted, the radial terms."""
+            g = h[frame].T
+            z = g[6] * x + g[7] * y + 1
+            z = 1 / np.where(np.abs(z) < 1e-12, 1e-12, z)
+            q = (g[0] * x + g[1] * y + g[2]) * z, (g[3] * x + g[4] * y + g[5]) * z
+            r = q[0] * q[0] + q[1] * q[1]
+            wide, slope = 1 + r * (k[0] + r * (k[1] + r * k[2])), 2 * f * (k[0] + r * (2 * k[1] + r * 3 * k[2]))
+            xz, yz = x * z, y * z
+            if of_k:
+                # the ideal first place gives way along its radius
+                r0 = x * x + y * y
+                along = -z / (1 + r0 * (3 * k[0] + r0 * (5 * k[1] + r0 * 7 * k[2])))
+                tilt = g[6] * x + g[7] * y
+                way = [(g[0] * x + g[1] * y - q[0] * tilt) * along, (g[3] * x + g[4] * y - q[1] * tilt) * along]
+            for i in range(2):
+                # by the ideal second place
+                d = [slope * q[i] * q[0], slope * q[i] * q[1]]
+                d[i] += f * wide
+                lean = -(d[0] * q[0] + d[1] * q[1])
+                m[0, i], m[1, i], m[2, i], m[3, i], m[4, i], m[5, i] = d[0] * xz, d[0] * yz, d[0] * z, d[1] * xz, d[1] * yz, d[1] * z
+                m[6, i], m[7, i], m[8, i] = lean * xz, lean * yz, (q[i] * wide - seen[i]) * f
+                if of_k:
+                    here, there = f * q[i] * r, (d[0] * way[0] + d[1] * way[1]) * r0
+                    for c in range(3):
+                        m[9 + c, i] = here + there
+                        here, there = here * r, there * r0
+            out = grams(m if of_k else m[:9], edges)
+            fine[~np.isfinite(out).all(axis=(1, 2))] = False
+            out[~fine] = np.eye(out.shape[1])
+            return out
+
+        for _ in range(3):
+            s = summed(False)
+            step = solved(s[:, :8, :8], s[:, :8, 8:])[:, :, 0]
+            h = h - step
+            if np.abs(step).max() < 1e-9:
+                break
+        s = summed(True)[:, [*range(8), 9, 10, 11, 8]][:, :, [*range(8), 9, 10, 11, 8]]
+        free = s[:, 8:, 8:]
+        free[:, :, :3] -= s[:, 8:, :8] @ solved(s[:, :8, :8], s[:, :8, 8:11])
+        free[:, :3, 3] = free[:, 3, :3]
+        free[~fine] = np.nan
+        return free
+
+
 def lens_from_flow(pairs: DataFrame, by: str, lens, *, least: int = 12, reach: float = 3.0, rounds: int = 10, ftol: float = 1e-8) -> tuple[list[float], float, int]:
     """((k1, k2, k3), root mean square in pixels, pairs used): the radial distortion under which each frame's flow is one homography.
 
@@ -292,50 +383,36 @@ def lens_from_flow(pairs: DataFrame, by: str, lens, *, least: int = 12, reach: f
     """
     f, cu, cv = lens[:3]
     kind = pairs.schema[by].dataType.simpleString()
-    pairs = pairs.select(by, "u0", "v0", "u1", "v1").dropna()
+    pixels = ["u0", "v0", "u1", "v1"]
+    # pixels without a value go where they are read: a filter on them would be computed before and apart from them
+    pairs = pairs.select(by, *pixels).dropna(subset=[by])
 
-    def chosen(g):
-        g = g.sort_values(["u0", "v0", "u1", "v1"], kind="stable")
-        ok = consensus(g[["u0", "v0"]].to_numpy(), g[["u1", "v1"]].to_numpy(), reach)
-        return g[ok] if ok.sum() >= least else g[:0]
+    def chosen(batches):
+        import pyarrow as pa
+
+        for rows in whole_chains(batches, by):
+            full = ~np.any([np.isnan(rows[c]) for c in pixels], axis=0)
+            rows = {c: rows[c][full] for c in (by, *pixels)}
+            edges = [*np.unique(rows[by], return_index=True)[1], len(rows[by])]
+            ok = np.zeros(len(rows[by]), dtype=bool)
+            for low, high in zip(edges, edges[1:]):
+                own = consensus(*(np.column_stack([rows[c][low:high] for c in side]) for side in (pixels[:2], pixels[2:])), reach)
+                ok[low:high] = own & (own.sum() >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][ok]) for c in (by, *pixels)], [by, *pixels])
 
     # frames stay in their tasks, so that no round moves a pair
-    pairs = settled(spread(pairs, FLOW, by).groupBy(by).applyInPandas(chosen, f"`{by}` {kind}, u0 double, v0 double, u1 double, v1 double"))
+    pairs = settled(spread(pairs, FLOW, by).sortWithinPartitions(by, *pixels).mapInArrow(chosen, f"`{by}` {kind}, " + ", ".join(f"{c} double" for c in pixels)))
 
     def frame_at(k):
-        def run(g):
-            a, b = ((g[:, 2 * n : 2 * n + 2] - [cu, cv]) / f for n in range(2))
-
-            def error(h, k, ideal):
-                """Errors in pixels for one homography or, as columns, for several."""
-                p = np.column_stack([ideal, np.ones(len(ideal))]) @ np.concatenate([h, np.ones((*h.shape[:-1], 1))], axis=-1).reshape(*h.shape[:-1], 3, 3).swapaxes(-1, -2)
-                q = p[..., :2] / np.where(np.abs(p[..., 2:]) < 1e-12, np.nan, p[..., 2:])
-                r = (q * q).sum(axis=-1)[..., None]
-                return ((q * (1 + r * (k[0] + r * (k[1] + r * k[2]))) - b) * f).reshape(*h.shape[:-1], -1).T
-
-            ideal = undistorted(a, k)
-
-            def by_h(h):
-                both = error(h + 1e-6 * np.concatenate([np.eye(8), -np.eye(8)]), k, ideal)
-                return (both[:, :8] - both[:, 8:]) / 2e-6
-
-            h = homography(ideal, undistorted(b, k)).ravel()[:8]
-            for _ in range(3):
-                h = h - np.linalg.lstsq(by_h(h), error(h, k, ideal), rcond=None)[0]
-            r, jh = error(h, k, ideal), by_h(h)
-            jk = np.column_stack([(error(h, k + e, undistorted(a, k + e)) - error(h, k - e, undistorted(a, k - e))) / 2e-5 for e in 1e-5 * np.eye(3)])
-            free = jk - jh @ np.linalg.lstsq(jh, jk, rcond=None)[0]
-            s = np.column_stack([free, r])
-            return (s.T @ s).ravel()
-
         def frames(batches):
             import pyarrow as pa
 
             for rows in whole_chains(batches, by):
-                starts = np.flatnonzero(np.r_[True, rows[by][1:] != rows[by][:-1]])
-                each = np.split(np.stack([rows[c] for c in ("u0", "v0", "u1", "v1")], axis=1), starts[1:])
-                sums = np.stack([run(g) for g in each])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in sums.T), pa.array([len(g) for g in each])], [*(f"s{i}" for i in range(16)), "n"])
+                for piece in pieces(rows[by]):
+                    frame = rows[by][piece]
+                    edges = np.r_[np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]]), len(frame)]
+                    sums = flow_sums(*((np.stack([rows[c][piece] for c in side], axis=1) - [cu, cv]) / f for side in (pixels[:2], pixels[2:])), edges, k, f)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in sums.reshape(-1, 16).T), pa.array(np.diff(edges))], [*(f"s{i}" for i in range(16)), "n"])
 
         return frames
 

@@ -153,3 +153,33 @@ def test_mount_from_one_reading_of_the_table(spark):
     x, rms, n = least_squares(df, gyro_residuals(*sides), [0, 0, 0])
     y, rms2, n2 = least_squares(df, gyro_residuals(*sides), [0, 0, 0], linear=gyro_matrix(*sides))
     assert n == n2 == 400 and np.allclose(x, y, atol=1e-8) and abs(rms - rms2) < 1e-9
+
+
+def test_frames_are_summed_together(monkeypatch):
+    from skyloom.operators import geometry
+    from skyloom.operators.resection import flow_sums
+
+    rng, f, true = np.random.default_rng(9), 500.0, np.array([-0.12, 0.03, 0.002])
+    tried, agreeing = [], geometry.agreeing
+    monkeypatch.setattr(geometry, "agreeing", lambda a, b, picks, reach: tried.append(len(picks)) or agreeing(a, b, picks, reach))
+    a, b, edges = [], [], [0]
+    for n in (60, 12, 30):
+        x = np.column_stack([rng.uniform(-0.6, 0.6, n), rng.uniform(-0.45, 0.45, n), np.ones(n)])
+        y = x @ (np.eye(3) + rng.normal(0, 0.02, (3, 3))).T
+        a.append(distorted(x[:, :2], true))
+        b.append(distorted(y[:, :2] / y[:, 2:], true))
+        edges.append(edges[-1] + n)
+        # all pairs agree with an early sample, so the two hundred are not all tried
+        assert geometry.consensus(a[-1] * f, b[-1] * f, 4.0).all() and sum(tried) < 100
+        tried.clear()
+    both = np.concatenate(a), np.concatenate(b)
+    at = flow_sums(*both, np.array(edges), true, f)
+    assert at.shape == (3, 4, 4) and np.abs(at[:, 3]).max() < 1e-9
+    k, e = true + [0.01, -0.01, 0.005], 1e-5
+    apart = [flow_sums(x, y, np.array([0, len(x)]), k, f)[0] for x, y in zip(a, b)]
+    here = flow_sums(*both, np.array(edges), k, f)
+    assert np.allclose(here, apart, rtol=1e-6)
+    # half the slope of a frame's squared error, its homography solved anew each time
+    slope = [(flow_sums(*both, np.array(edges), k + e * d, f)[:, 3, 3] - flow_sums(*both, np.array(edges), k - e * d, f)[:, 3, 3]) / (4 * e) for d in np.eye(3)]
+    assert np.allclose(here[:, :3, 3], np.transpose(slope), rtol=1e-3, atol=1e-4 * np.abs(slope).max())
+    assert np.isnan(flow_sums(both[0] * np.inf, both[1], np.array(edges), k, f)).all()
