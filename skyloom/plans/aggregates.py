@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import joins as op
 from ..operators import series as ts
 from ..operators.grids import fill_bins
-from ..operators.pairs import pair_counts
+from ..operators.pairs import degrees
 from .base import query, r
 
 
@@ -260,9 +260,7 @@ def _(t):
 
 @query("a35_degrees", "with e as (select distinct l_suppkey as i, l_partkey as c from lineitem), w as (select a.i, b.i as j, count(*) as w from e a join e b on a.c = b.c and a.i <> b.i group by all) select i, count(*) as degree, sum(w)::bigint as weight from w group by i")
 def _(t):
-    e = t.lineitem.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("c")).distinct()
-    w = pair_counts(e, "c", "i").select(F.explode(F.array("i", "j")).alias("i"), "n")
-    return w.groupBy("i").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
+    return degrees(t.lineitem.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("c")), "c", "i")
 
 
 @query("a36_affine_mean", "select a.image_idx as i, round(sum(b.n * (b.image_idx % 7 + 1)) / sum(b.image_idx % 7 + 1), 6) + 0e0 as n, round(sum(b.e * (b.image_idx % 7 + 1)) / sum(b.image_idx % 7 + 1), 6) + 0e0 as e from pose a join pose b on b.image_idx between a.image_idx + 1 and a.image_idx + 4 group by a.image_idx")
