@@ -92,10 +92,12 @@ def _(t):
 
 @query("g10_connectivity", "with o as (select distinct chain_id, image_idx from obs) select distinct x.name as a, y.name as b from o p join o q on p.chain_id = q.chain_id and p.image_idx < q.image_idx join img x on x.image_idx = p.image_idx join img y on y.image_idx = q.image_idx")
 def _(t):
-    o = t.obs.select("chain_id", "image_idx").distinct()
-    p = pair_counts(o, "chain_id", "image_idx")
+    p = pair_counts(t.obs, "chain_id", "image_idx")
     name = t.img.select("image_idx", "name")
-    return p.join(name.toDF("i", "a"), "i").join(name.toDF("j", "b"), "j").select("a", "b").distinct()
+    named = p.join(name.toDF("i", "a"), "i").join(name.toDF("j", "b"), "j").select("a", "b")
+    # pairs of images are distinct, so pairs of names repeat only where images or names do
+    n = name.agg(F.count("*").alias("n"), F.count("name").alias("named"), F.countDistinct("image_idx").alias("images"), F.countDistinct("name").alias("names")).first()
+    return named if n["n"] == n["named"] == n["images"] == n["names"] else named.distinct()
 
 
 @query("g11_delete_image", "with o as (select distinct chain_id, image_idx from obs where image_idx not in (7, 8, 9)), c as (select chain_id from o group by chain_id having count(*) >= 25) select chain_id, image_idx from o where chain_id in (select chain_id from c)")
